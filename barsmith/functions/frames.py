@@ -13,27 +13,32 @@ from pyspark.sql import functions as F
 
 from barsmith.functions.scalar import ColumnLike, col
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("date")
-WHOLE_SYMBOL = Window.partitionBy("symbol")
 
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("date")
 
-def last_n(n: int, spec: WindowSpec = BY_SYMBOL) -> WindowSpec:
+
+def whole_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol")
+
+
+def last_n(n: int, spec: WindowSpec | None = None) -> WindowSpec:
     """The current row and the n-1 before it."""
-    return spec.rowsBetween(-(n - 1), 0)
+    return (spec or by_symbol()).rowsBetween(-(n - 1), 0)
 
 
-def before(n: int, spec: WindowSpec = BY_SYMBOL) -> WindowSpec:
+def before(n: int, spec: WindowSpec | None = None) -> WindowSpec:
     """The n rows before the current one."""
-    return spec.rowsBetween(-n, -1)
+    return (spec or by_symbol()).rowsBetween(-n, -1)
 
 
-def between(start: int, end: int, spec: WindowSpec = BY_SYMBOL) -> WindowSpec:
+def between(start: int, end: int, spec: WindowSpec | None = None) -> WindowSpec:
     """Rows from ``start`` back to ``end`` back, both inclusive."""
-    return spec.rowsBetween(-start, -end)
+    return (spec or by_symbol()).rowsBetween(-start, -end)
 
 
-def running(spec: WindowSpec = BY_SYMBOL) -> WindowSpec:
-    return spec.rowsBetween(Window.unboundedPreceding, 0)
+def running(spec: WindowSpec | None = None) -> WindowSpec:
+    return (spec or by_symbol()).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def avg_n(c: ColumnLike, n: int) -> Column:
@@ -45,11 +50,11 @@ def avg_before(c: ColumnLike, n: int) -> Column:
 
 
 def lag(c: ColumnLike, k: int = 1) -> Column:
-    return F.lag(col(c), k).over(BY_SYMBOL)
+    return F.lag(col(c), k).over(by_symbol())
 
 
 def lead(c: ColumnLike, k: int = 1) -> Column:
-    return F.lead(col(c), k).over(BY_SYMBOL)
+    return F.lead(col(c), k).over(by_symbol())
 
 
 def full(agg: Column, c: ColumnLike, n: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.functions.frames import BY_SYMBOL, WHOLE_SYMBOL, lag, last_n, lead
+from barsmith.functions.frames import by_symbol, whole_symbol, lag, last_n, lead
 from barsmith.functions.scalar import first_match, next_business_day
 from barsmith.operators.ranking import latest_per
 from barsmith.operators.relational import error_metrics, guarded_ratio
@@ -75,7 +75,7 @@ def minmax_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Scale each column to [0, 1] within its symbol; a constant column reads 0."""
     bounds = {}
     for c in columns:
-        lo, hi = F.min(c).over(WHOLE_SYMBOL), F.max(c).over(WHOLE_SYMBOL)
+        lo, hi = F.min(c).over(whole_symbol()), F.max(c).over(whole_symbol())
         bounds[f"{c}_scaled"] = F.coalesce((F.col(c) - lo) / F.nullif((hi - lo).cast("double"),
                                                                       F.lit(0.0)), F.lit(0.0))
     return df.withColumns(bounds)
@@ -90,8 +90,8 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
 
 def fill_forward_back(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Last known value, else the next known one, in date order per symbol."""
-    ahead = BY_SYMBOL.rowsBetween(0, 2**31 - 1)
-    behind = BY_SYMBOL.rowsBetween(-(2**31 - 1), 0)
+    ahead = by_symbol().rowsBetween(0, 2**31 - 1)
+    behind = by_symbol().rowsBetween(-(2**31 - 1), 0)
     return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(behind),
                                          F.first(c, ignorenulls=True).over(ahead))
                            for c in columns})
@@ -111,8 +111,8 @@ def sequence_features(df: DataFrame, length: int = 10, train_share: float = 0.8,
         for k in range(length):
             cols[f"{f}_{k}"] = F.col(f).cast("double") if k == 0 else lag(f, k).cast("double")
     ready = df.dropna(subset=list(features)).withColumns({
-        **cols, "target": lead("close"), "_rn": F.row_number().over(BY_SYMBOL),
-        "_n": F.count("*").over(WHOLE_SYMBOL)})
+        **cols, "target": lead("close"), "_rn": F.row_number().over(by_symbol()),
+        "_n": F.count("*").over(whole_symbol())})
     pairs = F.col("_n") - length
     keep = (F.col("_rn") >= length) & F.col("target").isNotNull()
     place = F.col("_rn") - length
@@ -125,7 +125,7 @@ def sequence_features(df: DataFrame, length: int = 10, train_share: float = 0.8,
 def win_features(signals: DataFrame, results: DataFrame, bars: DataFrame,
                  indicators: DataFrame) -> DataFrame:
     """Signals with outcome and market features at the signal date; gaps become 0."""
-    vol = F.avg("volume").over(BY_SYMBOL.rowsBetween(-30, -1))
+    vol = F.avg("volume").over(by_symbol().rowsBetween(-30, -1))
     market = bars.select(
         "symbol", "date",
         F.coalesce(F.col("volume") / F.nullif(vol, F.lit(0.0)), F.lit(1.0)).alias("volume_ratio"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.functions.frames import (BY_SYMBOL, WHOLE_SYMBOL, avg_n, full, lag, last_n, lead,
+from barsmith.functions.frames import (by_symbol, whole_symbol, avg_n, full, lag, last_n, lead,
                                        running, since, tail)
 from barsmith.functions.scalar import (clamp, first_match, foreign_in_lots, large_block,
                                        ratio)
@@ -107,7 +107,7 @@ def macd_ewm(bars: DataFrame, tf: Timeframe = DAILY, as_of=None, lookback: int |
              keep_last: int | None = 10) -> DataFrame:
     """MACD on recursive means, last rows of every symbol with enough history."""
     src = since(bars.select("symbol", "date", "close"), lookback or tf.macd_lookback, as_of)
-    src = (src.withColumn("_n", F.count("*").over(WHOLE_SYMBOL))
+    src = (src.withColumn("_n", F.count("*").over(whole_symbol()))
            .filter(F.col("_n") >= tf.macd_min_rows))
     wanted = lead("date", keep_last).isNull() if keep_last else F.lit(True)
     src = src.withColumn("_wanted", wanted)
@@ -151,7 +151,7 @@ def bollinger(bars: DataFrame, period: int = 20, width: float = 2.0, tf: Timefra
               as_of=None, lookback: int | None = None, keep_last: int | None = 10) -> DataFrame:
     """Bollinger bands of the look-back, last rows per symbol with enough history."""
     src = since(bars.select("symbol", "date", "close"), lookback or tf.band_lookback, as_of)
-    src = (src.withColumn("_n", F.count("*").over(WHOLE_SYMBOL))
+    src = (src.withColumn("_n", F.count("*").over(whole_symbol()))
            .filter(F.col("_n") >= tf.band_min_rows))
     out = with_bollinger(src, period, width, tf).filter("percent_b IS NOT NULL")
     if keep_last:
@@ -295,7 +295,7 @@ def with_support_strength(bars: DataFrame, window: int = 20, tolerance: float =
     """
     floor = F.min("low").over(last_n(window))
     out = bars.withColumns({"_lows": F.collect_list("low").over(last_n(window)), "_floor": floor,
-                            "_rn": F.row_number().over(BY_SYMBOL)})
+                            "_rn": F.row_number().over(by_symbol())})
     hits = F.size(F.filter("_lows", lambda x: F.abs(x - F.col("_floor")) <=
                            F.col("_floor") * tolerance))
     strength = F.when(F.col("_rn") > window, F.least(hits / touches, F.lit(1.0))).otherwise(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.functions.frames import BY_SYMBOL, tail
+from barsmith.functions.frames import by_symbol, tail
 from barsmith.functions.scalar import ColumnLike, col
 
 
@@ -107,7 +107,7 @@ def union_tagged(parts: dict[str, DataFrame], tag: str) -> DataFrame:
 
 
 def positions(df: DataFrame) -> DataFrame:
-    return df.withColumn("row_num", F.row_number().over(BY_SYMBOL))
+    return df.withColumn("row_num", F.row_number().over(by_symbol()))
 
 
 def abs_desc(c: ColumnLike) -> Column:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barsmith.functions.frames import BY_SYMBOL, WHOLE_SYMBOL, running
+from barsmith.functions.frames import running, whole_symbol
 from barsmith.functions.scalar import ColumnLike, col, ratio, return_fraction
 
 KEYS = ("symbol", "date")
@@ -99,12 +99,14 @@ def cross_join_kpis(*one_row: DataFrame) -> DataFrame:
     return out
 
 
-DAY_NUMBER = Window.partitionBy("symbol").orderBy(F.unix_date("date"))
+def day_number() -> WindowSpec:
+    """Date order as an integer, for frames measured in calendar days."""
+    return Window.partitionBy("symbol").orderBy(F.unix_date("date"))
 
 
 def prior_range(agg: Callable[[str], Column], column: str, first: int, last: int) -> Column:
     """Aggregate over the bars dated ``first``..``last`` calendar days before the current one."""
-    return agg(column).over(DAY_NUMBER.rangeBetween(-first, -last))
+    return agg(column).over(day_number().rangeBetween(-first, -last))
 
 
 def prior_range_max(bars: DataFrame, days: int = 20) -> DataFrame:
@@ -115,7 +117,7 @@ def prior_range_max(bars: DataFrame, days: int = 20) -> DataFrame:
 
 
 def running_total(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(column).over(running(BY_SYMBOL)))
+    return df.withColumn(name, F.sum(column).over(running()))
 
 
 def semi_join_having(bars: DataFrame, having: Column, *aggs: Column,
@@ -186,4 +188,4 @@ def guarded_ratio(num: Column, den: Column) -> Column:
 
 
 def in_whole_symbol(agg: Column) -> Column:
-    return agg.over(WHOLE_SYMBOL)
+    return agg.over(whole_symbol())

@@ -98,12 +98,12 @@ def forecasts(bars_: DataFrame) -> DataFrame:
 
     The actual close is still missing on the last five dates.
     """
-    from barsmith.functions.frames import BY_SYMBOL, before
+    from barsmith.functions.frames import by_symbol, before
 
     last = bars_.agg(F.max("date").alias("_last"))
     out = bars_.withColumns({
         "predicted_close": F.avg("close").over(before(5)),
-        "_seen": F.lag("close").over(BY_SYMBOL)}).crossJoin(F.broadcast(last))
+        "_seen": F.lag("close").over(by_symbol())}).crossJoin(F.broadcast(last))
     actual = F.when(F.col("date") <= F.date_sub("_last", 5), F.col("close"))
     error = F.abs(F.col("predicted_close") - actual)
     return out.filter(F.col("predicted_close").isNotNull()).select(

@@ -23,6 +23,7 @@ class Entry:
 
 
 REGISTRY: dict[str, Entry] = {}
+HOME: dict[str, str] = {}
 MODULES = ("storage", "columns", "joining", "grouping", "windowing", "ordering", "indicators",
            "market", "signals", "accumulation", "breakout", "backtest", "news", "streams",
            "quality")
@@ -55,6 +56,7 @@ def query(name: str, sql: str | None = None, round_to: str = "", digits: int = 6
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
         REGISTRY[name] = Entry(name, plan, checked)
+        HOME[name] = fn.__module__
         return plan
 
     return register

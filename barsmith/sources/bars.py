@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barsmith.functions.frames import BY_SYMBOL
+from barsmith.functions.frames import by_symbol
 
 # Column order and types of a daily bar.
 BAR_SCHEMA = T.StructType([
@@ -155,7 +155,7 @@ def complete_bars(df: DataFrame) -> DataFrame:
     """Add previous close and change, and fill the columns a feed lacks with typed NULLs."""
     out = df
     if "prev_close" not in out.columns:
-        out = out.withColumn("prev_close", F.lag("close").over(BY_SYMBOL))
+        out = out.withColumn("prev_close", F.lag("close").over(by_symbol()))
     if "change" not in out.columns:
         out = out.withColumn("change", F.col("close") - F.col("prev_close"))
     missing = {f.name: F.lit(None).cast(f.dataType) for f in BAR_SCHEMA
