@@ -172,13 +172,14 @@ def staging_view(bars: DataFrame, name: str = "stg_bars") -> DataFrame:
     return out
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
+def write_bars(bars: DataFrame, path: str, files_per_month: int = 32) -> None:
     """Store bars partitioned by month, sorted by symbol inside a file.
 
     Monthly folders keep partitions large; the sort gives tight min/max
-    statistics for symbol filters.
+    statistics for symbol filters. A symbol has at most 31 bars a month, so
+    the hash spreads a month evenly.
     """
-    (bars.withColumn("month", F.date_format("date", "yyyy-MM"))
-     .repartition("month", F.pmod(F.hash("symbol"), F.lit(32)))
+    (bars.withColumn("month", F.trunc("date", "month"))
+     .repartition("month", F.pmod(F.hash("symbol"), F.lit(files_per_month)))
      .sortWithinPartitions("symbol", "date")
      .write.mode("overwrite").partitionBy("month").parquet(path))

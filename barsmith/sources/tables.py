@@ -88,8 +88,12 @@ def dim_upsert(dim: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_cols: Sequence[str]) -> None:
-    """Replace exactly the partitions present in ``df``."""
-    (df.repartition(*partition_cols).write.mode("overwrite")
+    """Replace exactly the partitions present in ``df``.
+
+    The rebalance hint gathers a folder's rows into few files, yet lets AQE
+    split a folder that is too large for one task.
+    """
+    (df.hint("rebalance", *partition_cols).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(path))
 
 
