@@ -49,9 +49,14 @@ def backtest(signals: DataFrame, bars: DataFrame, tf: Timeframe = DAILY, as_of=N
 
 def recalibrate_probability(signals: DataFrame, results: DataFrame, as_of,
                             days: int = 7) -> DataFrame:
-    """Recent signals take the observed win rate of their score (eleven rates at most)."""
-    rates = win_rates(results).select("buy_score",
-                                      F.round(F.col("win_rate") / 100, 4).alias("_rate"))
+    """Recent signals take the observed win rate of their score.
+
+    One rate per whole score from 0 to 10: at most eleven rows to broadcast.
+    """
+    scored = results.filter(F.col("buy_score").between(0, 10)).withColumn(
+        "buy_score", F.col("buy_score").cast("int"))
+    rates = win_rates(scored).select("buy_score",
+                                     F.round(F.col("win_rate") / 100, 4).alias("_rate"))
     recent = F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)
     out = signals.join(F.broadcast(rates), "buy_score", "left")
     return out.withColumn("winning_probability", F.when(

@@ -89,11 +89,12 @@ def default_probability() -> Column:
 def with_probability(df: DataFrame, win_rates: DataFrame | None) -> DataFrame:
     """Observed win rate of the score where there is one, else the linear default.
 
-    Scores run from 0 to 10, so the rate table has at most eleven rows.
+    One rate per whole score from 0 to 10: at most eleven rows to broadcast.
     """
     if win_rates is None:
         return df.withColumn("winning_probability", default_probability())
-    rates = win_rates.select("buy_score", (F.col("win_rate") / 100).alias("_rate"))
+    rates = win_rates.filter(F.col("buy_score").between(0, 10)).select(
+        F.col("buy_score").cast("int").alias("buy_score"), (F.col("win_rate") / 100).alias("_rate"))
     return (df.join(F.broadcast(rates), "buy_score", "left")
             .withColumn("winning_probability", F.coalesce("_rate", default_probability()))
             .drop("_rate"))

@@ -55,7 +55,7 @@ BAND = ("CASE WHEN accumulation_score <= 40 THEN 'No Signal' WHEN accumulation_s
 SELECT symbol, date, accumulation_score, {BAND} AS signal_strength, rs AS relative_strength
 FROM score""", _score_cte("bars")), "accumulation_score relative_strength")
 def _(spark, sf):
-    return A.accumulation_score(bars(spark, sf, named=False)).select(
+    return A.accumulation_score(bars(spark, sf)).select(
         "symbol", "date", "accumulation_score", "signal_strength", "relative_strength")
 
 
@@ -76,7 +76,7 @@ SCREEN_ROUND = "accumulation_score relative_volume ad_line:2 cmf ofi price_tight
 
 def screen(spark, sf):
     # Score and volume bounds a little below the defaults, for more hits.
-    return A.accumulation_screen(bars(spark, sf, named=False), latest_date(spark, sf),
+    return A.accumulation_screen(bars(spark, sf), latest_date(spark, sf),
                                  min_score=50, min_volume=1.0)
 
 
@@ -154,7 +154,7 @@ SELECT CAST(sum(foreign_net) AS BIGINT) AS total_net_flow,
        count(*) FILTER (foreign_net < 0) AS distributing FROM flowtab""", FOREIGN),
        "avg_participation")
 def _(spark, sf):
-    return A.flow_summary(A.foreign_flow(bars(spark, sf, named=False), latest_date(spark, sf)))
+    return A.flow_summary(A.foreign_flow(bars(spark, sf), latest_date(spark, sf)))
 
 
 def _smart_cte(where=""):
@@ -189,7 +189,7 @@ def _(spark, sf):
 SELECT * EXCLUDE (name) FROM sm WHERE volume_ratio > 1.5 AND price_impact < 1.5
   AND foreign_participation > 0.2""", _smart_cte()), SMART_ROUND)
 def _(spark, sf):
-    smart = A.with_smart_money(bars(spark, sf, named=False)).select(
+    smart = A.with_smart_money(bars(spark, sf)).select(
         *[c for c in A.SMART_COLUMNS if c != "name"])
     return A.hidden_accumulation(smart)
 
@@ -213,5 +213,5 @@ def _(spark, sf):
 SELECT m.symbol, m.date, m.mfv AS money_flow_volume, a.atr_14 FROM mflow m
 JOIN atr_tab a USING (symbol, date)""", FLOW, ATR), "money_flow_volume atr_14", 2)
 def _(spark, sf):
-    return A.with_accumulation_indicators(bars(spark, sf, named=False)).select(
+    return A.with_accumulation_indicators(bars(spark, sf)).select(
         "symbol", "date", "money_flow_volume", "atr_14")

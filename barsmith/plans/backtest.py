@@ -46,12 +46,12 @@ def _results(spark, sf, b, signals=None):
 
 @query("backtest", bars_sql("SELECT * FROM res", RESULTS), "winning_probability percent_change")
 def _(spark, sf):
-    return _results(spark, sf, bars(spark, sf, named=False))
+    return _results(spark, sf, bars(spark, sf))
 
 
 @query("win_rates", bars_sql("SELECT * FROM rates", RESULTS, RATES), "win_rate avg_return")
 def _(spark, sf):
-    return win_rates(_results(spark, sf, bars(spark, sf, named=False)))
+    return win_rates(_results(spark, sf, bars(spark, sf)))
 
 
 @query("recalibrate_probability", bars_sql(f"""
@@ -60,7 +60,7 @@ SELECT s.symbol, s.date, s.buy_score,
        ELSE s.winning_probability END AS winning_probability
 FROM sig s LEFT JOIN rates r USING (buy_score)""", RESULTS, RATES), "winning_probability", 4)
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     s = _signals(spark, sf, b)
     return B.recalibrate_probability(s, _results(spark, sf, b, s), latest_date(spark, sf),
                                      days=60).select("symbol", "date", "buy_score",
@@ -87,7 +87,7 @@ SELECT buy_score, count(*) AS total_signals, count(*) FILTER (is_win) AS win_cou
        count(*) FILTER (is_win) * 1e2 / count(*) AS win_rate, avg(percent_change) AS avg_return
 FROM res WHERE signal_date >= {D} - 60 GROUP BY buy_score""", RESULTS), "win_rate avg_return")
 def _(spark, sf):
-    return B.performance_by_score(_results(spark, sf, bars(spark, sf, named=False)),
+    return B.performance_by_score(_results(spark, sf, bars(spark, sf)),
                                   latest_date(spark, sf))
 
 
@@ -104,7 +104,7 @@ FROM (SELECT DISTINCT symbol FROM bars), unnest({_values(RSI_GRID['period'])}) A
      unnest({_values(RSI_GRID['oversold'])}) AS b(o), unnest({_values(RSI_GRID['overbought'])}) AS c(h)
 """))
 def _(spark, sf):
-    return B.param_grid(bars(spark, sf, named=False).select("symbol").distinct(), RSI_GRID)
+    return B.param_grid(bars(spark, sf).select("symbol").distinct(), RSI_GRID)
 
 
 STATS = """count(*) AS n, avg(r1) * 100 AS a1, avg(r5) * 100 AS a5,
@@ -141,7 +141,7 @@ GRID_ROUND = "avg_return_1d avg_return_5d win_rate_1d win_rate_5d score"
 
 @query("evaluate_rsi_grid", bars_sql("SELECT * FROM rsi_grid", _rsi_grid_cte()), GRID_ROUND)
 def _(spark, sf):
-    return B.evaluate_rsi_grid(bars(spark, sf, named=False), as_of=latest_date(spark, sf))
+    return B.evaluate_rsi_grid(bars(spark, sf), as_of=latest_date(spark, sf))
 
 
 def _macd_grid_cte():
@@ -167,7 +167,7 @@ def _macd_grid_cte():
 
 @query("evaluate_macd_grid", bars_sql("SELECT * FROM macd_grid", _macd_grid_cte()), GRID_ROUND)
 def _(spark, sf):
-    return B.evaluate_macd_grid(bars(spark, sf, named=False), as_of=latest_date(spark, sf))
+    return B.evaluate_macd_grid(bars(spark, sf), as_of=latest_date(spark, sf))
 
 
 @query("best_parameters", bars_sql("""
@@ -177,7 +177,7 @@ SELECT 'RSI' AS indicator, symbol, '{"period":' || period || ',"oversold":' || o
   || ',"overbought":' || overbought || '}' AS parameters, signal_count
 FROM b WHERE r = 1""", _rsi_grid_cte()))
 def _(spark, sf):
-    grid = B.evaluate_rsi_grid(bars(spark, sf, named=False), as_of=latest_date(spark, sf))
+    grid = B.evaluate_rsi_grid(bars(spark, sf), as_of=latest_date(spark, sf))
     grid = grid.withColumn("score", F.round("score", 9))
     best = B.best_parameters({"RSI": grid}, {"RSI": list(RSI_GRID)})
     return best.select("indicator", "symbol", "parameters",
@@ -189,7 +189,7 @@ def _(spark, sf):
 
 
 def _directions(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     return P.forecast_direction(forecasts(b), M.daily_metrics(b))
 
 
@@ -225,7 +225,7 @@ SELECT f.symbol, f.prediction_date, f.predicted_close, coalesce(f.actual_close,
 FROM fc f LEFT JOIN bars b ON b.symbol = f.symbol AND b.date = f.prediction_date""", METRICS,
                                     FORECASTS), "predicted_close prediction_error error_percentage")
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     return P.backfill_actuals(forecasts(b), b)
 
 
@@ -234,7 +234,7 @@ SELECT symbol, sqrt(avg(power(predicted_close - actual_close, 2))) AS rmse,
   avg(prediction_error) AS mae, avg(error_percentage) AS mape, count(*) AS prediction_count
 FROM fc WHERE actual_close IS NOT NULL GROUP BY symbol""", METRICS, FORECASTS), "rmse mae mape")
 def _(spark, sf):
-    return P.forecast_error_metrics(forecasts(bars(spark, sf, named=False)))
+    return P.forecast_error_metrics(forecasts(bars(spark, sf)))
 
 
 def _indicator_rows(b):
@@ -255,7 +255,7 @@ LEFT JOIN macd_tab m ON m.symbol = r.symbol AND m.date = r.signal_date
 LEFT JOIN flags f ON f.symbol = r.symbol AND f.date = r.signal_date""", RESULTS, RSI, MACD),
        "percent_change volume_ratio daily_change rsi macd_line macd_histogram percent_b")
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     s = _signals(spark, sf, b)
     return P.win_features(s, _results(spark, sf, b, s), b, _indicator_rows(b))
 
@@ -263,7 +263,7 @@ def _(spark, sf):
 @query("train_win_classifier")
 def _(spark, sf):
     """Win flag of every five-day trade, scored by order count, learnt by a random forest."""
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     every = b.select("symbol", "date", F.col("frequency").alias("buy_score"),
                      F.lit(0.5).alias("winning_probability"))
     res = B.backtest(every, b, DAILY, latest_date(spark, sf), min_score=0)
@@ -278,7 +278,7 @@ SELECT symbol, date, coalesce((close - min(close) OVER w) / nullif(max(close) OV
          AS DOUBLE), 0), 0) AS volume_scaled
 FROM bars WINDOW w AS (PARTITION BY symbol)"""), "close_scaled volume_scaled")
 def _(spark, sf):
-    b = bars(spark, sf, named=False).select("symbol", "date", "close", "volume")
+    b = bars(spark, sf).select("symbol", "date", "close", "volume")
     return P.minmax_normalize(b, ["close", "volume"]).drop("close", "volume")
 
 
@@ -300,14 +300,14 @@ SELECT * EXCLUDE (rn, n), CASE WHEN rn - 10 < floor((n - 10) * 0.8e0) THEN 'trai
          AS split FROM y WHERE rn >= 10 AND target IS NOT NULL""", METRICS, RSI, MACD),
        " ".join(f"{c}_{k}" for c in ("percent_change", "macd_line", "rsi") for k in (0, 4, 9)))
 def _(spark, sf):
-    out = P.sequence_features(_sequence_base(bars(spark, sf, named=False)))
+    out = P.sequence_features(_sequence_base(bars(spark, sf)))
     return out.select("symbol", "date", *[f"{c}_{k}" for c in P.SEQUENCE_FEATURES
                                           for k in (0, 4, 9)], "target", "split")
 
 
 @query("next_close_forecast")
 def _(spark, sf):
-    return P.next_close_forecast(_sequence_base(bars(spark, sf, named=False)))
+    return P.next_close_forecast(_sequence_base(bars(spark, sf)))
 
 
 @query("save_model_version", bars_sql("""
@@ -321,7 +321,7 @@ def _(spark, sf):
     from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
 
-    b = bars(spark, sf, named=False).select("symbol", "date", "close", "frequency")
+    b = bars(spark, sf).select("symbol", "date", "close", "frequency")
     model = P.fit_scaler(b, ["close", "frequency"])
     path = work_dir(spark, "scaler")
     P.save_model_version(spark, model, path)

@@ -26,7 +26,7 @@ for _unit in ("week", "month"):
     @query("period_rollup" if _unit == "week" else "period_rollup_month", _rollup_sql(_unit),
            "avg_daily_return")
     def _(spark, sf, _unit=_unit):
-        return R.period_rollup(bars(spark, sf, named=False), _unit)
+        return R.period_rollup(bars(spark, sf), _unit)
 
 
 @query("conditional_counts", bars_sql("""
@@ -35,7 +35,7 @@ SELECT date, count(*) FILTER (close > prev_close) AS gainers,
        CAST(sum(CASE WHEN foreign_buy > foreign_sell THEN volume ELSE 0 END) AS BIGINT)
          AS bought_volume FROM bars GROUP BY date"""))
 def _(spark, sf):
-    return bars(spark, sf, named=False).groupBy("date").agg(
+    return bars(spark, sf).groupBy("date").agg(
         F.count_if(F.col("close") > F.col("prev_close")).alias("gainers"),
         F.count_if(F.col("close") < F.col("prev_close")).alias("losers"),
         F.sum(F.when(F.col("foreign_buy") > F.col("foreign_sell"), F.col("volume")).otherwise(0))
@@ -45,7 +45,7 @@ def _(spark, sf):
 @query("distinct_symbols", bars_sql(
     "SELECT date, count(DISTINCT symbol) AS symbols FROM bars GROUP BY date"))
 def _(spark, sf):
-    return bars(spark, sf, named=False).groupBy("date").agg(
+    return bars(spark, sf).groupBy("date").agg(
         F.count_distinct("symbol").alias("symbols"))
 
 
@@ -56,7 +56,7 @@ FROM fcd GROUP BY symbol""", METRICS, FORECASTS), "direction_accuracy_pct")
 def _(spark, sf):
     from barsmith.operators.forecast import forecast_direction
     from barsmith.operators.market import daily_metrics
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     d = forecast_direction(forecasts(b), daily_metrics(b))
     return d.groupBy("symbol").agg(R.guarded_ratio(
         F.count_if("direction_correct"), F.count("actual_close")).alias("direction_accuracy_pct"))
@@ -69,7 +69,7 @@ SELECT buy_score, count(*) AS total_signals, count(*) FILTER (pc > 2) AS win_cou
        count(*) FILTER (pc > 2) * 1e2 / count(*) AS win_rate, avg(pc) AS avg_return
 FROM res GROUP BY buy_score"""), "win_rate avg_return")
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     out = R.join_date_offset(b.select("symbol", "date", "close",
                                       F.col("frequency").alias("buy_score")), b, 5)
     pc = (F.col("offset_close") - F.col("close")) / F.col("close") * 100
@@ -82,7 +82,7 @@ SELECT symbol, max(high) AS max_high, min(low) AS min_low, avg(volume) AS avg_vo
        stddev_samp(close) AS std_dev, avg(close) AS avg_price, max(date) AS last_date,
        min(date) AS first_date FROM bars GROUP BY symbol"""), "avg_volume std_dev avg_price", 4)
 def _(spark, sf):
-    return R.symbol_profile(bars(spark, sf, named=False))
+    return R.symbol_profile(bars(spark, sf))
 
 
 @query("error_metrics", bars_sql("""
@@ -92,14 +92,14 @@ SELECT symbol, sqrt(avg((predicted_close - actual_close) ** 2)) AS rmse,
        count(*) AS prediction_count
 FROM fc WHERE actual_close IS NOT NULL GROUP BY symbol""", METRICS, FORECASTS), "rmse mae mape")
 def _(spark, sf):
-    return R.error_metrics(forecasts(bars(spark, sf, named=False)))
+    return R.error_metrics(forecasts(bars(spark, sf)))
 
 
 @query("having_filter", bars_sql("""
 SELECT symbol, max(close * listed_shares) AS market_cap FROM bars GROUP BY symbol
 HAVING max(close * listed_shares) >= 3e12"""))
 def _(spark, sf):
-    return bars(spark, sf, named=False).groupBy("symbol").agg(
+    return bars(spark, sf).groupBy("symbol").agg(
         F.max(F.col("close") * F.col("listed_shares")).alias("market_cap")).filter(
         "market_cap >= 3e12")
 
@@ -124,7 +124,7 @@ SELECT ev.symbol, event_date, max(high) AS highest, min(low) AS lowest,
 FROM ev JOIN bars b ON b.symbol = ev.symbol AND b.date BETWEEN event_date + 1 AND event_date + 5
 GROUP BY ev.symbol, event_date"""), "avg_volume")
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     events = b.filter("(close - prev_close) / nullif(prev_close, 0) > 0.05D").select(
         "symbol", F.col("date").alias("event_date"), F.col("close").alias("event_price"))
     hit = R.join_date_range(events, b.select("symbol", "date", "high", "low", "close", "volume"),
@@ -140,7 +140,7 @@ def _(spark, sf):
 SELECT max(date) AS last_date, count(*) AS bars, avg(close) AS avg_close,
        max(volume) AS max_volume FROM bars"""), "avg_close")
 def _(spark, sf):
-    return bars(spark, sf, named=False).agg(
+    return bars(spark, sf).agg(
         F.max("date").alias("last_date"), F.count("*").alias("bars"),
         F.avg("close").alias("avg_close"), F.max("volume").alias("max_volume"))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.sources.bars import bars_from_ticks, complete_bars
+from barsmith.session import shared_dir
+from barsmith.sources.bars import bars_from_ticks, store_bucketed
 
 # Seven source days make one trading day; the first source week starts on this Monday.
 EPOCH = dt.date(1995, 1, 2)
@@ -44,22 +46,51 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"), F.col("s_name").alias("name"))
+    """One name per symbol; grouping also tells Spark that the symbol is a key."""
+    return (table(spark, sf_dir, "supplier")
+            .groupBy(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"))
+            .agg(F.max("s_name").alias("name")))
 
 
-def bars(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
-    """Bars of every symbol and trading day in the tick table."""
+def derive_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of every symbol and trading day, straight from the ticks."""
     out = bars_from_ticks(ticks(spark, sf_dir))
     key = F.substring("symbol", 2, 20).cast("long")
     shares = (key % 10 + 1) * 100_000_000
     out = out.withColumns({
         "bid": F.col("low"), "offer": F.col("high"), "listed_shares": shares,
         "tradable_shares": (shares * 0.8).cast("long"), "upload_file": F.lit("ticks")})
-    if named:
-        # No hint: Spark broadcasts the names only below its size threshold.
-        out = out.join(names(spark, sf_dir), "symbol", "left")
-    return complete_bars(out)
+    # No hint: Spark broadcasts the names only below its size threshold.
+    return out.join(names(spark, sf_dir), "symbol", "left")
+
+
+_STORED: dict[tuple, str] = {}
+BYTES_PER_BUCKET = 2 << 30
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
+    """Size and newest change of a source table, so that new data is noticed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (fs.getContentSummary(root).getLength(),
+            max(f.getModificationTime() for f in fs.listStatus(root)))
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bar table of a tick table: folded once per application, then read.
+
+    It lives in the shared folder, bucketed by symbol. Bucket count follows
+    the size of the ticks.
+    """
+    size, changed = _fingerprint(spark, sf_dir, "lineitem")
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), size, changed)
+    if key not in _STORED or not spark.catalog.tableExists(_STORED[key]):
+        buckets = min(max(spark.sparkContext.defaultParallelism, size // BYTES_PER_BUCKET), 50_000)
+        name = f"bars_{uuid.uuid4().hex}"
+        store_bucketed(derive_bars(spark, sf_dir), name, f"{shared_dir(spark).rstrip('/')}/{name}",
+                       int(buckets))
+        _STORED[key] = name
+    return spark.table(_STORED[key])
 
 
 def latest_date(spark: SparkSession, sf_dir: str) -> dt.date:

@@ -17,7 +17,7 @@ from barsmith.plans.sqlbase import MACD, METRICS, RSI, bars_sql
 SELECT r.symbol, r.date, r.rsi, m.macd_line FROM rsi_tab r
 JOIN macd_tab m ON m.symbol = r.symbol AND m.date = r.date""", RSI, MACD), "rsi macd_line")
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     return R.join_inner_symbol_date(I.rsi_sql(b).select("symbol", "date", "rsi"),
                                     I.macd_sma(b).select("symbol", "date", "macd_line"))
 
@@ -27,7 +27,7 @@ SELECT b.symbol, b.date, b.close, r.rsi, m.macd_line
 FROM bars b LEFT JOIN rsi_tab r USING (symbol, date) LEFT JOIN macd_tab m USING (symbol, date)""",
                                    RSI, MACD), "rsi macd_line")
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     return R.join_left_chain(b.select("symbol", "date", "close"),
                              I.rsi_sql(b).select("symbol", "date", "rsi"),
                              I.macd_sma(b).select("symbol", "date", "macd_line"))
@@ -41,7 +41,7 @@ FROM bars b FULL JOIN (SELECT * FROM senti WHERE feed = 'A') s
 def _(spark, sf):
     news = sentiment_table(scored_articles(spark, sf), "A").select(
         F.col("ticker").alias("symbol"), "date", "avg_sentiment")
-    return R.join_full_outer(bars(spark, sf, named=False).select("symbol", "date", "close"), news)
+    return R.join_full_outer(bars(spark, sf).select("symbol", "date", "close"), news)
 
 
 @query("join_full_outer_3way", bars_sql("""
@@ -53,7 +53,7 @@ FROM (SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.date, b.date) AS
       FROM a FULL JOIN b ON a.symbol = b.symbol AND a.date = b.date) ab
 FULL JOIN c ON c.symbol = ab.symbol AND c.date = ab.date"""))
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     return R.join_full_outer_3way(
         b.filter("close > prev_close").select("symbol", "date", F.col("close").alias("up")),
         b.filter("volume > 10000000").select("symbol", "date", F.col("volume").alias("busy")),
@@ -63,14 +63,14 @@ def _(spark, sf):
 
 @query("join_dim_broadcast", bars_sql("SELECT symbol, date, close, name FROM bars"))
 def _(spark, sf):
-    return R.join_dim(bars(spark, sf, named=False).select("symbol", "date", "close"),
+    return R.join_dim(bars(spark, sf).select("symbol", "date", "close"),
                       names(spark, sf))
 
 
 @query("join_latest_date", bars_sql(
     "SELECT symbol, close, date AS latest_date FROM bars WHERE date = (SELECT d FROM anchor)"))
 def _(spark, sf):
-    return R.join_latest_date(bars(spark, sf, named=False)).select("symbol", "close", "latest_date")
+    return R.join_latest_date(bars(spark, sf)).select("symbol", "close", "latest_date")
 
 
 @query("period_first_last_close", bars_sql("""
@@ -78,14 +78,14 @@ SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS period_start,
        first(close ORDER BY date) AS period_open, last(close ORDER BY date) AS period_close
 FROM bars GROUP BY 1, 2"""))
 def _(spark, sf):
-    return R.period_first_last_close(bars(spark, sf, named=False), "week")
+    return R.period_first_last_close(bars(spark, sf), "week")
 
 
 @query("join_date_offset", bars_sql("""
 SELECT e.symbol, e.date, e.close AS entry_price, x.close AS exit_price
 FROM bars e JOIN bars x ON x.symbol = e.symbol AND x.date = e.date + 5"""))
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     return R.join_date_offset(b.select("symbol", "date", F.col("close").alias("entry_price")), b, 5,
                               name="exit_price")
 
@@ -99,7 +99,7 @@ BREAK = """, ev AS (
 SELECT ev.symbol, event_date, event_price, b.date, b.high FROM ev
 JOIN bars b ON b.symbol = ev.symbol AND b.date > event_date AND b.date <= event_date + 5""", BREAK))
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     events = b.filter("(close - prev_close) / nullif(prev_close, 0) > 0.05D").select(
         "symbol", F.col("date").alias("event_date"), F.col("close").alias("event_price"))
     return R.join_date_range(events, b.select("symbol", "date", "high"), 1, 5, "event_date").select(
@@ -111,7 +111,7 @@ SELECT (SELECT count(*) FROM bars WHERE change > 0) AS gainers,
        (SELECT count(*) FROM bars WHERE change < 0) AS losers,
        (SELECT max(volume) FROM bars) AS max_volume"""))
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     return R.cross_join_kpis(
         b.agg(F.count_if(F.col("change") > 0).alias("gainers"),
               F.count_if(F.col("change") < 0).alias("losers")),
@@ -126,7 +126,7 @@ SELECT b.symbol, b.date, b.close,
           AND p.date BETWEEN b.date - 20 AND b.date - 1) AS prior_avg_volume
 FROM bars b"""), "prior_avg_volume")
 def _(spark, sf):
-    return R.prior_range_max(bars(spark, sf, named=False))
+    return R.prior_range_max(bars(spark, sf))
 
 
 @query("running_total", bars_sql("""
@@ -134,14 +134,14 @@ SELECT symbol, date, volume,
        CAST(sum(volume) OVER (PARTITION BY symbol ORDER BY date) AS BIGINT) AS volume_to_date
 FROM bars"""))
 def _(spark, sf):
-    return R.running_total(bars(spark, sf, named=False).select("symbol", "date", "volume"), "volume",
+    return R.running_total(bars(spark, sf).select("symbol", "date", "volume"), "volume",
                            "volume_to_date")
 
 
 @query("filter_latest_date", bars_sql(
     "SELECT symbol, date, close FROM bars WHERE date = (SELECT max(date) FROM bars)"))
 def _(spark, sf):
-    b = bars(spark, sf, named=False).select("symbol", "date", "close")
+    b = bars(spark, sf).select("symbol", "date", "close")
     return b.filter(F.col("date") == F.lit(latest_date(spark, sf)))
 
 
@@ -149,7 +149,7 @@ def _(spark, sf):
 SELECT symbol, date, volume FROM bars WHERE symbol IN (
   SELECT symbol FROM bars GROUP BY symbol HAVING avg(volume) > 5200000)"""))
 def _(spark, sf):
-    return R.semi_join_having(bars(spark, sf, named=False).select("symbol", "date", "volume"),
+    return R.semi_join_having(bars(spark, sf).select("symbol", "date", "volume"),
                               F.col("v") > 5200000, F.avg("volume").alias("v"))
 
 
@@ -158,7 +158,7 @@ SELECT symbol, date, close FROM bars b WHERE date >= DATE '2000-06-20' AND NOT E
   SELECT 1 FROM bars t WHERE t.date < DATE '2000-07-01' AND t.symbol = b.symbol
     AND t.date = b.date)"""))
 def _(spark, sf):
-    b = bars(spark, sf, named=False).select("symbol", "date", "close")
+    b = bars(spark, sf).select("symbol", "date", "close")
     return R.anti_join_new_rows(b.filter("date >= DATE '2000-06-20'"),
                                 b.filter("date < DATE '2000-07-01'"), ["symbol", "date"])
 
@@ -167,7 +167,7 @@ def _(spark, sf):
 SELECT b.symbol, b.date, b.close, r.rsi, CAST(NULL AS VARCHAR) AS macd_signal
 FROM bars b LEFT JOIN rsi_tab r USING (symbol, date)""", RSI), "rsi")
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     out = R.optional_join(b.select("symbol", "date", "close"),
                           I.rsi_sql(b).select("symbol", "date", "rsi"))
     return R.optional_join(out, None, columns={"macd_signal": "string"})
@@ -177,6 +177,6 @@ def _(spark, sf):
 SELECT m.symbol, m.date, m.percent_change, n.s_name AS company FROM metrics m
 JOIN supplier n ON 'S' || n.s_suppkey = m.symbol""", METRICS), "percent_change")
 def _(spark, sf):
-    metrics = M.daily_metrics(bars(spark, sf, named=False)).select("symbol", "date",
+    metrics = M.daily_metrics(bars(spark, sf)).select("symbol", "date",
                                                                    "percent_change")
     return R.join_dim(metrics, names(spark, sf).withColumnRenamed("name", "company"))

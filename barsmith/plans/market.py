@@ -70,7 +70,7 @@ SELECT count(DISTINCT symbol) AS total_stocks,
        count(*) FILTER (prev_close > 0 AND close < prev_close) AS losers
 FROM bars WHERE date = {LATEST}"""), "avg_change")
 def _(spark, sf):
-    return M.market_kpis(bars(spark, sf, named=False))
+    return M.market_kpis(bars(spark, sf))
 
 
 DAY = f""", day AS (SELECT * FROM metrics WHERE date = {LATEST} AND prev_close > 0)"""
@@ -121,7 +121,7 @@ SELECT count(*) FILTER (percent_change > 5) AS big_gainers,
        count(*) AS total_active_stocks, avg(volume) AS avg_volume, max(volume) AS max_volume
 FROM day WHERE volume > 0""", METRICS, DAY), "avg_volume")
 def _(spark, sf):
-    return M.quick_stats(bars(spark, sf, named=False), latest_date(spark, sf))
+    return M.quick_stats(bars(spark, sf), latest_date(spark, sf))
 
 
 @query("volume_leaders", bars_sql("""
@@ -172,7 +172,7 @@ UNION ALL SELECT 'high', avg(high), stddev_samp(high), min(high), max(high) FROM
 UNION ALL SELECT 'frequency', avg(frequency), stddev_samp(frequency), min(frequency),
                  max(frequency) FROM bars"""), "mean std")
 def _(spark, sf):
-    return M.summary_stats(bars(spark, sf, named=False), ["close", "high", "frequency"])
+    return M.summary_stats(bars(spark, sf), ["close", "high", "frequency"])
 
 
 @query("liquid_universe", bars_sql(f"""

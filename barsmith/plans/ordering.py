@@ -12,7 +12,7 @@ from barsmith.plans.sqlbase import METRICS, bars_sql
 
 
 def _plain(spark, sf):
-    return bars(spark, sf, named=False)
+    return bars(spark, sf)
 
 
 @query("distinct_on_latest", bars_sql("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barsmith.operators import quality as Q
-from barsmith.plans.inputs import bars, table
+from barsmith.plans.inputs import bars, derive_bars, table
 from barsmith.plans.registry import query
 from barsmith.plans.sqlbase import bars_sql
 from barsmith.operators.market import dim_companies
@@ -21,7 +21,7 @@ def _verdict(check, failures):
              "SELECT count(*) AS failures FROM bars WHERE prev_close IS NULL") + " UNION ALL "
     + _verdict("not_null_symbol", "SELECT count(*) AS failures FROM bars WHERE symbol IS NULL")))
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     return Q.check_not_null(b, "prev_close").unionByName(Q.check_not_null(b, "symbol"))
 
 
@@ -31,7 +31,7 @@ def _(spark, sf):
     + _verdict("unique_close", "SELECT count(*) AS failures FROM (SELECT 1 FROM bars "
                "GROUP BY close HAVING count(*) > 1)")))
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     return Q.check_unique(b, "symbol", "date").unionByName(Q.check_unique(b, "close"))
 
 
@@ -63,3 +63,14 @@ def _(spark, sf):
             F.lit(n).alias("table_name"), "records")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("bars_from_ticks", bars_sql("""
+SELECT symbol, name, date, open_price, high, low, close, volume, value, frequency, foreign_buy,
+       foreign_sell, bid_volume, offer_volume, listed_shares, tradable_shares FROM bars"""))
+def _(spark, sf):
+    """The fold from ticks to bars itself, without the stored table."""
+    return derive_bars(spark, sf).select(
+        "symbol", "name", "date", "open_price", "high", "low", "close", "volume", "value",
+        "frequency", "foreign_buy", "foreign_sell", "bid_volume", "offer_volume", "listed_shares",
+        "tradable_shares")

@@ -31,7 +31,7 @@ FROM rsi_tab r JOIN macd_tab m USING (symbol, date) JOIN metrics b USING (symbol
                                             RECOMMENDATION),
        "rsi macd_line signal_line macd_histogram percent_change")
 def _(spark, sf):
-    return G.technical_recommendation(bars(spark, sf, named=False))
+    return G.technical_recommendation(bars(spark, sf))
 
 
 OVERSOLD = RSI + MACD + """, screen AS (
@@ -44,14 +44,16 @@ OVERSOLD = RSI + MACD + """, screen AS (
 
 @query("oversold_bullish", bars_sql("SELECT * FROM screen", OVERSOLD), "rsi")
 def _(spark, sf):
-    return G.oversold_bullish(bars(spark, sf, named=False))
+    return G.oversold_bullish(bars(spark, sf))
 
 
-@query("oversold_bullish_screen", bars_sql(f"""
-SELECT * FROM screen WHERE date = {LATEST} ORDER BY volume_today DESC, symbol LIMIT 20""",
+@query("oversold_bullish_screen", bars_sql("""
+SELECT * FROM screen WHERE date = (SELECT max(date) FROM screen)
+ORDER BY volume_today DESC, symbol LIMIT 20""",
                                            OVERSOLD), "rsi")
 def _(spark, sf):
-    return G.oversold_bullish_screen(bars(spark, sf, named=False), latest_date(spark, sf))
+    # No date given: the newest one that has a hit.
+    return G.oversold_bullish_screen(bars(spark, sf))
 
 
 def history_sql(tf, prefix="", source="bars"):
@@ -113,14 +115,17 @@ SIG = ("symbol, date, buy_score, selling_score, winning_probability, signal_stre
 @query("signal_history", bars_sql(f"SELECT {SIG} FROM sig", history_sql(DAILY)),
        "winning_probability")
 def _(spark, sf):
-    return flat(G.signal_history(bars(spark, sf, named=False), DAILY))
+    return flat(G.signal_history(bars(spark, sf), DAILY))
 
 
 def last_signals(spark, sf, tf, b=None):
-    """The timeframe's score of each symbol's last bar, from its own indicator tables."""
+    """The timeframe's score of each symbol's last bar, from its own indicator tables.
+
+    Scores from 1 on: high scores are rare on these tables.
+    """
     b, as_of = b or bars(spark, sf), latest_date(spark, sf)
     return G.buy_score(b, I.rsi(b, tf=tf, as_of=as_of), I.macd_ewm(b, tf=tf, as_of=as_of),
-                       I.bollinger(b, tf=tf, as_of=as_of), tf=tf, as_of=as_of)
+                       I.bollinger(b, tf=tf, as_of=as_of), tf=tf, as_of=as_of, min_score=1)
 
 
 def last_sql(tf, name):
@@ -175,7 +180,7 @@ def last_sql(tf, name):
          WHEN buy_score >= 4 THEN 'Weak' ELSE 'No Signal' END AS signal_strength
   FROM (SELECT *, CAST(round_even((t1 + t2 + t3 + t4 + t5 + t6) * 1.25e0, 0) AS INTEGER)
                     AS buy_score FROM {name}_hit)
-  WHERE buy_score >= 3)"""
+  WHERE buy_score >= 1)"""
 
 
 for _tf in (DAILY, WEEKLY, MONTHLY):
@@ -194,12 +199,12 @@ SELECT symbol, (max(high) - min(low)) / min(low) * 100 AS volatility_pct,
        avg(volume) AS avg_volume, stddev_samp(close) / avg(close) * 100 AS price_volatility,
        max(date) AS last_date, min(date) AS first_date, max(date) - min(date) AS days_range
 FROM bars WHERE date >= {LATEST} - 30 GROUP BY symbol
-HAVING avg(volume) >= 1000000 AND (max(high) - min(low)) / min(low) * 100 BETWEEN 1 AND 20.5"""),
+HAVING avg(volume) >= 1000000 AND (max(high) - min(low)) / min(low) * 100 BETWEEN 1 AND 24"""),
        "volatility_pct avg_volume:4 price_volatility")
 def _(spark, sf):
     # The default range of 1..4 % is narrower than any symbol of these tables.
-    return G.volatility_liquidity_filter(bars(spark, sf, named=False), DAILY,
-                                         latest_date(spark, sf), (1.0, 20.5))
+    return G.volatility_liquidity_filter(bars(spark, sf), DAILY,
+                                         latest_date(spark, sf), (1.0, 24.0))
 
 
 @query("high_probability", bars_sql(f"""
@@ -207,18 +212,18 @@ SELECT s.symbol, s.date, s.buy_score, s.signal_strength, s.winning_probability,
        s.volume, r.rsi, m.macd_signal, s.close * 1.05e0 AS tp1, s.close * 1.1e0 AS tp2,
        s.close * 0.97e0 AS stop_loss
 FROM one s LEFT JOIN rsi_tab r USING (symbol, date) LEFT JOIN macd_tab m USING (symbol, date)
-WHERE s.date = {LATEST} AND winning_probability >= 0.6 AND buy_score >= 3
+WHERE s.date = {LATEST} AND winning_probability >= 0.55 AND buy_score >= 1
 ORDER BY buy_score DESC, winning_probability DESC, symbol LIMIT 10""", last_sql(DAILY, "one"), RSI,
                                     MACD), "winning_probability rsi tp1 tp2 stop_loss")
 def _(spark, sf):
     b = bars(spark, sf)
     return G.high_probability(last_signals(spark, sf, DAILY, b), b, I.rsi_sql(b), I.macd_sma(b),
-                              DAILY, latest_date(spark, sf), min_score=3, min_probability=0.6)
+                              DAILY, latest_date(spark, sf), min_score=1, min_probability=0.55)
 
 
 def _best_sql(name, tag):
     return (f"(SELECT symbol, name, close, '{tag}' AS tf FROM {name} WHERE date = {LATEST} "
-            f"AND winning_probability >= 0.6 AND buy_score >= 3 "
+            f"AND winning_probability >= 0.55 AND buy_score >= 1 "
             f"ORDER BY buy_score DESC, winning_probability DESC, symbol LIMIT 5)")
 
 
@@ -234,7 +239,7 @@ def _(spark, sf):
     found = G.timeframe_confluence(
         {"Daily": last_signals(spark, sf, DAILY, b), "Weekly": last_signals(spark, sf, WEEKLY, b),
          "Monthly": last_signals(spark, sf, MONTHLY, b)}, b, latest_date(spark, sf),
-        min_score=3, min_probability=0.6)
+        min_score=1, min_probability=0.55)
     return found.withColumn("timeframes", F.array_join("timeframes", ","))
 
 
@@ -266,7 +271,7 @@ def _bandar_cte(where=""):
 SELECT symbol, date, close, volume_ratio, bandar_score, signal_strength, positive_days_last5,
        foreign_net, next_day_change FROM bd""", _bandar_cte()), "volume_ratio next_day_change")
 def _(spark, sf):
-    return G.bandar_history(bars(spark, sf, named=False)).select(
+    return G.bandar_history(bars(spark, sf)).select(
         "symbol", "date", "close", "volume_ratio", "bandar_score", "signal_strength",
         "positive_days_last5", "foreign_net", "next_day_change")
 
@@ -322,7 +327,7 @@ ADVANCED = ("s1 AS volume_intensity, s2 AS volume_surge, s3 AS foreign_momentum,
        "volume_intensity volume_surge foreign_momentum bid_ask_strength stealth buying_weakness "
        "foreign_consistency composite_bandar_score volume_ratio")
 def _(spark, sf):
-    return G.with_advanced_bandar(bars(spark, sf, named=False)).select(
+    return G.with_advanced_bandar(bars(spark, sf)).select(
         "symbol", "date", *G.COMPOSITE_WEIGHTS, "composite_bandar_score", "volume_ratio")
 
 
@@ -449,7 +454,7 @@ SELECT * EXCLUDE (b), ['STRONG BEARISH', 'BEARISH', 'WEAK BEARISH', 'NEUTRAL', '
    'Bearish: 10-20% | Bullish: 80-90%'][b] AS probability
 FROM k""", WAVE))
 def _(spark, sf):
-    return G.market_bias(bars(spark, sf, named=False))
+    return G.market_bias(bars(spark, sf))
 
 
 def _level_rows():
@@ -468,12 +473,12 @@ def _level_rows():
 SELECT *, CASE WHEN price <= 0 THEN 'N/A' WHEN close > price OR (close = price AND side = 'bear')
                THEN 'Above' ELSE 'Below' END AS status FROM lv""", FIB), "price")
 def _(spark, sf):
-    return G.fib_status(bars(spark, sf, named=False))
+    return G.fib_status(bars(spark, sf))
 
 
 @query("signals_by_strength", bars_sql("""
 SELECT signal_strength, count(*) AS signals, avg(winning_probability) AS avg_probability
 FROM sig GROUP BY signal_strength""", history_sql(DAILY)), "avg_probability")
 def _(spark, sf):
-    return G.signal_history(bars(spark, sf, named=False), DAILY).groupBy("signal_strength").agg(
+    return G.signal_history(bars(spark, sf), DAILY).groupBy("signal_strength").agg(
         F.count("*").alias("signals"), F.avg("winning_probability").alias("avg_probability"))

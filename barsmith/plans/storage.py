@@ -28,7 +28,7 @@ updates AS (SELECT symbol, date, close + 1 AS close, volume + 1 AS volume FROM b
 
 
 def split(spark, sf):
-    b = bars(spark, sf, named=False).select(*KEYS, "close", "volume")
+    b = bars(spark, sf).select(*KEYS, "close", "volume")
     fresh = b.filter(F.col("date") >= F.lit(OVERLAP)).withColumns(
         {"close": F.col("close") + 1, "volume": F.col("volume") + 1})
     return b.filter(F.col("date") < F.lit(CUT)), fresh
@@ -58,7 +58,7 @@ def raw_files(b):
 def _(spark, sf):
     """Write every bar to CSV files under the exchange's headers, then read the folder back."""
     path = work_dir(spark, "bars")
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     raw = b.select(*[F.col(c).cast("string").alias(h) for c, h in RAW.items()], "date")
     raw.write.option("header", True).csv(path)
     return B.read_bars(spark, path).select(*RAW, F.col("date").cast("date"))
@@ -67,7 +67,7 @@ def _(spark, sf):
 @query("with_file_date", bars_sql(
     "SELECT symbol, date, close FROM bars WHERE day(date) <> 13"))
 def _(spark, sf):
-    raw = raw_files(bars(spark, sf, named=False))
+    raw = raw_files(bars(spark, sf))
     return B.normalise_headers(B.with_file_date(raw, F.col("_file"))).select("symbol", "date",
                                                                             "close")
 
@@ -75,7 +75,7 @@ def _(spark, sf):
 @query("latest_file_only", bars_sql(
     "SELECT symbol, date, close FROM bars WHERE date = (SELECT d FROM anchor)"))
 def _(spark, sf):
-    raw = raw_files(bars(spark, sf, named=False))
+    raw = raw_files(bars(spark, sf))
     dated = B.normalise_headers(B.with_file_date(raw, F.col("_file")))
     return B.latest_file_only(dated).select("symbol", "date", "close")
 
@@ -84,7 +84,7 @@ def _(spark, sf):
 SELECT 'Ringkasan Saham-' || strftime(date, '%Y%m%d') || '.csv' AS upload_file,
        count(*) AS records_processed FROM bars WHERE day(date) <> 13 GROUP BY 1"""))
 def _(spark, sf):
-    raw = raw_files(bars(spark, sf, named=False))
+    raw = raw_files(bars(spark, sf))
     rows = B.normalise_headers(B.with_file_date(raw, F.col("_file")))
     return rows.groupBy("upload_file").agg(F.count("*").alias("records_processed"))
 
@@ -171,7 +171,7 @@ def _(spark, sf):
 
 @query("ensure_table", bars_sql("SELECT symbol, date, close FROM bars"))
 def _(spark, sf):
-    b = bars(spark, sf, named=False).select("symbol", "date", "close")
+    b = bars(spark, sf).select("symbol", "date", "close")
     empty = T.ensure_table(spark, "barsmith_signals_store", b.schema)
     return empty.limit(0).unionByName(b)
 
@@ -184,7 +184,7 @@ SELECT 'bulk_load' AS process_name, strftime(date, '%Y%m%d') AS file_name,
             THEN count(*) FILTER (prev_close IS NULL) || ' bad rows' END AS error_message
 FROM bars GROUP BY date"""))
 def _(spark, sf):
-    b = bars(spark, sf, named=False).withColumn("upload_file", F.date_format("date", "yyyyMMdd"))
+    b = bars(spark, sf).withColumn("upload_file", F.date_format("date", "yyyyMMdd"))
     return T.processing_log(b, "bulk_load", F.lit(None).cast("timestamp"),
                             bad=F.col("prev_close").isNull()).drop("process_date")
 
@@ -195,7 +195,7 @@ def _(spark, sf):
 SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS records_processed,
        count(*) FILTER (bad = 0) AS succeeded, count(*) FILTER (bad > 0) AS failed FROM log"""))
 def _(spark, sf):
-    b = bars(spark, sf, named=False).withColumn("upload_file", F.date_format("date", "yyyyMMdd"))
+    b = bars(spark, sf).withColumn("upload_file", F.date_format("date", "yyyyMMdd"))
     return T.log_summary(T.processing_log(b, "bulk_load", F.lit(None).cast("timestamp"),
                                           bad=F.col("prev_close").isNull()))
 
@@ -221,13 +221,13 @@ def _(spark, sf):
 
 @query("latest_date", bars_sql("SELECT d AS latest_date FROM anchor"))
 def _(spark, sf):
-    return R.latest_date(bars(spark, sf, named=False), dt.date(1999, 12, 31))
+    return R.latest_date(bars(spark, sf), dt.date(1999, 12, 31))
 
 
 @query("temp_table", bars_sql("""
 SELECT symbol, count(*) AS bars, max(close) AS top_close FROM bars GROUP BY symbol"""))
 def _(spark, sf):
-    T.temp_table(bars(spark, sf, named=False).select("symbol", "date", "close"), "barsmith_closes")
+    T.temp_table(bars(spark, sf).select("symbol", "date", "close"), "barsmith_closes")
     return spark.sql("SELECT symbol, count(*) AS bars, max(close) AS top_close "
                      "FROM barsmith_closes GROUP BY symbol")
 
@@ -246,7 +246,7 @@ SELECT f.symbol, f.prediction_date, f.predicted_close, coalesce(f.actual_close,
 FROM fc f LEFT JOIN bars b ON b.symbol = f.symbol AND b.date = f.prediction_date""", METRICS,
                                 FORECASTS), "predicted_close")
 def _(spark, sf):
-    b = bars(spark, sf, named=False)
+    b = bars(spark, sf)
     f = forecasts(b).select("symbol", "prediction_date", "predicted_close", "actual_close")
     seen = b.select("symbol", F.col("date").alias("prediction_date"), F.col("close").alias("seen"))
     return T.update_from(f, seen, ["symbol", "prediction_date"], {"actual_close": F.col("seen")},
@@ -257,5 +257,5 @@ def _(spark, sf):
 SELECT symbol, last(close ORDER BY date) AS close, max(date) AS date FROM bars
 WHERE date < DATE '2000-07-01' GROUP BY symbol"""))
 def _(spark, sf):
-    b = bars(spark, sf, named=False).filter(F.col("date") < F.lit(CUT))
+    b = bars(spark, sf).filter(F.col("date") < F.lit(CUT))
     return latest_per(b.select("symbol", "date", "close"))

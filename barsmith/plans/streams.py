@@ -17,7 +17,7 @@ MOVES = """, moves AS (
 
 
 def _moves(spark, sf):
-    out = bars(spark, sf, named=False).select(
+    out = bars(spark, sf).select(
         "symbol", "date", "close", pct_change("close", "prev_close").alias("percent_change"))
     return out.filter(F.abs("percent_change") > 3).withColumn(
         "winning_probability", F.when(F.col("percent_change") > 0, 0.75).otherwise(0.25))
@@ -82,7 +82,7 @@ SELECT symbol, date, CASE WHEN date >= DATE '2000-06-20' AND date < DATE '2000-0
 def _(spark, sf):
     """Two drops of files with overlapping dates; the second corrects the first."""
     folder, target, ckpt = (work_dir(spark, n) for n in ("drop", "bars", "ckpt"))
-    b = bars(spark, sf, named=False).select("symbol", "date", "close", "volume")
+    b = bars(spark, sf).select("symbol", "date", "close", "volume")
     late = F.col("date") >= F.lit("2000-06-20").cast("date")
     overlap = late & (F.col("date") < F.lit("2000-07-01").cast("date"))
     drops = (b.filter(F.col("date") < F.lit("2000-07-01").cast("date")),

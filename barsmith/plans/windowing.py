@@ -17,7 +17,7 @@ OVER = "PARTITION BY symbol ORDER BY date"
 
 
 def _plain(spark, sf):
-    return bars(spark, sf, named=False)
+    return bars(spark, sf)
 
 
 @query("row_number_latest", bars_sql(f"""
