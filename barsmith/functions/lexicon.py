@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,12 +58,13 @@ BILINGUAL_NEGATIVE = DEFAULT_NEGATIVE + words(NEGATIVE_EN)
 
 
 def hits(text: Column, entries: Sequence[str]) -> Column:
-    """Number of entries found in the text; each distinct word is searched once."""
-    weight: dict[str, int] = {}
-    for w in entries:
-        weight[w] = weight.get(w, 0) + 1
-    parts = [F.when(text.contains(w), n).otherwise(0) for w, n in weight.items()]
-    return reduce(lambda a, b: a + b, parts, F.lit(0))
+    """Number of list entries found in the text.
+
+    The list is one array literal: the expression stays small however long
+    the list, where a sum of a few hundred conditions would outgrow a
+    generated method.
+    """
+    return F.size(F.filter(F.lit(list(entries)), lambda w: F.contains(text, w)))
 
 
 def sentiment_columns(pos: ColumnLike, neg: ColumnLike) -> dict[str, Column]:

@@ -95,9 +95,6 @@ def _values(xs):
     return "[" + ", ".join(map(str, xs)) + "]"
 
 
-RSI_CELLS = f"""unnest({_values(RSI_GRID['period'])}) AS period"""
-
-
 @query("param_grid", bars_sql(f"""
 SELECT symbol, p AS period, o AS oversold, h AS overbought
 FROM (SELECT DISTINCT symbol FROM bars), unnest({_values(RSI_GRID['period'])}) AS a(p),
@@ -288,7 +285,7 @@ def _sequence_base(b):
 
 
 @query("sequence_features", bars_sql("""
-, x AS (SELECT m.symbol, m.date, m.close, m.volume, m.percent_change, d.macd_line, r.rsi
+, x AS (SELECT m.symbol, m.date, m.close, CAST(m.volume AS DOUBLE) AS volume, m.percent_change, d.macd_line, r.rsi
         FROM metrics m JOIN macd_tab d USING (symbol, date) JOIN rsi_tab r USING (symbol, date)
         WHERE m.percent_change IS NOT NULL),
 y AS (SELECT symbol, date, """ + ", ".join(

@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores; a large input is left as it is.
+
+    Text scoring is compute-bound, and a file of one row group would be one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _day() -> F.Column:
     return F.datediff(F.col("l_shipdate").cast("date"), F.lit(EPOCH))
 
@@ -93,13 +102,19 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(_STORED[key])
 
 
+_LATEST: dict[tuple, dt.date] = {}
+
+
 def latest_date(spark: SparkSession, sf_dir: str) -> dt.date:
-    """Last trading day, from one column of the tick table.
+    """Last trading day, from one column of the tick table; looked up once per state of it.
 
     A driver-side literal lets every look-back filter reach below the windows.
     """
-    last = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").cast("date")).first()[0]
-    return FIRST_TRADING_DAY + dt.timedelta(days=(last - EPOCH).days // 7)
+    key = (sf_dir.rstrip("/"), *_fingerprint(spark, sf_dir, "lineitem"))
+    if key not in _LATEST:
+        last = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").cast("date")).first()[0]
+        _LATEST[key] = FIRST_TRADING_DAY + dt.timedelta(days=(last - EPOCH).days // 7)
+    return _LATEST[key]
 
 
 TEST_POSITIVE = ["the", "le", "der"]
@@ -112,7 +127,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = latest_date(spark, sf_dir)
     age = (F.col("doc_id") % 30).cast("int")
     return (
-        table(spark, sf_dir, "documents").crossJoin(F.broadcast(listed)).select(
+        spread(table(spark, sf_dir, "documents")).crossJoin(F.broadcast(listed)).select(
             "doc_id",
             F.concat(F.lit("S"), F.col("doc_id") % F.col("_n")).alias("ticker"),
             F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),

@@ -9,7 +9,7 @@ from barsmith.functions.lexicon import (BILINGUAL_NEGATIVE, BILINGUAL_POSITIVE,
 from barsmith.operators import market as M
 from barsmith.operators import sentiment as N
 from barsmith.plans.inputs import (TEST_NEGATIVE, TEST_POSITIVE, articles, bars, latest_date,
-                                   table)
+                                   spread, table)
 from barsmith.plans.registry import query
 from barsmith.plans.sqlbase import METRICS, bars_sql
 
@@ -142,7 +142,7 @@ SELECT page_id, url, title, array_to_string(parts, ' ') AS content,
          AS snippet, len(parts) AS paragraph_count
 FROM s""")
 def _(spark, sf):
-    return N.article_extract(table(spark, sf, "pages"))
+    return N.article_extract(spread(table(spark, sf, "pages")))
 
 
 MONTH_NAMES = ["Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus",

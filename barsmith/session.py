@@ -30,13 +30,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting (tests, laptops) gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session
+    without that setting (tests, laptops) gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="barsmith-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -50,6 +52,7 @@ def get_spark(app: str = "barsmith", cores: str = "*", partitions: int = 8) -> S
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)

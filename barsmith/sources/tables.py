@@ -87,14 +87,20 @@ def dim_upsert(dim: DataFrame, bars: DataFrame) -> DataFrame:
 # --- writers ---------------------------------------------------------------------
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_cols: Sequence[str]) -> None:
+def overwrite_partitions(df: DataFrame, path: str, partition_cols: Sequence[str],
+                         pieces: int = 4) -> None:
     """Replace exactly the partitions present in ``df``.
 
     The rebalance hint gathers a folder's rows into few files, yet lets AQE
-    split a folder that is too large for one task.
+    split a folder that is too large for one task. Streaming batches run
+    without AQE; there a hash of the row cuts every folder into ``pieces``.
     """
-    (df.hint("rebalance", *partition_cols).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(path))
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        spread = df.hint("rebalance", *partition_cols)
+    else:
+        spread = df.repartition(*partition_cols, F.pmod(F.xxhash64(*df.columns), F.lit(pieces)))
+    (spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_cols).parquet(path))
 
 
 def full_refresh(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:

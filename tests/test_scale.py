@@ -104,3 +104,28 @@ def test_scan_reads_only_needed_columns(spark):
 def test_look_back_reaches_the_scan(spark):
     plan = load_all()["rsi"].plan(spark, SF_DIR)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(date," in plan
+
+
+def test_cap_per_ticker_limits_before_the_shuffle(spark):
+    plan = plan_of(spark, "recency_and_cap")
+    assert re.search(r"WindowGroupLimit.*Partial", plan), plan
+
+
+def test_hot_symbol_folds_to_one_row_per_day_and_task(spark):
+    """A third of all ticks in one symbol: the shuffle carries bars, not ticks."""
+    from barsmith.sources.bars import bars_from_ticks
+
+    ticks = spark.range(0, 90_000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(
+            F.concat(F.lit("S"), F.col("id") % 50)).alias("symbol"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias("date"),
+        (F.col("id") % 97).cast("double").alias("price"), F.lit(1).cast("long").alias("size"),
+        F.lit(1.0).alias("amount"), F.col("id").alias("seq"),
+        *[F.lit(False).alias(c) for c in ("is_foreign_buy", "is_foreign_sell", "at_bid",
+                                          "at_offer")])
+    out = bars_from_ticks(ticks)
+    hot = {r.date: r for r in out.filter("symbol = 'HOT'").collect()}
+    assert sum(r.frequency for r in hot.values()) == 30_000 and len(hot) == 20
+    want = ticks.filter("symbol = 'HOT'").toPandas().sort_values("seq")
+    for day, part in want.groupby("date"):
+        assert (hot[day].open_price, hot[day].close) == (part.price.iloc[0], part.price.iloc[-1])
