@@ -9,7 +9,7 @@ from barsmith.functions.frames import (avg_before, avg_n, before, between, lag,
                                        on_date, since, tail)
 from barsmith.functions.scalar import (at_least, at_most, first_match, price_action_label, ratio,
                                        text_of)
-from barsmith.operators.ranking import top_k, union_tagged
+from barsmith.operators.ranking import top_k
 from barsmith.operators.relational import (anti_join_new_rows, join_date_range,
                                            join_full_outer_3way, prior_range)
 
@@ -369,43 +369,49 @@ def fresh_breakouts(bars: DataFrame, as_of, days: int = 3, window: int = 20,
     return since(hit, days, as_of)
 
 
+def _stage(kind: str, when: Column, price: Column, target: Column, score: Column, rec: Column,
+           text: str) -> Column:
+    """One lifecycle row as a struct."""
+    return F.struct(F.lit(kind).alias("stage"), when.alias("analysis_date"), price.alias("price"),
+                    target.cast("double").alias("target_price"),
+                    score.cast("double").alias("score"), rec.alias("recommendation"),
+                    F.lit(text).alias("stage_description"))
+
+
 def lifecycle(relaxed: DataFrame, bars: DataFrame, history: DataFrame, as_of,
               days: tuple[int, int, int, int, int] = (2, 3, 7, 10, 10)) -> DataFrame:
     """All five stages in one list with priority and urgency.
 
     ``days`` are the ages of setup, breakout, validated, retest and recovery.
+    A known breakout is priced once and yields a row for every stage it
+    meets.
     """
     day = F.lit(as_of).cast("date")
-    s, b, v, r, x = days
-
-    def stage(df: DataFrame, when: Column, price: str, target: Column, score: Column, rec: Column,
-              text: str) -> DataFrame:
-        return df.select("symbol", when.alias("analysis_date"), F.col(price).alias("price"),
-                         target.cast("double").alias("target_price"),
-                         score.cast("double").alias("score"), rec.alias("recommendation"),
-                         F.lit(text).alias("stage_description"))
-
-    setup = since(relaxed, s, as_of, date_col="analysis_date").filter(F.col("overall_score") >= 50)
+    setup_days, fresh_days, valid_days, retest_days, recovery_days = days
+    setup = since(relaxed, setup_days, as_of, date_col="analysis_date").filter(
+        F.col("overall_score") >= 50).select("symbol", F.inline(F.array(_stage(
+            "SETUP", day, F.col("current_price"), F.col("target_price"), F.col("overall_score"),
+            F.col("recommendation"), "Pre-breakout accumulation detected"))))
+    fresh = fresh_breakouts(bars, as_of, fresh_days).select("symbol", F.inline(F.array(_stage(
+        "BREAKOUT", F.col("date"), F.col("close"), F.col("high"), F.lit(75),
+        F.lit("BREAKOUT DETECTED"), "Fresh breakout with volume confirmation"))))
     now = on_date(bars, as_of).select("symbol", "close")
-    aged = {n: _aged(history, as_of, None, n).join(now, "symbol") for n in {v, r, x}}
+    known = _aged(history, as_of, None, max(valid_days, retest_days, recovery_days)).join(now,
+                                                                                         "symbol")
+    age = F.datediff(day, "breakout_date")
     c, bp, res = F.col("close"), F.col("breakout_price"), F.col("resistance_level")
-    parts = {
-        "SETUP": stage(setup, day, "current_price", F.col("target_price"), F.col("overall_score"),
-                       F.col("recommendation"), "Pre-breakout accumulation detected"),
-        "BREAKOUT": stage(fresh_breakouts(bars, as_of, b), F.col("date"), "close", F.col("high"),
-                          F.lit(75), F.lit("BREAKOUT DETECTED"),
-                          "Fresh breakout with volume confirmation"),
-        "VALIDATED": stage(aged[v].filter(c >= bp * 0.98), day, "close", bp * 1.15, F.lit(85),
-                           F.lit("VALIDATED TRUE BREAKOUT"),
-                           "Breakout confirmed with follow-through"),
-        "RETEST": stage(aged[r].filter((c >= res) & (c <= bp * 1.05)), day, "close", bp * 1.1,
-                        F.lit(70), F.lit("RETEST ENTRY"), "Retest opportunity - GOOD RETEST"),
-        "RECOVERY": stage(aged[x].filter(c < bp * 0.95), day, "close", res, F.lit(40),
-                          F.lit("MONITOR RECOVERY"), "False breakout - wait for new setup"),
-    }
+    met = F.array_compact(F.array(
+        F.when((age <= valid_days) & (c >= bp * 0.98), _stage(
+            "VALIDATED", day, c, bp * 1.15, F.lit(85), F.lit("VALIDATED TRUE BREAKOUT"),
+            "Breakout confirmed with follow-through")),
+        F.when((age <= retest_days) & (c >= res) & (c <= bp * 1.05), _stage(
+            "RETEST", day, c, bp * 1.1, F.lit(70), F.lit("RETEST ENTRY"),
+            "Retest opportunity - GOOD RETEST")),
+        F.when((age <= recovery_days) & (c < bp * 0.95), _stage(
+            "RECOVERY", day, c, res, F.lit(40), F.lit("MONITOR RECOVERY"),
+            "False breakout - wait for new setup"))))
+    out = setup.unionByName(fresh).unionByName(known.select("symbol", F.inline(met)))
     name = F.col("stage")
-    return union_tagged(parts, "stage").withColumns({
+    return out.withColumns({
         "stage_priority": first_match([(name == n, p) for n, p, _ in STAGES], None),
         "action_urgency": first_match([(name == n, u) for n, _, u in STAGES], None)})
-
-

@@ -214,7 +214,7 @@ def _(spark, sf):
 SELECT symbol, date, v20 AS avg_volume_20, volume / (v20 + 1e-9) AS relative_volume,
        CASE WHEN volume > listed_shares * 5e-3 THEN 1 ELSE 0 END AS large_block_ratio,
        (fb + fs) / (volume + 1e-9) AS institutional_footprint
-FROM a""", FLOW), "avg_volume_20 relative_volume institutional_footprint", 4)
+FROM a""", FLOW), "avg_volume_20:4 relative_volume institutional_footprint")
 def _(spark, sf):
     return I.volume_profile(bars(spark, sf))
 
