@@ -50,11 +50,16 @@ def spaced(lower: bool) -> Alphabet:
 
 
 def alphanumeric() -> Alphabet:
-    """Words of ASCII letters and digits and all bytes over 127; letters in lower case."""
+    """Words of ASCII letters and digits and all bytes over 127; letters in lower case.
+
+    Trailing bytes 80-9F count as A0-BF: that is the case of Latin-1 and most Cyrillic letters,
+    and few other words differ in it alone.
+    """
     inside = np.zeros(256, dtype=bool)
     inside[48:58] = inside[65:91] = inside[97:123] = inside[128:] = True
     value = _BYTE_VALUES.copy()
     value[65:91] = value[97:123]
+    value[0x80:0xA0] = value[0xA0:0xC0]
     return Alphabet(inside, value)
 
 
@@ -173,3 +178,34 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(size):
         h = mix(h + words.hashes[at + k])
     return h, at
+
+
+class SortedHashes:
+    """Sorted hashes with a directory by their top bits, so a search is one or two comparisons."""
+
+    def __init__(self, keys: np.ndarray):
+        """``keys``: distinct values; ``order`` sorts rows that belong to them."""
+        hashes = mix(keys)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.bits = max(8, int(len(keys)).bit_length() + 1)
+        tops = self.hashes >> np.uint64(64 - self.bits)
+        self.start = np.searchsorted(tops, np.arange((1 << self.bits) + 1, dtype=np.uint64))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, or -1."""
+        if not len(self.hashes):
+            return np.full(len(keys), -1, dtype=np.int64)
+        h = mix(keys)
+        top = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.start[top], self.start[top + 1]
+        out = np.full(len(keys), -1, dtype=np.int64)
+        rest = np.flatnonzero(at < end)
+        at, end, h = at[rest], end[rest], h[rest]
+        while len(rest):
+            there = self.hashes[at]
+            hit = there == h
+            out[rest[hit]] = at[hit]
+            go = (there < h) & (at + 1 < end)
+            rest, at, end, h = rest[go], at[go] + 1, end[go], h[go]
+        return out
