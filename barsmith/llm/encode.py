@@ -2,7 +2,7 @@
 
 A space goes before a text, and the text falls into units that no piece can reach over (runs of
 spaces with what follows), so the best segmentation of a text is that of its units. A task encodes
-the distinct units of about a megabyte of text together: every position of every unit walks the
+the distinct units of a stretch of text together: every position of every unit walks the
 trie in step, and the best paths are relaxed by the position in the unit, all units at once.
 A character without a piece becomes the pieces of its bytes.
 """
@@ -121,8 +121,8 @@ def gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 #: Units a task remembers; when it holds more, it forgets all and goes on.
-REMEMBERED = 1 << 18
-UNITS_AT_ONCE = 1 << 16
+REMEMBERED = 1 << 17
+UNITS_AT_ONCE = 1 << 15
 
 
 class Encoder:
@@ -194,7 +194,7 @@ def encode_batch(p: P.Pieces, column: pa.Array) -> pa.ListArray:
                                     mask=pa.array(nulls) if nulls.any() else None)
 
 
-PIECES_AT_ONCE = 1 << 20
+PIECES_AT_ONCE = 1 << 18
 
 
 def _piece_bytes(p: P.Pieces) -> tuple[np.ndarray, np.ndarray]:

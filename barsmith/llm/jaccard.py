@@ -34,13 +34,13 @@ from barsmith.llm.store import documents, stored
 #: Shingles with a share of at least one in so many are common; hence also the bound of their list.
 COMMON_SHARE = 1 << 20
 #: Counters a task holds before it reports and starts again.
-COUNTED_AT_ONCE = 1 << 22
+COUNTED_AT_ONCE = 1 << 21
 #: Set hashes a task remembers in order not to send a copy's prefix again.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Bits of the filter that picks which documents are scanned again for verification.
 PICK_BITS = 20
 SKETCH_WORDS = 8
-PAIRS_AT_ONCE = 1 << 19
+PAIRS_AT_ONCE = 1 << 18
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -257,7 +257,7 @@ def _set_task(batches: Iterator[pa.RecordBatch], size: int, picked) -> Iterator[
             ns.append(len(s))
             sets.append(s.tobytes())
             held += len(s)
-            if held > 1 << 20:
+            if held > 1 << 18:
                 yield _set_rows(keys, ns, sets)
                 keys, ns, sets, held = [], [], [], 0
         yield _set_rows(keys, ns, sets)
