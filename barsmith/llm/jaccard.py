@@ -8,12 +8,13 @@ one group; only groups are joined, and members are expanded from the verified gr
 1. *Common shingles.* Tasks count shingles and report those met repeatedly; those with at least
    a 2^-20th of all shingles are common. At most 2^20 can be, so the list may be broadcast. It
    only steers the order: any list gives the same links.
-2. *Groups.* A row per document: size, set hash, a 512-bit parity sketch, and its prefix unless
+2. *Groups.* A row per document: size, set hash, a 1024-bit parity sketch, and its prefix unless
    the task has sent the same set before.
 3. *Group pairs.* Prefix shingles are dealt out by hash and sorted; runs of one shingle give the
    pairs whose sizes are compatible. Each set difference flips one sketch bit, so more differing
    bits than the threshold allows rules a pair out, and never a true link.
-4. *Verification* intersects the whole sets of the remaining group pairs.
+4. *Verification* reads the documents of the remaining pairs again, sends each set to its pairs and
+   intersects the two whole sets, as 48-bit hashes.
 5. *Expansion*: components over groups, joined back to the members.
 """
 
@@ -39,7 +40,7 @@ COUNTED_AT_ONCE = 1 << 21
 REMEMBERED = 1 << 16
 #: Bits of the filter that picks which documents are scanned again for verification.
 PICK_BITS = 20
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
 PAIRS_AT_ONCE = 1 << 18
 
 
@@ -255,7 +256,7 @@ def _set_task(batches: Iterator[pa.RecordBatch], size: int, picked) -> Iterator[
         for _, s in shingle_sets(texts, size):
             keys.append(_set_hash(s))
             ns.append(len(s))
-            sets.append(s.tobytes())
+            sets.append(_packed(s))
             held += len(s)
             if held > 1 << 18:
                 yield _set_rows(keys, ns, sets)
@@ -263,6 +264,17 @@ def _set_task(batches: Iterator[pa.RecordBatch], size: int, picked) -> Iterator[
         yield _set_rows(keys, ns, sets)
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, six bytes each."""
+    return np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(buffer) -> np.ndarray:
+    out = np.zeros((buffer.size // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(buffer, dtype=np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _set_rows(keys, ns, sets) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(sets, pa.binary())],
@@ -270,16 +282,25 @@ def _set_rows(keys, ns, sets) -> pa.RecordBatch:
 
 
 def _verify_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``u, v, second, members`` with the two sides of a pair next to each other."""
+    held = None
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x = np.frombuffer(a.as_buffer(), dtype=np.uint64)
-            y = np.frombuffer(b.as_buffer(), dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        mask = pa.array(keep, pa.bool_())
+        us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        side, members = batch.column(2).to_pylist(), batch.column(3)
+        keep_u, keep_v = [], []
+        for r in range(batch.num_rows):
+            pair = (us[r], vs[r])
+            if not side[r]:
+                held = (pair, _unpacked(members[r].as_buffer()))
+            elif held and held[0] == pair:
+                x, y = held[1], _unpacked(members[r].as_buffer())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep_u.append(pair[0])
+                    keep_v.append(pair[1])
+                held = None
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+            [pa.array(keep_u, pa.int64()), pa.array(keep_v, pa.int64())], names=["u", "v"])
 
 
 def _picked(ends: DataFrame) -> np.ndarray:
@@ -327,16 +348,16 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str
                   .select("hash_a", "n_a", "doc_a", "hash_b", "n_b", "doc_b"), "near-pairs")
     ends = near.select(F.col("doc_a").alias("doc_id")).union(near.select("doc_b"))
     picked = spark.sparkContext.broadcast(_picked(ends))
-    sets = stored(frame.mapInArrow(partial(_set_task, size=size, picked=picked),
-                                   "hash long, n int, members binary")
-                  .join(near.select(F.col("hash_a").alias("hash"), F.col("n_a").alias("n"))
-                        .union(near.select("hash_b", "n_b")).distinct(), ["hash", "n"])
-                  .dropDuplicates(["hash", "n"]), "sets")
+    sides = [near.select(F.col(f"hash_{x}").alias("hash"), F.col(f"n_{x}").alias("n"),
+                         F.col("doc_a").alias("u"), F.col("doc_b").alias("v"),
+                         F.lit(x == "b").alias("second")) for x in "ab"]
     links = stored(
-        near.join(sets.toDF("hash_a", "n_a", "members_a"), ["hash_a", "n_a"])
-        .join(sets.toDF("hash_b", "n_b", "members_b"), ["hash_b", "n_b"])
-        .select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"), "members_a", "members_b")
-        .mapInArrow(partial(_verify_task, percent=percent), "u long, v long"), "links")
+        frame.mapInArrow(partial(_set_task, size=size, picked=picked),
+                         "hash long, n int, members binary")
+        .join(sides[0].union(sides[1]), ["hash", "n"])
+        .select("u", "v", "second", "members").repartition("u", "v")
+        .sortWithinPartitions("u", "v", "second")
+        .mapInArrow(partial(_verify_task, percent=percent), "u long, v long").distinct(), "links")
     roots = components(links)
     degree = links.union(links.select("v", "u")).groupBy("u").agg(F.count("*").alias("links"))
     found = (groups.select("hash", "n", F.col("doc_id").alias("group_id"))
