@@ -6,9 +6,10 @@ by hash) that reach the threshold share a shingle in their prefixes, the first
 one group; only groups are joined, and members are expanded from the verified groups.
 
 1. *Common shingles.* Tasks count shingles and report those met repeatedly; those with at least
-   a 2^-20th of all shingles are common. At most 2^20 can be, so the list may be broadcast. It
+   a 2^-22th of all shingles are common. At most 2^22 can be, so the list may be broadcast. It
    only steers the order: any list gives the same links.
-2. *Groups.* A row per document: size, set hash, a 1024-bit parity sketch, and its prefix unless
+2. *Groups.* A row per document: size, set hash, a parity sketch of two to four
+   bits a shingle, and its prefix unless
    the task has sent the same set before.
 3. *Group pairs.* Prefix shingles are dealt out by hash and sorted; runs of one shingle give the
    pairs whose sizes are compatible. Each set difference flips one sketch bit, so more differing
@@ -33,14 +34,15 @@ from barsmith.llm.graph import components
 from barsmith.llm.store import documents, stored
 
 #: Shingles with a share of at least one in so many are common; hence also the bound of their list.
-COMMON_SHARE = 1 << 20
+COMMON_SHARE = 1 << 22
 #: Counters a task holds before it reports and starts again.
-COUNTED_AT_ONCE = 1 << 21
+COUNTED_AT_ONCE = 1 << 22
 #: Set hashes a task remembers in order not to send a copy's prefix again.
 REMEMBERED = 1 << 16
 #: Bits of the filter that picks which documents are scanned again for verification.
 PICK_BITS = 20
-SKETCH_WORDS = 16
+#: Least bits of a parity sketch; a larger set has two to four bits a shingle.
+SKETCH_BITS = 256
 PAIRS_AT_ONCE = 1 << 18
 
 
@@ -75,7 +77,7 @@ def _count_task(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
 
     def report() -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts > 2
+        often = counts > 1
         return pa.RecordBatch.from_arrays(
             [pa.array(keys[often].view(np.int64)), pa.array(counts[often].astype(np.int64)),
              pa.nulls(int(often.sum()), pa.int64())], names=["shingle", "n", "total"])
@@ -94,7 +96,7 @@ def _count_task(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
 
 
 def common_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Sorted hashes of common shingles, rarest order first kept beside as ranks; at most 2^20."""
+    """Sorted hashes of common shingles, rarest order first kept beside as ranks; at most 2^22."""
     counts = stored(docs.select(text).mapInArrow(
         partial(_count_task, size=size), "shingle long, n long, total long"), "shingle-counts")
     total = counts.agg(F.sum("total")).first()[0] or 0
@@ -122,15 +124,25 @@ def _set_hash(s: np.ndarray) -> int:
     return int(ts.mix(np.array([h], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(23)) & np.uint64(64 * SKETCH_WORDS - 1),
-                       minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def _sketch(s: np.ndarray) -> bytes:
+    bits = max(SKETCH_BITS, 1 << (2 * len(s) - 1).bit_length())
+    ones = np.bincount(((s >> np.uint64(23)) & np.uint64(bits - 1)).astype(np.int64),
+                       minlength=bits) & 1
+    return np.packbits(ones.astype(np.uint8)).tobytes()
 
 
-SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
-GROUP_SCHEMA = ("doc_id long, n int, hash long, prefix array<long>, "
-                + ", ".join(f"{c} long" for c in SKETCH))
+def apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two sketches, the longer folded to the length of the shorter: no more
+    than the elements that are in one set only."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+GROUP_SCHEMA = "doc_id long, n int, hash long, prefix array<long>, sketch binary"
 
 
 def _group_task(batches: Iterator[pa.RecordBatch], size: int, percent: int,
@@ -141,7 +153,7 @@ def _group_task(batches: Iterator[pa.RecordBatch], size: int, percent: int,
         n_rows = batch.num_rows
         n = np.zeros(n_rows, dtype=np.int32)
         hashes = np.zeros(n_rows, dtype=np.int64)
-        sketches = np.zeros((n_rows, SKETCH_WORDS), dtype=np.int64)
+        sketches: list[bytes | None] = [None] * n_rows
         parts: list[np.ndarray] = []
         lengths = np.zeros(n_rows, dtype=np.int64)
         for r, s in shingle_sets(batch.column(1), size):
@@ -163,13 +175,15 @@ def _group_task(batches: Iterator[pa.RecordBatch], size: int, percent: int,
         flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n), pa.array(hashes),
-             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            + [pa.array(sketches[:, k].copy()) for k in range(SKETCH_WORDS)],
-            names=["doc_id", "n", "hash", "prefix", *SKETCH])
+             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+             pa.array(sketches, pa.binary())], names=["doc_id", "n", "hash", "prefix", "sketch"])
+
 
+def _run_pairs(token, n, h, pos, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of one shingle that can reach the threshold by size and position.
 
-def _run_pairs(token, n, h, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of one shingle with sizes that can reach the threshold."""
+    At the first shingle two sets share, what follows in each must hold the whole overlap.
+    """
     run = np.concatenate([[0], np.cumsum(token[1:] != token[:-1])]).astype(np.int64)
     place = (run << 32) + n
     # n_j <= 100 n_i / percent, and sizes rise within a run
@@ -185,7 +199,9 @@ def _run_pairs(token, n, h, percent: int) -> Iterator[tuple[np.ndarray, np.ndarr
             i = np.repeat(np.arange(lo, hi), c)
             j = np.arange(int(c.sum())) - np.repeat(done[lo:hi] - done[lo], c) + np.repeat(
                 first[lo:hi], c)
-            keep = (h[i] != h[j]) | (n[i] != n[j])
+            least = -(-percent * (n[i].astype(np.int64) + n[j]) // (100 + percent))
+            keep = ((h[i] != h[j]) | (n[i] != n[j])) & (
+                np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
             yield i[keep], j[keep]
         lo = hi
 
@@ -197,6 +213,7 @@ def _pair_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     token = np.zeros(0, dtype=np.int64)
     n = np.zeros(0, dtype=np.int32)
     h = np.zeros(0, dtype=np.int64)
+    pos = np.zeros(0, dtype=np.int32)
     held: list[np.ndarray] = []
     n_held = 0
 
@@ -208,11 +225,12 @@ def _pair_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             names=["hash_a", "n_a", "hash_b", "n_b"])
 
     def work(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal token, n, h, held, n_held
+        nonlocal token, n, h, pos, held, n_held
         if not len(token):
             return
         stop = len(token) if last else int(np.searchsorted(token, token[-1]))
-        for i, j in _run_pairs(token[:stop], n[:stop], h[:stop], percent) if stop else ():
+        for i, j in _run_pairs(token[:stop], n[:stop], h[:stop], pos[:stop],
+                               percent) if stop else ():
             swap = (h[i] > h[j]) | ((h[i] == h[j]) & (n[i] > n[j]))
             a, b = np.where(swap, j, i), np.where(swap, i, j)
             held.append(np.stack([h[a], n[a].astype(np.int64), h[b], n[b].astype(np.int64)], 1))
@@ -220,7 +238,7 @@ def _pair_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             if n_held >= PAIRS_AT_ONCE:
                 yield report()
                 held, n_held = [], 0
-        token, n, h = token[stop:], n[stop:], h[stop:]
+        token, n, h, pos = token[stop:], n[stop:], h[stop:], pos[stop:]
 
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
@@ -229,17 +247,34 @@ def _pair_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             token = np.concatenate([token, *(b.column(0).to_numpy() for b in waiting)])
             n = np.concatenate([n, *(b.column(1).to_numpy() for b in waiting)])
             h = np.concatenate([h, *(b.column(2).to_numpy() for b in waiting)])
+            pos = np.concatenate([pos, *(b.column(3).to_numpy() for b in waiting)])
             waiting = []
             yield from work(False)
     if waiting:
         token = np.concatenate([token, *(b.column(0).to_numpy() for b in waiting)])
         n = np.concatenate([n, *(b.column(1).to_numpy() for b in waiting)])
         h = np.concatenate([h, *(b.column(2).to_numpy() for b in waiting)])
+        pos = np.concatenate([pos, *(b.column(3).to_numpy() for b in waiting)])
     yield from work(True)
     if held:
         yield report()
 
 
+NEAR_SCHEMA = "hash_a long, n_a int, doc_a long, hash_b long, n_b int, doc_b long"
+
+
+def _near_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow |A xor B| <= (1 - t) / (1 + t) (|A| + |B|)."""
+    for batch in batches:
+        both = batch.column(1).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
+        bits = np.fromiter((apart(a, b) for a, b in zip(
+            batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)),
+            dtype=np.int64, count=batch.num_rows)
+        keep = pa.array(bits * (100 + percent) <= (100 - percent) * both)
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(6)],
+                                         names=[c.split()[0] for c in NEAR_SCHEMA.split(", ")])
+
+
 def _bucket(ids: np.ndarray) -> np.ndarray:
     return (ts.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - PICK_BITS)).astype(
         np.int64)
@@ -333,19 +368,18 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str
     rows = stored(frame.mapInArrow(
         partial(_group_task, size=size, percent=percent, common=common), GROUP_SCHEMA), "groups")
     groups = stored(rows.where("n > 0 and doc_id is not null").groupBy("hash", "n").agg(
-        F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in SKETCH)), "group-keys")
+        F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "group-keys")
     postings = (rows.where("doc_id is not null and size(prefix) > 0")
-                .select(F.explode("prefix").alias("token"), "n", "hash"))
+                .select(F.posexplode("prefix").alias("pos", "token"), "n", "hash")
+                .select("token", "n", "hash", "pos"))
     pairs = (postings.repartition("token").sortWithinPartitions("token", "n", "hash")
              .mapInArrow(partial(_pair_task, percent=percent), PAIR_SCHEMA).distinct())
     side = {x: groups.select(F.col("hash").alias(f"hash_{x}"), F.col("n").alias(f"n_{x}"),
                              F.col("doc_id").alias(f"doc_{x}"),
-                             *(F.col(c).alias(f"{c}_{x}") for c in SKETCH)) for x in "ab"}
-    apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH)
-    # |A xor B| <= (1 - t) / (1 + t) (|A| + |B|)
+                             F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
     near = stored(pairs.join(side["a"], ["hash_a", "n_a"]).join(side["b"], ["hash_b", "n_b"])
-                  .where(apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-                  .select("hash_a", "n_a", "doc_a", "hash_b", "n_b", "doc_b"), "near-pairs")
+                  .select("hash_a", "n_a", "doc_a", "hash_b", "n_b", "doc_b", "sketch_a", "sketch_b")
+                  .mapInArrow(partial(_near_task, percent=percent), NEAR_SCHEMA), "near-pairs")
     ends = near.select(F.col("doc_a").alias("doc_id")).union(near.select("doc_b"))
     picked = spark.sparkContext.broadcast(_picked(ends))
     sides = [near.select(F.col(f"hash_{x}").alias("hash"), F.col(f"n_{x}").alias("n"),
