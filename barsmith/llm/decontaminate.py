@@ -26,7 +26,7 @@ from barsmith.llm.store import documents, stored, table
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("1110110111", "1101101101", "1011011011")
-SUBSTITUTION = 3
+SUBSTITUTION = 2
 #: An overlap has so many equal words, or SHARE of the item's words if that is less.
 MIN_WORDS = 13
 SHARE = 0.75
