@@ -81,11 +81,15 @@ def article_extract(pages: DataFrame, html: str = "html", paragraphs: int = 3,
 
 
 def ticker_sentiment(articles: DataFrame, date_col: str = "published") -> DataFrame:
-    """Counts and mean score per ticker and day; map-side combined."""
+    """Counts and mean score per ticker and day; map-side combined.
+
+    The mean is rounded to nine digits: a sum's last bits follow the order of the partitions, and
+    labels compare it with 0.2 and 0.5.
+    """
     label = F.col("sentiment")
     return articles.groupBy("ticker", F.col(date_col).cast("date").alias("date")).agg(
         F.count("*").alias("news_count"),
-        F.avg("sentiment_score").alias("avg_sentiment"),
+        F.round(F.avg("sentiment_score"), 9).alias("avg_sentiment"),
         F.count_if(label == "Positive").alias("positive_count"),
         F.count_if(label == "Negative").alias("negative_count"),
         F.count_if(label == "Neutral").alias("neutral_count"))

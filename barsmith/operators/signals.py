@@ -52,7 +52,14 @@ def oversold_bullish(bars: DataFrame) -> DataFrame:
 
 
 def oversold_bullish_screen(bars: DataFrame, as_of=None, k: int = 20) -> DataFrame:
-    return top_k(on_date(oversold_bullish(bars), as_of), [F.col("volume_today").desc()], k)
+    """Hits of the ``as_of`` date, by default the newest of the bars, whether it has one or not."""
+    hits = oversold_bullish(bars)
+    if as_of is None:
+        newest = bars.agg(F.max("date").alias("_newest"))
+        hits = hits.crossJoin(F.broadcast(newest)).filter("date = _newest").drop("_newest")
+    else:
+        hits = on_date(hits, as_of)
+    return top_k(hits, [F.col("volume_today").desc()], k)
 
 
 # --- weighted buy score ---------------------------------------------------------

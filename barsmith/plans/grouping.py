@@ -105,7 +105,7 @@ def _(spark, sf):
 
 
 @query("sentiment_fold", bars_sql("""
-SELECT ticker, count(*) AS news_count, avg(sentiment_score) AS avg_sentiment,
+SELECT ticker, count(*) AS news_count, round(avg(sentiment_score), 9) AS avg_sentiment,
        count(*) FILTER (sentiment = 'Positive') AS positive_count,
        count(*) FILTER (sentiment = 'Negative') AS negative_count,
        count(*) FILTER (sentiment = 'Neutral') AS neutral_count

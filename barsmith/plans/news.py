@@ -46,7 +46,7 @@ def scored_sql(positive, negative, source="art", name="scored") -> str:
 
 SENTIMENT = ARTICLES + scored_sql(TEST_POSITIVE, TEST_NEGATIVE) + """, senti AS (
   SELECT ticker, published AS date, feed, count(*) AS news_count,
-         avg(sentiment_score) AS avg_sentiment,
+         round(avg(sentiment_score), 9) AS avg_sentiment,
          count(*) FILTER (sentiment = 'Positive') AS positive_count,
          count(*) FILTER (sentiment = 'Negative') AS negative_count,
          count(*) FILTER (sentiment = 'Neutral') AS neutral_count
@@ -206,10 +206,10 @@ def _(spark, sf):
           JOIN (SELECT doc_id, doc_id // 2 AS k FROM art) d USING (doc_id))
 , dated AS (SELECT *, (SELECT d FROM anchor) - CAST(k % 30 AS INTEGER) AS day FROM sc2)
 , f AS (SELECT 'S' || (k % (SELECT count(*) FROM supplier)) AS symbol,
-               avg(sentiment_score) AS first_sentiment, count(*) AS first_count
+               round(avg(sentiment_score), 9) AS first_sentiment, count(*) AS first_count
         FROM dated WHERE feed = 'A' AND day = (SELECT max(day) FROM dated) GROUP BY 1)
 , g AS (SELECT 'S' || (k % (SELECT count(*) FROM supplier)) AS symbol,
-               avg(sentiment_score) AS second_sentiment, count(*) AS second_count
+               round(avg(sentiment_score), 9) AS second_sentiment, count(*) AS second_count
         FROM dated WHERE feed = 'B' AND day = (SELECT max(day) FROM dated) GROUP BY 1)
 SELECT *, first_sentiment * 5e-1 + second_sentiment * 5e-1 AS combined_sentiment,
        (first_sentiment > 0.2 AND second_sentiment < -0.2)

@@ -48,11 +48,11 @@ def _(spark, sf):
 
 
 @query("oversold_bullish_screen", bars_sql("""
-SELECT * FROM screen WHERE date = (SELECT max(date) FROM screen)
+SELECT * FROM screen WHERE date = (SELECT max(date) FROM bars)
 ORDER BY volume_today DESC, symbol LIMIT 20""",
                                            OVERSOLD), "rsi")
 def _(spark, sf):
-    # No date given: the newest one that has a hit.
+    # No date given: the newest of the bars.
     return G.oversold_bullish_screen(bars(spark, sf))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,26 +87,41 @@ def with_file_date(df: DataFrame, file_name: Column | None = None) -> DataFrame:
 
     Rows of files whose name carries no valid date are skipped.
     """
-    name = F.col("_metadata.file_name") if file_name is None else file_name
-    stamp = F.regexp_extract(F.url_decode(name) if file_name is None else name,
-                             r"-(\d{8})(?:\.[A-Za-z]+)?$", 1)
+    name = F.url_decode(F.col("_metadata.file_name")) if file_name is None else file_name
+    stamp = F.regexp_extract(name, r"-(\d{8})(?:\.[A-Za-z]+)?$", 1)
     day = F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd")).cast("date")
     return df.withColumns({"date": day, "upload_file": name}).filter(F.col("date").isNotNull())
 
 
+def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """Files of a folder, those with the same first line together: CSV columns go by position."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    first = (lines.where("start = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+             .groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")))
+    return [list(r.files) for r in first.orderBy("header").collect()]
+
+
 def read_bars(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read a folder of daily summary files.
 
     CSV columns arrive as text and are cast one by one, so a bad cell or a
-    file without a date cannot stop the rest of the folder.
+    file without a date cannot stop the rest of the folder. Files with other
+    columns, or in another order, are read under their own header. A file that
+    cannot be read raises: nothing is left out in silence.
     """
-    reader = spark.read.option("ignoreCorruptFiles", True)
+    def dated(raw: DataFrame) -> DataFrame:
+        if "date" not in raw.columns:
+            raw = with_file_date(raw.select("*", "_metadata"))
+        return normalise_headers(raw)
+
     if fmt == "parquet":
-        raw = reader.parquet(path)
-    else:
-        raw = reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    raw = with_file_date(raw.select("*", "_metadata")) if "date" not in raw.columns else raw
-    return normalise_headers(raw)
+        return dated(spark.read.parquet(path))
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    parts = [dated(reader.csv(files)) for files in files_by_header(spark, path)]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else \
+        dated(reader.csv(path))
 
 
 def latest_file_only(df: DataFrame) -> DataFrame:

@@ -50,10 +50,11 @@ def rejected(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str,
-                 starting: str = "latest") -> DataFrame:
+                 starting: str = "latest", fail_on_data_loss: bool = True) -> DataFrame:
+    """Messages of a topic. Offsets that are gone stop the stream unless told otherwise."""
     return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
             .option("subscribe", topic).option("startingOffsets", starting)
-            .option("failOnDataLoss", "false").load())
+            .option("failOnDataLoss", str(fail_on_data_loss).lower()).load())
 
 
 def signals_to_kafka(encoded: DataFrame, servers: str, topic: str,
