@@ -11,32 +11,46 @@ from barsmith.functions.scalar import ColumnLike, col, first_match
 
 # --- fixed values: word lists (an entry listed twice counts twice) ------------
 
-POSITIVE_ID = """naik, untung, profit, positif, optimis, meningkat, berkembang, pesat, melejit,
-melonjak, surplus, prospek, menjanjikan, apresiasi, bullish, pemulihan, efisien, potensi, tumbuh,
-menguat, mendongkrak, terbaik, gemilang, cemerlang, eskalasi, tahan banting, mempertahankan,
-mendominasi, daya tarik, prospektif, rekor, tertinggi, puncak, laba, keuntungan, prestasi,
-berkembang, bertumbuh, peningkatan, dividend, dividen, bonus, rekor, sukses, berhasil, capaian,
-kemajuan, prestasi, capaian, kemajuan, bangkit, penguatan, penguatan"""
-
-NEGATIVE_ID = """turun, rugi, negatif, pesimis, menurun, merosot, anjlok, krisis, gagal, turunkan,
-defisit, bearish, koreksi, resesi, lambat, tekanan, kesulitan, meredup, terpuruk, tertekan,
-krisis likuiditas, bubar, hancur, downtrend, bersedih, jatuh, rugi besar, pesimisme, deklinasi,
-melemah, tergelincir, penurunan, kerugian, terpangkas, merosot, terhambat, rontok, fluktuatif,
-gejolak, volatil, kekhawatiran, kekecewaan, merugi, kolaps, bangkrut, pailit, delisting, suspend,
-terjun, meluncur, ambrol, ambruk, tumbang, mati"""
-
-POSITIVE_EN = """rise, profit, positive, optimistic, increase, growth, rapid, surge, jump, surplus,
-prospect, promising, appreciation, bullish, recovery, efficient, potential, grow, strengthen,
-boost, best, outstanding, brilliant, escalation, resilient, maintain, dominate, attractive,
-prospective, record, highest, peak, gain, dividend, bonus, success, achievement, progress,
-achievement, upturn, upward"""
-
-NEGATIVE_EN = """fall, loss, negative, pessimistic, decrease, decline, plunge, crisis, fail, reduce,
-deficit, bearish, correction, recession, slow, pressure, difficulty, fade, struggle, stressed,
-liquidity crisis, dissolve, crash, downtrend, sad, drop, major loss, pessimism, declination,
-weaken, slip, decrease, loss, cut, plummet, impede, collapse, fluctuate, volatility, volatile,
-concern, disappointment, lose, collapse, bankrupt, bankruptcy, delisting, suspend, dive, tumble,
-crash, crisis, fail"""
+POSITIVE_ID = [
+    "naik", "untung", "profit", "positif", "optimis", "meningkat", "berkembang", "pesat",
+    "melejit", "melonjak", "surplus", "prospek", "menjanjikan", "apresiasi", "bullish",
+    "pemulihan", "efisien", "potensi", "tumbuh", "menguat", "mendongkrak", "terbaik",
+    "gemilang", "cemerlang", "eskalasi", "tahan banting", "mempertahankan", "mendominasi",
+    "daya tarik", "prospektif", "rekor", "tertinggi", "puncak", "laba", "keuntungan", "prestasi",
+    "berkembang", "bertumbuh", "peningkatan", "dividend", "dividen", "bonus", "rekor", "sukses",
+    "berhasil", "capaian", "kemajuan", "prestasi", "capaian", "kemajuan", "bangkit",
+    "penguatan", "penguatan",
+]
+
+NEGATIVE_ID = [
+    "turun", "rugi", "negatif", "pesimis", "menurun", "merosot", "anjlok", "krisis", "gagal",
+    "turunkan", "defisit", "bearish", "koreksi", "resesi", "lambat", "tekanan", "kesulitan",
+    "meredup", "terpuruk", "tertekan", "krisis likuiditas", "bubar", "hancur", "downtrend",
+    "bersedih", "jatuh", "rugi besar", "pesimisme", "deklinasi", "melemah", "tergelincir",
+    "penurunan", "kerugian", "terpangkas", "merosot", "terhambat", "rontok", "fluktuatif",
+    "gejolak", "volatil", "kekhawatiran", "kekecewaan", "merugi", "kolaps", "bangkrut",
+    "pailit", "delisting", "suspend", "terjun", "meluncur", "ambrol", "ambruk", "tumbang",
+    "mati",
+]
+
+POSITIVE_EN = [
+    "rise", "profit", "positive", "optimistic", "increase", "growth", "rapid", "surge", "jump",
+    "surplus", "prospect", "promising", "appreciation", "bullish", "recovery", "efficient",
+    "potential", "grow", "strengthen", "boost", "best", "outstanding", "brilliant",
+    "escalation", "resilient", "maintain", "dominate", "attractive", "prospective", "record",
+    "highest", "peak", "gain", "dividend", "bonus", "success", "achievement", "progress",
+    "achievement", "upturn", "upward",
+]
+
+NEGATIVE_EN = [
+    "fall", "loss", "negative", "pessimistic", "decrease", "decline", "plunge", "crisis",
+    "fail", "reduce", "deficit", "bearish", "correction", "recession", "slow", "pressure",
+    "difficulty", "fade", "struggle", "stressed", "liquidity crisis", "dissolve", "crash",
+    "downtrend", "sad", "drop", "major loss", "pessimism", "declination", "weaken", "slip",
+    "decrease", "loss", "cut", "plummet", "impede", "collapse", "fluctuate", "volatility",
+    "volatile", "concern", "disappointment", "lose", "collapse", "bankrupt", "bankruptcy",
+    "delisting", "suspend", "dive", "tumble", "crash", "crisis", "fail",
+]
 
 MONTHS_ID = {
     "Januari": "January", "Februari": "February", "Maret": "March", "April": "April",
@@ -47,23 +61,19 @@ MONTHS_ID = {
 # ------------------------------------------------------------------------------
 
 
-def words(text: str) -> list[str]:
-    return [" ".join(w.split()) for w in text.split(",")]
+DEFAULT_POSITIVE = POSITIVE_ID
+DEFAULT_NEGATIVE = NEGATIVE_ID
+BILINGUAL_POSITIVE = DEFAULT_POSITIVE + POSITIVE_EN
+BILINGUAL_NEGATIVE = DEFAULT_NEGATIVE + NEGATIVE_EN
 
 
-DEFAULT_POSITIVE = words(POSITIVE_ID)
-DEFAULT_NEGATIVE = words(NEGATIVE_ID)
-BILINGUAL_POSITIVE = DEFAULT_POSITIVE + words(POSITIVE_EN)
-BILINGUAL_NEGATIVE = DEFAULT_NEGATIVE + words(NEGATIVE_EN)
+def hits(text: Column, entries: Sequence[str]) -> Column:
+    ""
+
 
 
-def hits(text: Column, entries: Sequence[str]) -> Column:
-    """Number of list entries found in the text.
 
-    The list is one array literal: the expression stays small however long
-    the list, where a sum of a few hundred conditions would outgrow a
-    generated method.
-    """
+    "Number of list entries found in the text.  The list is one array literal: the expression stays small however long the list, where a sum of a few hundred conditions would outgrow a generated method. """
     return F.size(F.filter(F.lit(list(entries)), lambda w: F.contains(text, w)))
 
 
@@ -78,11 +88,11 @@ def sentiment_columns(pos: ColumnLike, neg: ColumnLike) -> dict[str, Column]:
 
 
 def parse_published(text: ColumnLike) -> Column:
-    """Timestamp of an Indonesian news date, NULL when no known form fits.
+    ""
+
+
 
-    Forms: 'Weekday, d Month yyyy HH:mm WIB', the same without weekday or
-    zone, with seconds, date only, and ISO.
-    """
+    "Timestamp of an Indonesian news date, NULL when no known form fits.  Forms: 'Weekday, d Month yyyy HH:mm WIB', the same without weekday or zone, with seconds, date only, and ISO. """
     t = F.trim(col(text))
     for local, english in MONTHS_ID.items():
         t = F.replace(t, F.lit(local), F.lit(english))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +88,8 @@ def with_file_date(df: DataFrame, file_name: Column | None = None) -> DataFrame:
 
     Rows of files whose name carries no valid date are skipped.
     """
-    name = F.url_decode(F.col("_metadata.file_name")) if file_name is None else file_name
+    name = F.url_decode(F.replace(
+        F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))) if file_name is None else file_name
     stamp = F.regexp_extract(name, r"-(\d{8})(?:\.[A-Za-z]+)?$", 1)
     day = F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd")).cast("date")
     return df.withColumns({"date": day, "upload_file": name}).filter(F.col("date").isNotNull())
@@ -100,7 +102,7 @@ def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     first = (lines.where("start = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
              .groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")))
-    return [list(r.files) for r in first.orderBy("header").collect()]
+    return [[unquote(f) for f in r.files] for r in first.orderBy("header").collect()]
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

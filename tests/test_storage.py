@@ -30,6 +30,16 @@ def test_folder_with_bad_files_and_cells(spark, tmp_path):
     assert SB.latest_file_only(rows).count() == 2
 
 
+def test_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "Ringkasan Saham-20250102.csv").write_text("Kode Saham,Penutupan,Volume\nAAA,100,5\n")
+    (tmp_path / "Ringkasan Saham-20250103.csv").write_text(
+        "Kode Saham,Volume,Penutupan,Tertinggi\nAAA,6,101,110\n")
+    got = {(r.symbol, r.close, r.volume, r.upload_file)
+           for r in SB.read_bars(spark, str(tmp_path)).collect()}
+    assert got == {("AAA", 100.0, 5, "Ringkasan Saham-20250102.csv"),
+                   ("AAA", 101.0, 6, "Ringkasan Saham-20250103.csv")}
+
+
 def test_news_array_drops_incomplete(spark, tmp_path):
     full = {"ticker": "A", "title": "t", "url": "u", "published_at": "2025-01-01 00:00:00",
             "sentiment": "Positive", "sentiment_score": 0.5}
