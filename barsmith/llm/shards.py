@@ -40,49 +40,48 @@ def points(docs: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64(text, F.lit(1)), F.lit(DIMENSIONS["d_hash"])).cast("int").alias("d_hash"))
 
 
+def _cuts(rows: DataFrame) -> DataFrame:
+    """``node, dim, bytes, low, high, cut`` of every node and dimension: its range and the value
+    at its weighted median, from one aggregation. A node has at most as many sums along a
+    dimension as that has values."""
+    dims = F.explode(F.create_map(*(x for d in DIMENSIONS for x in (F.lit(d), F.col(d)))))
+    sums = (rows.select("node", "bytes", dims.alias("dim", "value"))
+            .groupBy("node", "dim", "value").agg(F.sum("bytes").alias("bytes")))
+    whole = W.partitionBy("node", "dim")
+    return (sums.select(
+        "node", "dim", "value", "bytes", F.sum("bytes").over(whole.orderBy("value")).alias("below"),
+        F.sum("bytes").over(whole).alias("all"), F.max("value").over(whole).alias("high"))
+        .groupBy("node", "dim").agg(
+            F.sum("bytes").alias("bytes"), F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.min_by("value", F.when(F.col("value") < F.col("high"),
+                                     F.abs(2 * F.col("below") - F.col("all")))).alias("cut")))
+
+
 def _leaves(cells: DataFrame, target: float) -> DataFrame:
-    """``cell`` columns with the leaf of each cell."""
-    dims = list(DIMENSIONS)
+    """``cell`` columns with the leaf of each cell; one job a level."""
     rows = cells.withColumn("node", F.lit("1"))
-    final: dict[str, bool] = {}
-    done = None
-    depth = 0
+    spark = cells.sparkSession
+    final: set[str] = set()
     while True:
-        nodes = rows.groupBy("node").agg(
-            F.sum("bytes").alias("bytes"),
-            *(F.min(d).alias(f"lo_{d}") for d in dims), *(F.max(d).alias(f"hi_{d}") for d in dims)
-        ).collect()
-        split = {}
-        for n in nodes:
-            width = {d: (n[f"hi_{d}"] - n[f"lo_{d}"]) / DIMENSIONS[d] for d in dims}
-            widest = max(dims, key=lambda d: width[d])
-            if n.bytes > target and width[widest] > 0:
-                split[n.node] = widest
-        leaves = rows if not split else rows.where(~F.col("node").isin(list(split)))
-        done = leaves if done is None else done.union(leaves)
+        found = _cuts(rows.where(~F.col("node").isin(list(final))) if final else rows).collect()
+        best = {}
+        for r in found:
+            width = ((r.high - r.low) / DIMENSIONS[r.dim], r.dim)
+            if r.node not in best or width > best[r.node][0]:
+                best[r.node] = (width, r)
+        split = [(n, r.dim, r.cut) for n, (width, r) in best.items()
+                 if r.bytes > target and width[0] > 0]
+        final.update(set(best) - {n for n, _, _ in split})
         if not split:
-            return done
-        rows = rows.where(F.col("node").isin(list(split)))
-        along = F.create_map(*(x for n, d in split.items() for x in (F.lit(n), F.lit(d))))
-        value = F.element_at(F.create_map(*(x for d in dims for x in (F.lit(d), F.col(d)))),
-                             F.element_at(along, F.col("node")))
-        valued = rows.withColumn("value", value)
-        # At most as many values a node as the dimension has.
-        sums = (valued.groupBy("node", "value").agg(F.sum("bytes").alias("bytes")))
-        order = W.partitionBy("node").orderBy("value")
-        whole = W.partitionBy("node")
-        medians = (sums.select(
-            "node", "value", F.sum("bytes").over(order).alias("below"),
-            F.sum("bytes").over(whole).alias("all"), F.max("value").over(whole).alias("top"))
-            .where("value < top")
-            .groupBy("node").agg(F.min_by("value", F.abs(2 * F.col("below") - F.col("all"))).alias(
-                "cut")).collect())
-        cut = F.create_map(*(x for m in medians for x in (F.lit(m.node), F.lit(m.cut))))
-        rows = valued.withColumn("node", F.concat("node", F.when(
-            F.col("value") <= F.element_at(cut, F.col("node")), "0").otherwise("1"))).drop("value")
-        depth += 1
-        if depth % 4 == 0:
-            rows = stored(rows, "kd-level")
+            return rows
+        # As many rows as the level has nodes to split, so a small table however large the input.
+        cuts = spark.createDataFrame(sorted(split), "node string, dim string, cut int")
+        value = F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS))
+        rows = stored(rows.join(F.broadcast(cuts), "node", "left").select(
+            *DIMENSIONS, "bytes", F.when(F.col("cut").isNull(), F.col("node")).otherwise(
+                F.concat("node", F.when(value <= F.col("cut"), "0").otherwise("1")))
+            .alias("node")), "kd-level")
 
 
 def _packed(leaves: list[tuple[str, int]], n_shards: int) -> dict[str, int]:
