@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as one tick."""
     day, qty = _day(), F.col("l_quantity")
     price = 5000 + F.floor(F.col("l_extendedprice") / qty / 10)
-    # Day, order, line and a tie-break share one long: cheaper to order by than a struct.
-    seq = (day.cast("long") * F.lit(1 << 51) + F.col("l_orderkey") * 8192
-           + F.col("l_linenumber") * 1024 + F.col("l_partkey") % 1024)
+    # Day, any 64-bit order key, line and a tie-break share one decimal: min_by and max_by over it
+    # stay hash aggregates, which a struct would make sort aggregates.
+    low = F.col("l_linenumber") * 1024 + F.col("l_partkey") % 1024
+    seq = (day.cast("decimal(5,0)") * F.lit(Decimal(10 ** 23))
+           + F.col("l_orderkey").cast("decimal(19,0)") * F.lit(Decimal(10_000))
+           + low.cast("decimal(4,0)")).cast("decimal(38,0)")
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
         F.date_add(F.lit(FIRST_TRADING_DAY), F.floor(day / 7).cast("int")).alias("date"),
@@ -77,12 +81,18 @@ _STORED: dict[tuple, str] = {}
 BYTES_PER_BUCKET = 2 << 30
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
-    """Size and newest change of a source table, so that new data is noticed."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    return (fs.getContentSummary(root).getLength(),
-            max(f.getModificationTime() for f in fs.listStatus(root)))
+def _fingerprint(spark: SparkSession, sf_dir: str, *names: str) -> tuple[int, ...]:
+    """Size and newest change of source tables, nested files too, so that new data is noticed."""
+    found: list[int] = []
+    for name in names:
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+        size = changed = 0
+        while listed.hasNext():
+            file = listed.next()
+            size, changed = size + file.getLen(), max(changed, file.getModificationTime())
+        found += [size, changed]
+    return tuple(found)
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +101,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     It lives in the shared folder, bucketed by symbol. Bucket count follows
     the size of the ticks.
     """
-    size, changed = _fingerprint(spark, sf_dir, "lineitem")
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), size, changed)
+    marks = _fingerprint(spark, sf_dir, "lineitem", "supplier")
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *marks)
     if key not in _STORED or not spark.catalog.tableExists(_STORED[key]):
-        buckets = min(max(spark.sparkContext.defaultParallelism, size // BYTES_PER_BUCKET), 50_000)
+        buckets = max(spark.sparkContext.defaultParallelism, marks[0] // BYTES_PER_BUCKET)
         name = f"bars_{uuid.uuid4().hex}"
         store_bucketed(derive_bars(spark, sf_dir), name, f"{shared_dir(spark).rstrip('/')}/{name}",
                        int(buckets))

@@ -89,7 +89,7 @@ def _(spark, sf):
              b.filter(late).withColumn("close", F.when(overlap, F.col("close") + 1).otherwise(
                  F.col("close"))))
     for drop in drops:
-        drop.coalesce(4).write.mode("append").parquet(folder)
+        drop.write.mode("append").parquet(folder)
         _drain(files.watch_bar_files(spark, folder, b.schema, target, ckpt))
     return spark.read.parquet(target).select(*b.columns)
 
@@ -113,11 +113,11 @@ def _events(spark, sf):
 
 @query("daily_bars_stream", TICKS)
 def _(spark, sf):
-    """The event table in several files, folded file by file into the kept bar table."""
+    """The event table as a stream of files, folded into the kept bar table."""
     source, target = work_dir(spark, "events"), work_dir(spark, "daily")
     events = _events(spark, sf)
     # Ordered files: no tick is older than the watermark when its file is read.
-    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(source)
+    events.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
     out = ticks.daily_bars(stream, "user_id", "ts", "value", seq="event_id", watermark="40 days")
     _drain(ticks.maintain_daily_bars(out, target, work_dir(spark, "ckpt")))

@@ -143,7 +143,7 @@ def bars_from_ticks(ticks: DataFrame) -> DataFrame:
     """Fold ticks into one bar per (symbol, date).
 
     Input columns: symbol, date, price (double), size (long), amount (double),
-    seq (long, total order inside a symbol's day), is_foreign_buy,
+    seq (total order inside a symbol's day), is_foreign_buy,
     is_foreign_sell, at_bid, at_offer (booleans).
 
     Every aggregate has a fixed-size buffer, so the ticks of a hot symbol are

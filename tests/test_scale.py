@@ -129,3 +129,20 @@ def test_hot_symbol_folds_to_one_row_per_day_and_task(spark):
     want = ticks.filter("symbol = 'HOT'").toPandas().sort_values("seq")
     for day, part in want.groupby("date"):
         assert (hot[day].open_price, hot[day].close) == (part.price.iloc[0], part.price.iloc[-1])
+
+
+def test_tick_order_holds_for_order_keys_beyond_38_bits(spark, tmp_path):
+    from barsmith.plans.inputs import ticks
+    from barsmith.sources.bars import bars_from_ticks
+
+    rows = [(2 ** 39, "2000-01-03", 300.0), (1, "2000-01-04", 500.0), (2 ** 62, "2000-01-03", 400.0),
+            (7, "2000-01-03", 200.0)]
+    spark.createDataFrame(rows, "l_orderkey long, d string, p double").selectExpr(
+        "l_orderkey", "to_date(d) AS l_shipdate", "1L AS l_suppkey", "1L AS l_partkey",
+        "1 AS l_linenumber", "1.0D AS l_quantity", "p AS l_extendedprice", "'R' AS l_returnflag",
+        "'O' AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = bars_from_ticks(ticks(spark, str(tmp_path)))
+    # One trading day of seven source days: the later day closes it, whatever the keys.
+    assert [(r.open_price, r.close) for r in out.collect()] == [(5020.0, 5050.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
