@@ -8,9 +8,8 @@ one group; only groups are joined, and members are expanded from the verified gr
 1. *Common shingles.* Tasks count shingles and report those met repeatedly; those with at least
    a 2^-22th of all shingles are common. At most 2^22 can be, so the list may be broadcast. It
    only steers the order: any list gives the same links.
-2. *Groups.* A row per document: size, set hash, a parity sketch of two to four
-   bits a shingle, and its prefix unless
-   the task has sent the same set before.
+2. *Groups.* A row per document: size, set hash and, for those with an id, a parity sketch of two
+   to four bits a shingle, and its prefix unless the task has sent the same set before.
 3. *Group pairs.* Prefix shingles are dealt out by hash and sorted; runs of one shingle give the
    pairs whose sizes are compatible. Each set difference flips one sketch bit, so more differing
    bits than the threshold allows rules a pair out, and never a true link.
@@ -156,11 +155,14 @@ def _group_task(batches: Iterator[pa.RecordBatch], size: int, percent: int,
         sketches: list[bytes | None] = [None] * n_rows
         parts: list[np.ndarray] = []
         lengths = np.zeros(n_rows, dtype=np.int64)
+        named = np.asarray(batch.column(0).is_valid())
         for r, s in shingle_sets(batch.column(1), size):
             n[r] = len(s)
             if not len(s):
                 continue
             hashes[r] = _set_hash(s)
+            if not named[r]:  # joins nothing, so it must not stand for copies with an id
+                continue
             sketches[r] = _sketch(s)
             key = (int(hashes[r]), len(s))
             if key not in seen:

@@ -62,6 +62,15 @@ def test_jaccard_equals_brute_force(docs, odd_docs):
         assert all(r.component_id == want.get(r.doc_id) for r in got)
 
 
+def test_copy_without_id_comes_first(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs far away home"
+    rows = [(None, base), (1, base), (2, base + " indeed")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.component_id, r.group_links) for r in jaccard.jaccard_join(frame).collect()}
+    assert got == {None: (None, None), 1: (1, 1), 2: (1, 1)}
+    assert {r.doc_id for r in jaccard.keep_one(frame).collect()} == {None, 1}
+
+
 def test_keep_one_leaves_one_of_each(odd_docs):
     kept = collections.Counter(r.doc_id for r in jaccard.keep_one(odd_docs).collect())
     assert kept[1] == 1 and kept[2] == 0 and kept[11] == 0 and kept[None] == 1 and kept[3] == 1
