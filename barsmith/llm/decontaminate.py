@@ -2,9 +2,15 @@
 
 Texts become words of letters and digits in lower case. Fixed masks mark which words of a window
 count and which are ignored; windows of test items and of documents with the same hash under the
-same mask are seeds. Around each seed, document and item are laid side by side and the best
-stretch is scored, +1 for an equal word and -SUBSTITUTION for another one, so replaced words
-neither hide an overlap nor lengthen it.
+same mask are seeds. Around each seed, document and item are laid side by side and all maximal
+stretches are scored, +1 for an equal word and -SUBSTITUTION for another one, so replaced words
+neither hide an overlap nor lengthen it. An overlap is a stretch that loses score wherever it is
+cut at its ends, and that has enough equal words.
+
+The masks lose none: such a stretch has a positive score from its first word to any other, and
+there are few patterns of equal and replaced words that do so up to the least number of equal
+words. One of the masks fits into each of them (a test enumerates them). Fewer equal words leave
+fewer patterns, so shorter items have masks of their own.
 
 Items are joined in blocks of at most about BLOCK_WORDS words: a task holds the seeds of one block
 and reads the documents against it. A larger benchmark takes more blocks, never more memory.
@@ -24,13 +30,23 @@ from pyspark.sql import functions as F
 from barsmith.llm import textscan as ts
 from barsmith.llm.store import documents, stored, table
 
-#: 1: the word counts, 0: it is ignored.
-MASKS = ("1110110111", "1101101101", "1011011011")
+#: Least equal words of an overlap, and masks one of which fits into every overlap with at least so
+#: many. 1: the word counts, 0: it is ignored. They hold for this SUBSTITUTION.
+MASKS = (
+    (12, ("11101101", "11110001001", "11101000101")),
+    (9, ("11101101", "111110001", "11101010001", "11110101")),
+    (6, ("111101", "111011", "11111")),
+    (3, ("111",)),
+    (2, ("11",)),
+    (1, ("1",)),
+)
 SUBSTITUTION = 2
 #: An overlap has so many equal words, or SHARE of the item's words if that is less.
 MIN_WORDS = 13
 SHARE = 0.75
 BLOCK_WORDS = 1 << 20
+#: Words of diagonals compared at once.
+COMPARED_AT_ONCE = 1 << 20
 #: Longer items are cut into pieces that overlap by twice the least overlap.
 PIECE_WORDS = 4096
 
@@ -62,6 +78,25 @@ def _seeds(words: np.ndarray, ends: np.ndarray, mask: str) -> tuple[np.ndarray,
     return h, at
 
 
+def _stretches(same: np.ndarray) -> list[tuple[int, int]]:
+    """First word and end of all maximal stretches: those of positive score from either end to any
+    word between, as long as they get (the algorithm of Ruzzo and Tompa over runs of equal words)."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]])))
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -SUBSTITUTION))]).tolist()
+    out: list[tuple[int, int]] = []
+    for start, end in edges.reshape(-1, 2).tolist():
+        while True:
+            j = len(out) - 1
+            while j >= 0 and sums[out[j][0]] >= sums[start]:
+                j -= 1
+            if j < 0 or sums[out[j][1]] >= sums[end]:
+                break
+            start = out[j][0]
+            del out[j:]
+        out.append((start, end))
+    return out
+
+
 class Block:
     """Words and seeds of some test items."""
 
@@ -69,18 +104,19 @@ class Block:
         self.ids = np.array(ids, dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         self.words = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.uint64)
-        span = max(map(len, MASKS))
         sizes = np.diff(self.first)
-        #: An item too short for the masks has one seed: all of its words.
-        self.masks = [*MASKS, *("1" * n for n in np.unique(sizes[sizes < span]))]
+        #: Least equal words of an overlap with the item.
+        self.least = np.minimum(MIN_WORDS, np.ceil(SHARE * sizes)).astype(np.int64)
+        tier = np.array([next(n for n, _ in MASKS if n <= least) for least in self.least.tolist()],
+                        dtype=np.int64)
         owner = np.repeat(np.arange(len(pieces)), sizes)
+        #: The masks of the items there are; what two kinds of items share is looked up once.
+        self.masks = sorted({m for n, masks in MASKS if n in tier for m in masks})
         found = []
         for mask in self.masks:
             h, at = _seeds(self.words, self.first[1:][owner], mask)
-            if len(mask) < span and mask == "1" * len(mask):
-                fits = sizes[owner[at]] == len(mask)
-                h, at = h[fits], at[fits]
-            found.append(np.stack([h, at.astype(np.uint64)]))
+            own = np.isin(tier[owner[at]], [n for n, masks in MASKS if mask in masks])
+            found.append(np.stack([h[own], at[own].astype(np.uint64)]))
         h, at = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.uint64)
         order = np.argsort(h, kind="stable")
         h, self.at = h[order], at[order].astype(np.int64)
@@ -91,7 +127,7 @@ class Block:
         self.owner = owner
 
     def hits(self, words: ts.Words) -> np.ndarray:
-        """Distinct (text, item, diagonal) of all seeds."""
+        """Texts, items and diagonals of all seeds, each three once."""
         text = words.text_of_word()
         ends = words.first[1:][text] if len(text) else text
         out = []
@@ -103,23 +139,44 @@ class Block:
             k = np.repeat(self.where[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             place, at = self.at[k], np.repeat(at, n)
             out.append(np.stack([text[at], self.owner[place], at - place]))
-        return np.unique(np.concatenate(out, axis=1), axis=1).T
+        found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), dtype=np.int64)
+        found = found[:, np.lexsort(found)]
+        new = np.ones(found.shape[1], dtype=bool)
+        new[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+        return found[:, new]
 
     def overlaps(self, words: ts.Words) -> Iterator[tuple[int, int, int, int, int, int]]:
         """Text, item, equal words, replaced words, first word in the text, and words of the item."""
-        for text, item, diagonal in self.hits(words):
-            lo = max(int(words.first[text]), int(self.first[item] + diagonal))
-            hi = min(int(words.first[text + 1]), int(self.first[item + 1] + diagonal))
-            same = words.hashes[lo:hi] == self.words[lo - diagonal:hi - diagonal]
-            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -SUBSTITUTION))])
-            rise = sums - np.minimum.accumulate(sums)
-            end = int(np.argmax(rise))
-            start = end - 1 - int(np.argmin(sums[:end + 1][::-1])) + 1 if end else 0
-            equal = int(same[start:end].sum())
-            size = int(self.first[item + 1] - self.first[item])
-            if equal >= min(MIN_WORDS, math.ceil(SHARE * size)):
-                yield (int(text), int(self.ids[item]), equal, end - start - equal,
-                       lo + start - int(words.first[text]), size)
+        text, item, diagonal = self.hits(words)
+        lo = np.maximum(words.first[text], self.first[item] + diagonal)
+        size = np.minimum(words.first[text + 1], self.first[item + 1] + diagonal) - lo
+        done = np.concatenate([[0], np.cumsum(size)])
+        a = 0
+        while a < len(text):
+            b = max(a + 1, int(np.searchsorted(done, done[a] + COMPARED_AT_ONCE, "right")) - 1)
+            yield from self._verified(words, text[a:b], item[a:b], diagonal[a:b], lo[a:b], size[a:b])
+            a = b
+
+    def _verified(self, words, text, item, diagonal, lo, size):
+        ends = np.cumsum(size)
+        starts = ends - size
+        at = np.repeat(lo - starts, size) + np.arange(int(ends[-1]))
+        same = words.hashes[at] == self.words[at - np.repeat(diagonal, size)]
+        # The first words of an overlap, up to the least number of equal ones, are no more than this.
+        least = self.least[item]
+        width = least + (least - 1) // SUBSTITUTION
+        sums = np.concatenate([[0], np.cumsum(same)])
+        place = np.arange(len(at))
+        stop = np.minimum(place + np.repeat(width, size), np.repeat(ends, size))
+        dense = np.logical_or.reduceat(sums[stop] - sums[place] >= np.repeat(least, size), starts)
+        for k in np.flatnonzero(dense):
+            mine = same[starts[k]:ends[k]]
+            for start, end in _stretches(mine):
+                equal = int(mine[start:end].sum())
+                if equal >= least[k]:
+                    yield (int(text[k]), int(self.ids[item[k]]), equal, end - start - equal,
+                           int(lo[k]) + start - int(words.first[text[k]]),
+                           int(self.first[item[k] + 1] - self.first[item[k]]))
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):

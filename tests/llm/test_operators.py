@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -151,6 +152,75 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(frame, bench.limit(0)).count() == 0
 
 
+def overlap_starts(least):
+    """Patterns of equal and replaced words of positive score throughout, up to ``least`` equal."""
+    todo, out = [("", 0)], []
+    while todo:
+        p, score = todo.pop()
+        if p.count("1") == least:
+            out.append(p)
+            continue
+        todo.append((p + "1", score + 1))
+        if score > decontaminate.SUBSTITUTION:
+            todo.append((p + "0", score - decontaminate.SUBSTITUTION))
+    return out
+
+
+def test_a_mask_fits_into_every_overlap():
+    for least, masks in decontaminate.MASKS:
+        fits = re.compile("|".join(m.replace("0", ".") for m in masks))
+        assert all(fits.search(p) for p in overlap_starts(least))
+    assert {n for n, _ in decontaminate.MASKS} >= {1, 2, 3}
+
+
+def brute_overlaps(docs, items):
+    """Best stretch of each document and item over all diagonals and all pairs of ends."""
+    best = {}
+    for d, text in docs:
+        a = re.findall(r"[a-z0-9]+", text)
+        for i, item in items:
+            b = re.findall(r"[a-z0-9]+", item)
+            least = min(13, -(-3 * len(b) // 4))
+            for shift in range(1 - len(b), len(a)):
+                lo, hi = max(0, shift), min(len(a), shift + len(b))
+                sums = [0]
+                for k in range(lo, hi):
+                    sums.append(sums[-1] + (1 if a[k] == b[k - shift] else -2))
+                for x in range(len(sums)):
+                    for y in range(x + 1, len(sums)):
+                        if sums[y] <= sums[x]:
+                            break
+                        if sums[y] > max(sums[x:y]):
+                            replaced = (y - x - (sums[y] - sums[x])) // 3
+                            found = (y - x - replaced, -replaced, -(lo + x))
+                            if found[0] >= least:
+                                best[d, i] = max(best.get((d, i), found), found)
+    return {k: (e, -r, -f) for k, (e, r, f) in best.items()}
+
+
+def test_overlaps_equal_brute_force(spark):
+    pick = random.Random(5)
+    items, docs = [], []
+    for i, n in enumerate([1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 15, 15, 16, 18, 20, 30, 40, 40, 60]):
+        words = [f"w{i}x{k}" if pick.random() < 0.8 else f"c{k % 3}" for k in range(n)]
+        items.append((i, " ".join(words)))
+        for every in (3, 4, 5, 6):
+            for off in range(every):
+                docs.append([f"z{k}" if k % every == off else w for k, w in enumerate(words)])
+        for share in (0.05, 0.1, 0.2, 0.3):
+            for _ in range(4):
+                docs.append([f"z{k}" if pick.random() < share else w for k, w in enumerate(words)])
+        # A first stretch of higher score that is too short, and a second that is long enough.
+        docs.append([f"z{k}" if 10 <= k < 14 or k > 14 and k % 5 == 0 else w
+                     for k, w in enumerate(words)])
+    docs = [(d, " ".join(["before", "it", *w, "after", "it"])) for d, w in enumerate(docs)]
+    want = brute_overlaps(docs, items)
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
+                                 spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.n_equal, r.n_replaced, r.first_word) for r in got} == want
+    assert len(want) > 300
+
+
 def test_sharding(odd_docs, docs):
     for frame in (odd_docs, docs, docs.limit(0)):
         got = shards.shard(frame, leaves_per_shard=4).collect()
