@@ -136,6 +136,45 @@ def test_near_lines_are_verified(spark):
     assert out[1] == 0 and out[3] == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_lines_equal_brute_force(spark):
+    """Recall 1 against all pairs within the edit limit: replaced words, and typing errors in short
+    lines."""
+    pick = random.Random(3)
+    word = lambda: "".join(pick.choice("etaoinshr") for _ in range(pick.randint(2, 9)))
+    texts = []
+    for n in (1, 1, 2, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 27, 40):
+        for _ in range(2):
+            line = [word() for _ in range(n)]
+            texts.append(" ".join(line))
+            for k in range(1, n // 8 + 2):
+                near = line.copy()
+                for at in pick.sample(range(n), min(k, n)):
+                    near[at] = word()
+                texts.append(" ".join(near))
+            if len(texts[-1]) <= 32:
+                for _ in range(3):
+                    x = list(" ".join(line))
+                    x[pick.randrange(len(x))] = pick.choice("xyz")
+                    texts.append("".join(x))
+    texts = sorted({" ".join(t.split()) for t in texts})
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j])
+            if edits(a, b) <= int(0.15 * max(len(a), len(b)))}
+    seen = lines.distinct_lines(lines.occurrences(frame))
+    ids = {r.key: r.doc_id for r in seen.collect()}
+    got = {tuple(sorted((ids[r.u], ids[r.v]))) for r in lines.similar_pairs(frame, seen).collect()}
+    assert got == want and len(want) > 40
+
+
 def test_decontamination(spark):
     item = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
     replaced = item.replace("four ", "zzz ").lower()
