@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 from barsmith.session import get_spark  # noqa: E402
 from barsmith.sources.bars import complete_bars  # noqa: E402
@@ -41,7 +41,3 @@ def make_bars(spark):
             "foreign_sell long, bid_volume long, offer_volume long, listed_shares long"))
 
     return build
-
-
-def closes(values, symbol="A", start=0):
-    return [{"symbol": symbol, "date": start + i, "close": v} for i, v in enumerate(values)]

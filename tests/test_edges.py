@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import closes
+from helpers import closes
 from pyspark.sql import functions as F
 
 from barsmith.functions import scalar as S

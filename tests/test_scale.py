@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import closes
+from helpers import closes
 from pyspark.sql import functions as F
 
 from barsmith.operators import ewm as E

@@ -4,7 +4,7 @@ import json
 import uuid
 
 import pytest
-from conftest import closes
+from helpers import closes
 from pyspark.sql import functions as F
 
 from barsmith.operators import forecast as P
