@@ -9,10 +9,11 @@ with a budget of one surplus and one deficit and verifies the words of the leave
    map side.
 2. *Dealing out.* The first :func:`depth` counts of the vector are a word's cell; the depth follows
    the number of words. A word is a leaf in its own cell and a query in each cell within the
-   budget; large cells are cut into blocks and met by their queries block by block.
+   budget, with what is left of it; large cells are cut into blocks and met block by block.
 3. *Search.* A task builds the trie over the other counts of a block, walks it with its queries
-   level by level, verifies, and sends one row for each query that found something: how many near
-   words, and the most frequent of them. Pairs never leave the task.
+   level by level and verifies, first the three code points at either end, of which one end must
+   agree. It sends one row for each query that found something: how many near words, and the most
+   frequent of them. Pairs never leave the task.
 4. *Forms and roots.* Rows of a word are folded; forms are followed by pointer jumping, whose
    rounds are few because frequencies rise at least tenfold with each step.
 """
@@ -24,16 +25,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barsmith.llm import textscan as ts
 from barsmith.llm.store import documents, stored
 
 #: Letter groups of about equal use, most telling first; a code point outside them counts by its
 #: value. Which letters share a group steers the work, never the result.
-GROUPS = ("e", "t", "a", "io", "nr", "s", "h", "ld", "cu", "mfp", "gwy", "bvkxjqz")
+GROUPS = ("e", "t", "a", "i", "o", "n", "r", "s", "h", "l", "d", "cu", "mfp", "gwy", "bvkxjqz")
 #: Leaves of a block.
-BLOCK_WORDS = 1 << 15
+BLOCK_WORDS = 1 << 16
 #: Queries walked together.
 QUERIES_AT_ONCE = 1 << 12
 #: Candidate pairs verified together.
@@ -75,22 +78,40 @@ def count_words(docs: DataFrame, least_chars: int, least_n: int, slip_every: int
             .groupBy("word").agg(F.count("*").alias("n")).where(f"n >= {least_n}"))
 
 
-def vectors(codes: list[np.ndarray]) -> np.ndarray:
-    """Counts of the letter groups of each word."""
-    lengths = np.array([len(c) for c in codes])
-    flat = _GROUP_OF[np.concatenate(codes)] if codes else np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(codes)), lengths)
-    return np.bincount(row * len(GROUPS) + flat, minlength=len(codes) * len(GROUPS)).reshape(
-        len(codes), len(GROUPS))
+class Words:
+    """Words as flat code points (all below 256), read from the UTF-8 buffers of a column."""
 
+    def __init__(self, column: pa.Array):
+        self.column = column
+        data, offsets, _ = ts.buffers(column)
+        data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+        lead = data >= 0xC0  # of U+00C0 to U+00FF: C3, then one byte
+        tail = (data & 0xC0) == 0x80
+        codes = data.copy()
+        at = np.flatnonzero(lead)
+        codes[at] = 0xC0 | (data[at + 1] & 0x3F)
+        self.flat = codes[~tail]
+        self.first = (offsets - np.concatenate([[0], np.cumsum(tail)])[offsets]).astype(np.int64)
+        self.lengths = np.diff(self.first)
 
-def depth(n_words: int) -> int:
-    """Counts that make up a cell: about two to three values a count are in use."""
-    return int(min(len(GROUPS) - 2, max(2, np.ceil(np.log2(max(2, n_words / BLOCK_WORDS))) + 1)))
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), self.lengths)
+
+    def codes(self, k: int) -> np.ndarray:
+        return self.flat[self.first[k]:self.first[k + 1]]
 
+    def counts(self) -> np.ndarray:
+        """Counts of the letter groups of each word."""
+        return np.bincount(self.row() * len(GROUPS) + _GROUP_OF[self.flat],
+                           minlength=len(self) * len(GROUPS)).reshape(len(self), len(GROUPS))
 
-def _codes(words: list[str]) -> list[np.ndarray]:
-    return [np.frombuffer(w.encode("latin-1"), dtype=np.uint8) for w in words]
+
+def depth(n_words: int) -> int:
+    """Counts that make up a cell: about two to three values a count are in use."""
+    return int(min(len(GROUPS) - 2, max(2, np.ceil(np.log2(max(2, n_words / BLOCK_WORDS))))))
 
 
 def _moves(k: int) -> np.ndarray:
@@ -110,25 +131,28 @@ def _cell_keys(counts: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-CELL_SCHEMA = "word string, n long, cell long, leaf boolean"
+CELL_SCHEMA = "word string, n long, cell long, leaf boolean, surplus boolean, deficit boolean"
 
 
 def _cell_task(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     moves = _moves(k)
+    surplus, deficit = ~(moves > 0).any(axis=1), ~(moves < 0).any(axis=1)
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
-            head = vectors(_codes(part.column(0).to_pylist()))[:, :k]
+            head = Words(part.column(0)).counts()[:, :k]
             near = head[:, None, :] + moves[None, :, :]
-            fits = (near >= 0).all(axis=2)
-            row, move = np.nonzero(fits)
+            row, move = np.nonzero((near >= 0).all(axis=2))
             leaves = np.arange(part.num_rows)
             cells = np.concatenate([_cell_keys(head), _cell_keys(near[row, move])])
             rows = pa.array(np.concatenate([leaves, row]))
+            full = np.ones(len(leaves), dtype=bool)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(rows), part.column(1).take(rows), pa.array(cells),
-                 pa.array(np.arange(len(rows)) < len(leaves))],
-                names=["word", "n", "cell", "leaf"])
+                 pa.array(np.arange(len(rows)) < len(leaves)),
+                 pa.array(np.concatenate([full, surplus[move]])),
+                 pa.array(np.concatenate([full, deficit[move]]))],
+                names=[c.split()[0] for c in CELL_SCHEMA.split(", ")])
 
 
 class Trie:
@@ -151,12 +175,11 @@ class Trie:
         self.first = np.searchsorted(node, np.arange(len(self.edges[-1]) + 1)) if self.levels else (
             np.array([0, n]))
 
-    def walk(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Query and leaf word of each pair whose counts lie within the budget."""
+    def walk(self, counts: np.ndarray, surplus: np.ndarray,
+             deficit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query and leaf word of each pair whose counts lie within the budget that is left."""
         query = np.arange(len(counts))
         node = np.zeros(len(counts), dtype=np.int64)
-        surplus = np.ones(len(counts), dtype=bool)
-        deficit = np.ones(len(counts), dtype=bool)
         for level in range(self.levels):
             parts = []
             for step, may in ((0, None), (1, surplus), (-1, deficit)):
@@ -181,16 +204,22 @@ class Trie:
 class Spelling:
     """Words as rows of code points, aligned at both ends."""
 
-    def __init__(self, codes: list[np.ndarray]):
-        self.codes = codes
-        self.lengths = np.array([len(c) for c in codes], dtype=np.int64)
+    def __init__(self, words: Words):
+        self.words, self.lengths = words, words.lengths
         short = self.lengths <= MATRIX_CHARS
         width = int(self.lengths[short].max(initial=0)) + 1
-        self.left = np.zeros((len(codes), width), dtype=np.uint8)
-        self.right = np.zeros((len(codes), width), dtype=np.uint8)
-        for k in np.flatnonzero(short):
-            self.left[k, :len(codes[k])] = codes[k]
-            self.right[k, width - len(codes[k]):] = codes[k]
+        self.left = np.zeros((len(words), width), dtype=np.uint8)
+        self.right = np.zeros((len(words), width), dtype=np.uint8)
+        row = words.row()
+        use = short[row]
+        row, codes = row[use], words.flat[use]
+        at = (np.arange(len(words.flat)) - np.repeat(words.first[:-1], self.lengths))[use]
+        self.left[row, at] = codes
+        self.right[row, width - self.lengths[row] + at] = codes
+        ends = [np.clip(words.first[1:] - 1 - k, 0, None) for k in range(3)]
+        starts = [np.minimum(words.first[:-1] + k, len(words.flat) - 1) for k in range(3)]
+        self.head, self.tail = (sum(words.flat[x].astype(np.int32) << (8 * k)
+                                    for k, x in enumerate(places)) for places in (starts, ends))
 
 
 def _one_apart_long(a: np.ndarray, b: np.ndarray) -> bool:
@@ -206,12 +235,15 @@ def _one_apart_long(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def one_apart(x: Spelling, i: np.ndarray, y: Spelling, j: np.ndarray) -> np.ndarray:
-    """Which pairs differ by exactly one inserted, deleted or replaced code point."""
+    """Which pairs differ by exactly one inserted, deleted or replaced code point.
+
+    Words have seven code points or more, or else three at one end need not agree.
+    """
     a, b = x.lengths[i], y.lengths[j]
     out = np.zeros(len(i), dtype=bool)
     long = np.maximum(a, b) > MATRIX_CHARS
     for k in np.flatnonzero(long & (np.abs(a - b) <= 1)):
-        out[k] = _one_apart_long(x.codes[i[k]], y.codes[j[k]])
+        out[k] = _one_apart_long(x.words.codes(i[k]), y.words.codes(j[k]))
     k = np.flatnonzero(~long & (a == b))
     width = min(x.left.shape[1], y.left.shape[1])
     out[k] = (x.left[i[k], :width] != y.left[j[k], :width]).sum(axis=1) == 1
@@ -228,57 +260,64 @@ def one_apart(x: Spelling, i: np.ndarray, y: Spelling, j: np.ndarray) -> np.ndar
 NEAR_SCHEMA = "word string, n_near long, near_n long, near string"
 
 
-def _near_task(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``cell, block, leaf, word, n``, the leaves of a block before its queries."""
-    at = None
-    leaves: tuple[list, list] = ([], [])
-    trie = spelling = numbers = None
-    queries: list[str] = []
-
-    def search() -> pa.RecordBatch:
-        codes = _codes(queries)
-        mine = Spelling(codes)
-        query, leaf = trie.walk(vectors(codes)[:, k:])
-        hit_q, hit_l = [], []
+class Block:
+    """The leaves of a block, ready to be searched."""
+
+    def __init__(self, column: pa.Array, n: np.ndarray, k: int):
+        words = Words(column)
+        self.k, self.n, self.column = k, n, column
+        self.trie, self.spelling = Trie(words.counts()[:, k:]), Spelling(words)
+        self.rank = np.empty(len(n), dtype=np.int64)  # by UTF-8 bytes: by code points
+        self.rank[np.asarray(pc.sort_indices(column.cast(pa.binary())))] = np.arange(len(n))
+
+    def search(self, column: pa.Array, surplus: np.ndarray, deficit: np.ndarray) -> pa.RecordBatch:
+        words = Words(column)
+        mine = Spelling(words)
+        query, leaf = self.trie.walk(words.counts()[:, self.k:], surplus, deficit)
+        found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for lo in range(0, len(query), PAIRS_AT_ONCE):
             q, x = query[lo:lo + PAIRS_AT_ONCE], leaf[lo:lo + PAIRS_AT_ONCE]
-            near = one_apart(mine, q, spelling, x)
-            hit_q.append(q[near])
-            hit_l.append(x[near])
-        q, x = np.concatenate(hit_q or [query]), np.concatenate(hit_l or [leaf])
-        order = np.lexsort((rank[x], -numbers[x], q))  # best first; ranks follow code points
+            likely = (mine.head[q] == self.spelling.head[x]) | (
+                mine.tail[q] == self.spelling.tail[x])
+            q, x = q[likely], x[likely]
+            near = one_apart(mine, q, self.spelling, x)
+            found[0].append(q[near])
+            found[1].append(x[near])
+        q, x = (np.concatenate(f) for f in found)
+        order = np.lexsort((self.rank[x], -self.n[x], q))  # the best of each query first
         q, x = q[order], x[order]
         which, first, count = np.unique(q, return_index=True, return_counts=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array([queries[i] for i in which], pa.string()), pa.array(count.astype(np.int64)),
-             pa.array(numbers[x[first]]),
-             pa.array([leaves[0][i] for i in x[first]], pa.string())],
+            [column.take(pa.array(which)), pa.array(count.astype(np.int64)),
+             pa.array(self.n[x[first]]), self.column.take(pa.array(x[first]))],
             names=["word", "n_near", "near_n", "near"])
 
-    rank = None
+
+def _near_task(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``cell, block, leaf, word, n, surplus, deficit``, the leaves of a block before its
+    queries."""
+    at, leaves, block = None, [], None
     for batch in batches:
-        for cell, block, leaf, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (cell, block) != at:
-                if queries:
-                    yield search()
-                at, leaves, trie, queries = (cell, block), ([], []), None, []
-            if leaf:
-                leaves[0].append(word)
-                leaves[1].append(n)
+        if not batch.num_rows:
+            continue
+        keys = [np.asarray(batch.column(c)).astype(np.int64) for c in range(3)]
+        edge = np.ones(batch.num_rows, dtype=bool)
+        edge[1:] = np.any([key[1:] != key[:-1] for key in keys], axis=0)
+        starts = np.append(np.flatnonzero(edge), batch.num_rows)
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            here = (keys[0][lo], keys[1][lo])
+            if here != at:
+                at, leaves, block = here, [], None
+            if keys[2][lo]:
+                leaves.append(batch.slice(lo, hi - lo))
                 continue
-            if trie is None:
-                codes = _codes(leaves[0])
-                trie, spelling = Trie(vectors(codes)[:, k:]), Spelling(codes)
-                numbers = np.array(leaves[1], dtype=np.int64)
-                rank = np.empty(len(numbers), dtype=np.int64)
-                rank[sorted(range(len(numbers)), key=leaves[0].__getitem__)] = np.arange(
-                    len(numbers))
-            queries.append(word)
-            if len(queries) == QUERIES_AT_ONCE:
-                yield search()
-                queries = []
-    if queries:
-        yield search()
+            if block is None:
+                rows = pa.Table.from_batches(leaves).combine_chunks().to_batches()[0]
+                block, leaves = Block(rows.column(3), np.asarray(rows.column(4)), k), []
+            for cut in range(lo, hi, QUERIES_AT_ONCE):
+                part = batch.slice(cut, min(QUERIES_AT_ONCE, hi - cut))
+                yield block.search(part.column(3), *(
+                    part.column(c).to_numpy(zero_copy_only=False) for c in (5, 6)))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -293,7 +332,7 @@ def near_words(words: DataFrame) -> DataFrame:
                                                   .cast("int"))
                            ).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (cells.join(sizes, "cell").withColumn("block", F.explode(block))
-             .select("cell", "block", "leaf", "word", "n"))
+             .select("cell", "block", "leaf", "word", "n", "surplus", "deficit"))
     found = (dealt.repartition("cell", "block")
              .sortWithinPartitions("cell", "block", F.desc("leaf"))
              .mapInArrow(partial(_near_task, k=k), NEAR_SCHEMA))
@@ -328,7 +367,7 @@ def spelling_variants(docs: DataFrame, least_chars: int = 7, least_n: int = 2, r
     one inserted, deleted or replaced code point; ``n_near`` counts near words. ``form`` is the
     near word of largest ``n`` (ties: smallest in code-point order) if that is ``ratio`` times the
     word's own at least, else null; ``root`` follows forms to the last, and is the word itself
-    without one. Null and empty texts have no words; repeated rows count each. Words of any length
+    without one. ``least_chars`` must be 7 at least. Null and empty texts have no words; repeated rows count each. Words of any length
     are compared whole. Other columns are not read. No words, no rows. ``ratio`` must be over 1.
     """
     words = stored(count_words(docs, least_chars, least_n, slip_every, doc_id, text), "words")
