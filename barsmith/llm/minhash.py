@@ -8,7 +8,8 @@
    the rest is confirmed on the full sets; confirmed links give first components.
 3. *Crossing pairs.* A bucket whose nodes are all in one component is closed. In an open bucket
    every pair of nodes from different components is compared by signature and sketch inside a task
-   (large buckets in pairs of blocks); only survivors become rows and are confirmed on full sets.
+   (large buckets in pairs of blocks), in the first bucket they share; only survivors become rows
+   and are confirmed on full sets.
    So no link that could join two components stays untried, and pairs within one are not made.
 4. *Components* by alternating large-star and small-star over the links of both steps.
 
@@ -142,7 +143,8 @@ class Side:
         return np.concatenate(found) if found else others
 
 
-ROW_SCHEMA = ("doc_id long, n int, node long, bands array<long>, signature binary, sketch binary")
+ROW_SCHEMA = ("doc_id long, n int, node long, bands array<long>, signature binary, "
+              "sketch binary, shorts binary")
 
 
 def _row_task(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -152,6 +154,7 @@ def _row_task(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         n, node = np.zeros(rows, dtype=np.int32), np.zeros(rows, dtype=np.int64)
         signatures: list[bytes | None] = [None] * rows
         sketches: list[bytes | None] = [None] * rows
+        shorts: list[bytes | None] = [None] * rows
         sent = np.zeros(rows, dtype=bool)
         bands = np.zeros((rows, BANDS), dtype=np.int64)
         named = np.asarray(batch.column(0).is_valid())
@@ -167,6 +170,7 @@ def _row_task(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
                 bands[r], sent[r] = keys[:, k], True
                 signatures[r] = last[:, k].tobytes()
                 sketches[r] = sketch(s)
+                shorts[r] = keys[:, k].astype(np.uint32).tobytes()
 
         for r, s in shingle_sets(batch.column(1), size):
             n[r] = len(s)
@@ -190,8 +194,9 @@ def _row_task(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n), pa.array(node),
              pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[sent].ravel())),
-             pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n", "node", "bands", "signature", "sketch"])
+             pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary()),
+             pa.array(shorts, pa.binary())],
+            names=["doc_id", "n", "node", "bands", "signature", "sketch", "shorts"])
 
 
 PAIR_SCHEMA = "u long, v long"
@@ -214,8 +219,14 @@ def _star_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield _pairs_batch([cols[0][k] for k in keep], [cols[1][k] for k in keep])
 
 
-def _crossing(node, label, part, side: Side, whole: bool, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs with different labels that may be linked; of two blocks only those across them."""
+def _crossing(band: int, node, label, part, side: Side, shorts: np.ndarray, whole: bool,
+              percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs with different labels that may be linked; of two blocks only those across them.
+
+    A pair is left to the first band in which the lower halves of its keys agree: that bucket holds
+    both nodes, so it is open too. (Halves that agree by chance lose a pair once in 10^8 times.)
+    """
+    here = np.uint32(band & 0xFFFFFFFF)
     order = np.argsort(side.n, kind="stable")
     sizes = side.n[order]
     for at, k in enumerate(order):
@@ -224,6 +235,9 @@ def _crossing(node, label, part, side: Side, whole: bool, percent: int) -> Itera
         others = others[label[others] != label[k]]
         if not whole:
             others = others[part[others] != part[k]]
+        if len(others):
+            equal = shorts[others] == shorts[k]
+            others = others[shorts[k][equal.argmax(axis=1)] == here]
         for j in side.like(int(k), others, percent) if len(others) else ():
             yield min(node[k], node[j]), max(node[k], node[j])
 
@@ -231,7 +245,7 @@ def _crossing(node, label, part, side: Side, whole: bool, percent: int) -> Itera
 def _cross_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by ``band, first, second`` (bucket and pair of blocks); a group is at most two
     blocks of rows."""
-    held: list[list] = [[] for _ in range(9)]
+    held: list[list] = [[] for _ in range(10)]
 
     def report() -> pa.RecordBatch:
         first, second = held[1][0], held[2][0]
@@ -240,7 +254,10 @@ def _cross_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         part = np.array(held[5], dtype=np.int64)[index]
         side = Side(np.array(held[6])[index], [held[7][i] for i in index],
                     [held[8][i] for i in index])
-        pairs = list(_crossing(node, label, part, side, first == second, percent))
+        shorts = np.frombuffer(b"".join(held[9][i] for i in index), dtype=np.uint32).reshape(
+            len(index), BANDS)
+        pairs = list(_crossing(held[0][0], node, label, part, side, shorts, first == second,
+                               percent))
         return _pairs_batch([p[0] for p in pairs], [p[1] for p in pairs])
 
     for batch in batches:
@@ -248,7 +265,7 @@ def _cross_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         for row in zip(*cols, strict=True):
             if held[0] and (held[0][0], held[1][0], held[2][0]) != row[:3]:
                 yield report()
-                held = [[] for _ in range(9)]
+                held = [[] for _ in range(10)]
             for k, x in enumerate(row):
                 held[k].append(x)
     if held[0]:
@@ -357,7 +374,7 @@ def minhash_components(docs: DataFrame, size: int = 3, percent: int = 85, doc_id
     buckets = stored(keys.join(shared, "band").select("band", "low", "node").distinct(),
                      "minhash-buckets")
     wanted = buckets.select("node").distinct()
-    marks = stored(sent.select("node", "n", "signature", "sketch").join(wanted, "node")
+    marks = stored(sent.select("node", "n", "signature", "sketch", "shorts").join(wanted, "node")
                    .dropDuplicates(["node"]), "minhash-marks")
     picked = spark.sparkContext.broadcast(_picked(nodes.join(wanted, "node").select("doc_id")))
     sets = stored(frame.mapInArrow(partial(_set_task, size=size, picked=picked),
@@ -388,7 +405,8 @@ def minhash_components(docs: DataFrame, size: int = 3, percent: int = 85, doc_id
                       F.greatest("part", "other").alias("second"), "node", "label", "part"))
     crossing = stored(
         blocks.join(marks, "node")
-        .select("band", "first", "second", "node", "label", "part", "n", "signature", "sketch")
+        .select("band", "first", "second", "node", "label", "part", "n", "signature", "sketch",
+                "shorts")
         .repartition("band", "first", "second").sortWithinPartitions("band", "first", "second")
         .mapInArrow(partial(_cross_task, percent=percent), PAIR_SCHEMA).distinct()
         .join(star, ["u", "v"], "left_anti"), "minhash-crossing")
