@@ -81,7 +81,7 @@ _STORED: dict[tuple, str] = {}
 BYTES_PER_BUCKET = 2 << 30
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str, *names: str) -> tuple[int, ...]:
+def fingerprint(spark: SparkSession, sf_dir: str, *names: str) -> tuple[int, ...]:
     """Size and newest change of source tables, nested files too, so that new data is noticed."""
     found: list[int] = []
     for name in names:
@@ -101,7 +101,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     It lives in the shared folder, bucketed by symbol. Bucket count follows
     the size of the ticks.
     """
-    marks = _fingerprint(spark, sf_dir, "lineitem", "supplier")
+    marks = fingerprint(spark, sf_dir, "lineitem", "supplier")
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *marks)
     if key not in _STORED or not spark.catalog.tableExists(_STORED[key]):
         buckets = max(spark.sparkContext.defaultParallelism, marks[0] // BYTES_PER_BUCKET)
@@ -120,7 +120,7 @@ def latest_date(spark: SparkSession, sf_dir: str) -> dt.date:
 
     A driver-side literal lets every look-back filter reach below the windows.
     """
-    key = (sf_dir.rstrip("/"), *_fingerprint(spark, sf_dir, "lineitem"))
+    key = (sf_dir.rstrip("/"), *fingerprint(spark, sf_dir, "lineitem"))
     if key not in _LATEST:
         last = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").cast("date")).first()[0]
         _LATEST[key] = FIRST_TRADING_DAY + dt.timedelta(days=(last - EPOCH).days // 7)

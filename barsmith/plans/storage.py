@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barsmith.operators import relational as R
 from barsmith.operators.ranking import latest_per
-from barsmith.plans.inputs import articles, bars, forecasts
+from barsmith.plans.inputs import articles, bars, fingerprint, forecasts
 from barsmith.plans.market import FORECASTS
 from barsmith.plans.news import ARTICLES
 from barsmith.plans.registry import query
@@ -45,13 +45,44 @@ RAW = {"symbol": "Kode Saham", "prev_close": "Sebelumnya", "open_price": "Open P
        "foreign_buy": "Foreign Buy", "foreign_sell": "Foreign Sell"}
 
 
-def raw_files(b):
-    """Bars under the headers of the exchange's file, with the file name they came in."""
-    stamp = F.date_format("date", "yyyyMMdd")
-    name = F.when(F.dayofmonth("date") == 13, F.concat(F.lit("Ringkasan Saham-x"), stamp)).otherwise(
-        F.concat(F.lit("Ringkasan Saham-"), stamp, F.lit(".csv")))
-    return b.select(*[F.col(c).cast("string").alias(h) for c, h in RAW.items()],
-                    name.alias("_file"))
+BROKEN = "Ringkasan Saham-19000101.csv"
+_FOLDERS: dict[tuple, str] = {}
+
+
+def summary_folder(spark, sf):
+    """The exchange's summary files of all bars: a CSV file a date, named after it.
+
+    Headers come in two orders. Files of a 13th carry no valid date in their name, and one file
+    more holds bytes that are no text. Spark writes a folder a date; the files are then moved out
+    under their names, through the file system that holds the folder.
+    """
+    key = (spark.sparkContext.applicationId, fingerprint(spark, sf, "lineitem", "supplier"))
+    if key in _FOLDERS:
+        return _FOLDERS[key]
+    written, folder = work_dir(spark, "written"), work_dir(spark, "summaries")
+    raw = bars(spark, sf).select(
+        *[F.col(c).cast("string").alias(h) for c, h in RAW.items()],
+        F.date_format("date", "yyyyMMdd").alias("_day"), (F.dayofmonth("date") % 2).alias("_odd"))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for odd in (0, 1):
+        headers = list(RAW.values())[::-1 if odd else 1]
+        part = raw.where(F.col("_odd") == odd).select(*headers, "_day")
+        part.repartition("_day").write.option("header", True).partitionBy("_day").csv(
+            f"{written}/{odd}")
+        for day in fs.listStatus(path(f"{written}/{odd}")):
+            if not day.isDirectory():
+                continue
+            stamp = day.getPath().getName().partition("=")[2]
+            mark = "x" if stamp.endswith("13") else ""
+            for file in fs.listStatus(day.getPath()):
+                fs.rename(file.getPath(), path(f"{folder}/Ringkasan Saham-{mark}{stamp}.csv"))
+    out = fs.create(path(f"{folder}/{BROKEN}"))
+    out.write(bytearray(b"Kode Saham,Volume\nS1,\xff\xfe\n"))
+    out.close()
+    _FOLDERS[key] = folder
+    return folder
 
 
 @query("read_bars", bars_sql(f"SELECT {', '.join(RAW)}, date FROM bars"))
@@ -67,26 +98,41 @@ def _(spark, sf):
 @query("with_file_date", bars_sql(
     "SELECT symbol, date, close FROM bars WHERE day(date) <> 13"))
 def _(spark, sf):
-    raw = raw_files(bars(spark, sf))
-    return B.normalise_headers(B.with_file_date(raw, F.col("_file"))).select("symbol", "date",
-                                                                            "close")
+    """Dates from the names of real files, read with Spark's own CSV reader."""
+    headers = ", ".join(f"`{h.strip()}` string" for h in list(RAW.values())[::-1])
+    odd = spark.read.option("header", True).option("pathGlobFilter", "*[13579].csv").schema(
+        headers).csv(summary_folder(spark, sf))
+    even = spark.read.option("header", True).option("pathGlobFilter", "*[02468].csv").schema(
+        ", ".join(f"`{h.strip()}` string" for h in RAW.values())).csv(summary_folder(spark, sf))
+    dated = [B.normalise_headers(B.with_file_date(df.select("*", "_metadata")))
+             .select("symbol", "date", "close", "upload_file") for df in (odd, even)]
+    return dated[0].union(dated[1]).where(F.col("upload_file") != BROKEN).select(
+        "symbol", "date", "close")
 
 
 @query("latest_file_only", bars_sql(
-    "SELECT symbol, date, close FROM bars WHERE date = (SELECT d FROM anchor)"))
+    "SELECT symbol, date, close FROM bars WHERE day(date) <> 13 QUALIFY date = max(date) OVER ()"))
 def _(spark, sf):
-    raw = raw_files(bars(spark, sf))
-    dated = B.normalise_headers(B.with_file_date(raw, F.col("_file")))
-    return B.latest_file_only(dated).select("symbol", "date", "close")
-
-
-@query("bulk_load", bars_sql("""
-SELECT 'Ringkasan Saham-' || strftime(date, '%Y%m%d') || '.csv' AS upload_file,
-       count(*) AS records_processed FROM bars WHERE day(date) <> 13 GROUP BY 1"""))
+    rows, _ = B.bulk_load(spark, summary_folder(spark, sf))
+    return B.latest_file_only(rows).select("symbol", "date", "close")
+
+
+@query("bulk_load", bars_sql(f"""
+SELECT CASE WHEN day(date) = 13 THEN 'Ringkasan Saham-x' ELSE 'Ringkasan Saham-' END
+         || strftime(date, '%Y%m%d') || '.csv' AS file_name,
+       CASE WHEN day(date) = 13 THEN 0 ELSE count(*) END AS records_processed,
+       CASE WHEN day(date) = 13 THEN 'ERROR' ELSE 'SUCCESS' END AS status,
+       CASE WHEN day(date) = 13 THEN 0 ELSE round(sum(close), 2) END AS total_close
+FROM bars GROUP BY date
+UNION ALL SELECT '{BROKEN}', 0, 'ERROR', 0"""))
 def _(spark, sf):
-    raw = raw_files(bars(spark, sf))
-    rows = B.normalise_headers(B.with_file_date(raw, F.col("_file")))
-    return rows.groupBy("upload_file").agg(F.count("*").alias("records_processed"))
+    """Real files, good and bad: bars of the good ones, a log row for each."""
+    rows, log = B.bulk_load(spark, summary_folder(spark, sf))
+    sums = rows.groupBy(F.col("upload_file").alias("file_name")).agg(
+        F.round(F.sum("close"), 2).alias("total_close"))
+    return log.join(sums, "file_name", "left").select(
+        "file_name", "records_processed", "status",
+        F.coalesce("total_close", F.lit(0.0)).alias("total_close"))
 
 
 @query("upsert", bars_sql("""

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from urllib.parse import unquote
-
+import csv
+import io
+import uuid
+from collections.abc import Iterator
+from functools import partial, reduce
+
+import pyarrow as pa
+import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barsmith.functions.frames import by_symbol
+from barsmith.session import shared_dir
+from barsmith.sources.tables import processing_log
 
 # Column order and types of a daily bar.
 BAR_SCHEMA = T.StructType([
@@ -83,6 +90,12 @@ def normalise_headers(df: DataFrame) -> DataFrame:
     return df.select(*cols, *extra)
 
 
+def file_date(name: Column) -> Column:
+    """Date of a name that ends in -YYYYMMDD, with or without an extension; else null."""
+    stamp = F.regexp_extract(name, r"-(\d{8})(?:\.[A-Za-z]+)?$", 1)
+    return F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd")).cast("date")
+
+
 def with_file_date(df: DataFrame, file_name: Column | None = None) -> DataFrame:
     """Add ``date`` and ``upload_file`` from a name that ends in -YYYYMMDD.
 
@@ -90,40 +103,110 @@ def with_file_date(df: DataFrame, file_name: Column | None = None) -> DataFrame:
     """
     name = F.url_decode(F.replace(
         F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))) if file_name is None else file_name
-    stamp = F.regexp_extract(name, r"-(\d{8})(?:\.[A-Za-z]+)?$", 1)
-    day = F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd")).cast("date")
-    return df.withColumns({"date": day, "upload_file": name}).filter(F.col("date").isNotNull())
+    return (df.withColumns({"date": file_date(name), "upload_file": name})
+            .filter(F.col("date").isNotNull()))
+
+
+#: Text columns that a parsed file may carry into the bar schema, besides the summary's own.
+FILE_MARKS = ("file", "problem", "line", "bad_cells")
+FILE_COLUMNS = [*SOURCE_HEADERS.values(), "date", "upload_file"]
+
+
+def _parsed(content: bytes, wanted: list[str]) -> list[pa.Array]:
+    """The wanted columns of one CSV file as text, under the file's own header."""
+    content = content.removeprefix(b"\xef\xbb\xbf")
+    header = next(csv.reader(io.StringIO(content.decode("utf-8"), newline="")), None)
+    if not header:
+        raise ValueError("no header")
+    seen: dict[str, int] = {}
+    for k, raw in enumerate(header):
+        name = raw.strip().lower().replace(" ", "_")
+        seen.setdefault(SOURCE_HEADERS.get(name, name), k)
+    if "symbol" not in seen:
+        raise ValueError("no column of symbols")
+    names = [f"c{k}" for k in range(len(header))]
+    rows = pacsv.read_csv(
+        io.BytesIO(content),
+        read_options=pacsv.ReadOptions(column_names=names, skip_rows_after_names=1,
+                                       block_size=len(content) + 1),
+        parse_options=pacsv.ParseOptions(newlines_in_values=True),
+        convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()),
+                                             strings_can_be_null=False)).combine_chunks()
+    return [rows.column(names[seen[c]]).combine_chunks() if c in seen
+            else pa.nulls(rows.num_rows, pa.string()) for c in wanted]
+
+
+def _parse_task(batches: Iterator[pa.RecordBatch], wanted: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each file, with what is wrong with it, and its rows if nothing is."""
+    names = ["file", "problem", "line", *wanted]
+    for batch in batches:
+        for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            try:
+                columns, problem = _parsed(content.as_py(), wanted), None
+            except (ValueError, csv.Error) as wrong:  # decoding and Arrow's errors among them
+                columns = [pa.nulls(0, pa.string()) for _ in wanted]
+                problem = f"{type(wrong).__name__}: {wrong}"
+            n = len(columns[0]) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([file] * n, pa.string()),
+                 pa.array([problem] + [None] * (n - 1), pa.string()),
+                 pa.array(range(n), pa.int64()),
+                 *(pa.concat_arrays([pa.nulls(1, pa.string()), c]) for c in columns)], names=names)
+
+
+def parse_folder(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    """Every row of the CSV files of a folder as text, with ``file``, ``problem`` and ``line``.
+
+    A file is one row of Spark's binary reader, so any file system Spark knows will do, files are
+    spread over tasks by size, and a broken one spoils only itself. Line 0 stands for the file and
+    has its ``problem``; a file with one has no other line. Columns go by each file's own header.
+    A file is parsed in memory; daily summaries are small.
+    """
+    columns = ", ".join(f"`{c}` string" for c in FILE_COLUMNS)
+    return (spark.read.format("binaryFile").option("ignoreCorruptFiles", skip_unreadable).load(path)
+            .select(_file_name().alias("file"), "content")
+            .mapInArrow(partial(_parse_task, wanted=FILE_COLUMNS),
+                        f"file string, problem string, line long, {columns}"))
 
 
-def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
-    """Files of a folder, those with the same first line together: CSV columns go by position."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
-    first = (lines.where("start = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
-             .groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")))
-    return [[unquote(f) for f in r.files] for r in first.orderBy("header").collect()]
+def _file_name() -> Column:
+    return F.element_at(F.split("path", "/"), -1)
+
+
+def typed(parsed: DataFrame) -> DataFrame:
+    """Parsed text as bars, dated by column or else by file name, with ``bad_cells`` counted.
+
+    A value that does not parse becomes NULL. Rows without a date in column or name have a
+    ``problem`` that says so.
+    """
+    types = {f.name: f.dataType.simpleString() for f in BAR_SCHEMA}
+    text = {c: F.nullif(F.col(c), F.lit("")) for c in FILE_COLUMNS}
+    cells = {c: text[c].try_cast(types[c]) for c in SOURCE_HEADERS.values()}
+    bad = [F.when(text[c].isNotNull() & v.isNull(), 1).otherwise(0) for c, v in cells.items()]
+    day = F.coalesce(text["date"].try_cast("date"), file_date(F.col("file")))
+    undated = F.when((F.col("line") > 0) & day.isNull(), F.lit("no date in the file name"))
+    return parsed.select(
+        "file", F.coalesce("problem", undated).alias("problem"), "line", *[v.alias(c) for c, v in cells.items()],
+        day.alias("date"), F.coalesce(text["upload_file"], F.col("file")).alias("upload_file"),
+        reduce(lambda x, y: x + y, bad).alias("bad_cells"))
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read a folder of daily summary files.
 
-    CSV columns arrive as text and are cast one by one, so a bad cell or a
-    file without a date cannot stop the rest of the folder. Files with other
-    columns, or in another order, are read under their own header. A file that
-    cannot be read raises: nothing is left out in silence.
+    CSV columns arrive as text under each file's own header and are cast one by one, so a bad cell
+    or a file without a date cannot stop the rest of the folder; files without a date are skipped.
+    A file that cannot be read raises: nothing is left out in silence (``bulk_load`` reports it
+    instead). Columns that no file has are NULL.
     """
-    def dated(raw: DataFrame) -> DataFrame:
-        if "date" not in raw.columns:
-            raw = with_file_date(raw.select("*", "_metadata"))
-        return normalise_headers(raw)
-
     if fmt == "parquet":
-        return dated(spark.read.parquet(path))
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    parts = [dated(reader.csv(files)) for files in files_by_header(spark, path)]
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else \
-        dated(reader.csv(path))
+        raw = spark.read.parquet(path)
+        return normalise_headers(raw if "date" in raw.columns else
+                                 with_file_date(raw.select("*", "_metadata")))
+    parsed = parse_folder(spark, path)
+    sound = F.when(F.col("problem").isNotNull(), F.raise_error(
+        F.concat_ws(": ", "file", "problem")).cast("boolean")).otherwise(F.lit(True))
+    return typed(parsed.where(sound)).where("line > 0 and date is not null").drop(*FILE_MARKS)
 
 
 def latest_file_only(df: DataFrame) -> DataFrame:
@@ -133,10 +216,33 @@ def latest_file_only(df: DataFrame) -> DataFrame:
             .drop("_newest"))
 
 
-def bulk_load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """All readable files of a folder and the row count per file."""
-    rows = read_bars(spark, path).filter(F.col("symbol").isNotNull())
-    return rows, rows.groupBy("upload_file").agg(F.count("*").alias("records_processed"))
+def bulk_load(spark: SparkSession, path: str,
+              process: str = "bulk_load") -> tuple[DataFrame, DataFrame]:
+    """All sound files of a folder as bars, and a log row per file: SUCCESS, PARTIAL or ERROR.
+
+    Files are parsed once, into a table in the shared folder that both results read. A file with a
+    problem, or that cannot be opened, gives no bars and one ERROR row; cells that did not parse
+    make its row PARTIAL. Rows without a symbol are left out. Spark's readers do not list files of
+    no bytes; such a file is no error here.
+    """
+    at = f"{shared_dir(spark).rstrip('/')}/parsed-{uuid.uuid4().hex}"
+    found = typed(parse_folder(spark, path, skip_unreadable=True))
+    found.write.parquet(at)
+    found = spark.read.schema(found.schema).parquet(at)
+    sound = F.col("problem").isNull() & (F.col("line") > 0) & F.col("symbol").isNotNull()
+    rows = found.where(sound).drop(*FILE_MARKS)
+    # The listing alone knows files that could not be opened.
+    listed = spark.read.format("binaryFile").load(path).select(_file_name().alias("file"))
+    lost = listed.join(found.where("line = 0"), "file", "left_anti").select(
+        "file", F.lit("unreadable").alias("problem"), F.lit(0).cast("long").alias("bad_cells"),
+        F.lit(False).alias("counted"))
+    marked = found.select("file", "problem", F.col("bad_cells").cast("long"),
+                          sound.alias("counted")).unionByName(lost)
+    log = processing_log(marked, process, F.current_timestamp(), "file",
+                         bad=F.col("bad_cells") > 0, counted=F.col("counted"),
+                         error=F.col("problem"))
+    return rows, log
+
 
 
 def bars_from_ticks(ticks: DataFrame) -> DataFrame:

@@ -152,16 +152,26 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def processing_log(rows: DataFrame, process: str, at: Column, file_col: str = "upload_file",
-                   bad: Column | None = None) -> DataFrame:
-    """One entry per file with its row count and status."""
-    failed = F.count_if(bad) if bad is not None else F.lit(0)
-    return rows.groupBy(F.col(file_col).alias("file_name")).agg(
-        F.count("*").alias("records_processed"), failed.alias("_bad")).select(
+                   bad: Column | None = None, counted: Column | None = None,
+                   error: Column | None = None) -> DataFrame:
+    """One entry per file with its row count and status.
+
+    ``bad`` marks rows that were loaded in part, ``counted`` the rows that were loaded (all), and
+    ``error`` says why a file was not: such a file counts no rows.
+    """
+    true = F.lit(True)
+    wrong = F.max(error) if error is not None else F.lit(None).cast("string")
+    grouped = rows.groupBy(F.col(file_col).alias("file_name")).agg(
+        F.count_if(true if counted is None else counted).alias("_n"),
+        (F.count_if(bad) if bad is not None else F.lit(0)).alias("_bad"), wrong.alias("_wrong"))
+    failed = F.col("_wrong").isNotNull()
+    return grouped.select(
         F.lit(process).alias("process_name"), "file_name", at.alias("process_date"),
-        "records_processed",
-        F.when(F.col("_bad") == 0, "SUCCESS").otherwise("PARTIAL").alias("status"),
-        F.when(F.col("_bad") > 0, F.concat(F.col("_bad"), F.lit(" bad rows"))).alias(
-            "error_message"))
+        F.when(failed, F.lit(0)).otherwise(F.col("_n")).alias("records_processed"),
+        F.when(failed, "ERROR").when(F.col("_bad") == 0, "SUCCESS").otherwise("PARTIAL")
+        .alias("status"),
+        F.when(failed, F.col("_wrong")).when(
+            F.col("_bad") > 0, F.concat(F.col("_bad"), F.lit(" bad rows"))).alias("error_message"))
 
 
 def log_summary(log: DataFrame) -> DataFrame:

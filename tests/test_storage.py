@@ -26,10 +26,41 @@ def test_folder_with_bad_files_and_cells(spark, tmp_path):
     got = {(r.symbol, r.date.isoformat(), r.close, r.volume) for r in rows.collect()}
     assert got == {("AAA", "2025-01-02", 100.0, 5), ("AAA", "2025-01-03", 101.0, 6),
                    ("BBB", "2025-01-03", None, 7)}
-    assert sorted(r.records_processed for r in counts.collect()) == [1, 2]
+    assert {(r.file_name[-12:-4], r.records_processed, r.status) for r in counts.collect()} == {
+        ("20250102", 1, "SUCCESS"), ("20250103", 2, "PARTIAL"), ("2025xx03", 0, "ERROR")}
     assert SB.latest_file_only(rows).count() == 2
 
 
+def test_two_hundred_good_files_and_bad_ones(spark, tmp_path):
+    orders = (["Kode Saham", "Penutupan", "Volume"], ["Volume", " penutupan ", "KODE SAHAM"])
+    for k in range(200):
+        cells = {"kode saham": f"S{k}", "penutupan": str(k), "volume": "7"}
+        order = orders[k % 2]
+        day = f"2024{k // 28 + 1:02d}{k % 28 + 1:02d}"
+        (tmp_path / f"Ringkasan Saham {k}-{day}.csv").write_text(
+            ",".join(order) + "\n" + ",".join(cells[h.strip().lower()] for h in order) + "\n")
+    bad = {"bytes": b"Kode Saham\n\xff\xfe\n", "ragged": b"Kode Saham,Volume\nA,1,2\nB\n",
+           "blank": b"\n", "headless": b"a,b\n1,2\n"}
+    for name, content in bad.items():
+        (tmp_path / f"{name}-20250101.csv").write_bytes(content)
+    (tmp_path / "quoted-20250102.csv").write_bytes(
+        b'\xef\xbb\xbf"Kode Saham","Nama Perusahaan","Volume"\r\nQ,"two\nlines, one name",5\r\n\r\n')
+    (tmp_path / "rowless-20250103.csv").write_text("Kode Saham,Volume\n")
+    rows, log = SB.bulk_load(spark, str(tmp_path))
+    got = {r.symbol: r for r in rows.collect()}
+    assert got.keys() == {f"S{k}" for k in range(200)} | {"Q"}
+    assert all(got[f"S{k}"].close == k and got[f"S{k}"].volume == 7 for k in range(200))
+    assert (got["Q"].name, got["Q"].volume) == ("two\nlines, one name", 5)
+    entries = {r.file_name: r for r in log.collect()}
+    assert len(entries) == 206
+    assert {f for f, r in entries.items() if r.status == "ERROR"} == {
+        f"{name}-20250101.csv" for name in bad}
+    assert all(r.error_message for r in entries.values() if r.status == "ERROR")
+    assert entries["rowless-20250103.csv"].records_processed == 0
+    with pytest.raises(Exception, match="20250101.csv"):
+        SB.read_bars(spark, str(tmp_path)).count()
+
+
 def test_files_with_other_column_orders(spark, tmp_path):
     (tmp_path / "Ringkasan Saham-20250102.csv").write_text("Kode Saham,Penutupan,Volume\nAAA,100,5\n")
     (tmp_path / "Ringkasan Saham-20250103.csv").write_text(
