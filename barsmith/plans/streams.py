@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from barsmith.functions.scalar import pct_change
@@ -113,12 +115,64 @@ def _events(spark, sf):
 
 @query("daily_bars_stream", TICKS)
 def _(spark, sf):
-    """The event table as a stream of files, folded into the kept bar table."""
+    """The event table as a stream of files, folded into the kept bar table batch by batch."""
     source, target = work_dir(spark, "events"), work_dir(spark, "daily")
     events = _events(spark, sf)
-    # Ordered files: no tick is older than the watermark when its file is read.
-    events.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(source)
-    stream = spark.readStream.schema(events.schema).parquet(source)
+    for part in _thirds(events):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = ticks.daily_bars(stream, "user_id", "ts", "value", seq="event_id", watermark="40 days")
     _drain(ticks.maintain_daily_bars(out, target, work_dir(spark, "ckpt")))
     return spark.read.schema(out.schema).parquet(target)
+
+
+def _thirds(events):
+    """Three parts in time order, cut in the middle of a day."""
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
+        (F.unix_seconds("a") + (F.unix_seconds("b") - F.unix_seconds("a")) / 3).cast("long"),
+        (F.unix_seconds("a") + (F.unix_seconds("b") - F.unix_seconds("a")) / 3 * 2).cast("long")
+    ).first()
+    second = F.unix_seconds("ts")
+    return (events.where(second < ends[0]),
+            events.where((second >= ends[0]) & (second < ends[1])),
+            events.where(second >= ends[1]))
+
+
+CLOSING = """
+WITH e AS (SELECT *, CAST(date_trunc('day', ts) AS DATE) AS date FROM events),
+m AS (SELECT *, event_id % 97 = 0 AND date < (SELECT max(date) - 10 FROM e) AS late FROM e)
+SELECT 'bar' AS kind, CAST(user_id AS VARCHAR) AS symbol, date,
+  first(value ORDER BY ts, event_id) AS open_price, max(value) AS high, min(value) AS low,
+  last(value ORDER BY ts, event_id) AS close, count(*) AS volume
+FROM m WHERE NOT late GROUP BY user_id, date
+UNION ALL SELECT 'late', CAST(user_id AS VARCHAR), date, value, value, value, value, 1
+FROM m WHERE late"""
+
+
+@query("closing_bars_stream", CLOSING)
+def _(spark, sf):
+    """Final bars and late ticks: three batches in time order, one of stragglers, and a last tick
+    that lets the remaining days close."""
+    source, target, late = (work_dir(spark, n) for n in ("events", "closed", "late"))
+    events = _events(spark, sf)
+    newest = events.agg(F.max("ts").cast("date").alias("newest"))
+    marked = events.crossJoin(F.broadcast(newest)).withColumn("straggler", (
+        F.col("event_id") % 97 == 0) & (F.col("ts").cast("date") < F.date_sub("newest", 10)))
+    plain, stragglers = (marked.where(c).select(events.columns) for c in (
+        "not straggler", "straggler"))
+    last = newest.select(F.lit(-1).cast("long").alias("event_id"),
+                         F.date_add("newest", 9).cast("timestamp").alias("ts"),
+                         F.lit(-1).cast("long").alias("user_id"), F.lit(0.0).alias("value"))
+    for part in (*_thirds(plain), stragglers, last):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = ticks.closing_bars(stream, "user_id", "ts", "value", seq="event_id",
+                             wait=dt.timedelta(days=2), keep=dt.timedelta(days=60))
+    _drain(ticks.store_closing_bars(out, target, late, work_dir(spark, "ckpt")))
+    kept = spark.read.schema(out.drop("kind", "at").schema).parquet(target)
+    missed = spark.read.parquet(late)
+    price = [F.col("price").alias(c) for c in ("open_price", "high", "low", "close")]
+    return kept.select(F.lit("bar").alias("kind"), "symbol", "date", "open_price", "high", "low",
+                       "close", "volume").unionByName(missed.select(
+                           F.lit("late").alias("kind"), "symbol", "date", *price,
+                           F.col("size").alias("volume")))

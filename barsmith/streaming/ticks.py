@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from barsmith.sources.tables import upsert_path
 
@@ -40,3 +44,126 @@ def maintain_daily_bars(bars: DataFrame, target: str, checkpoint: str) -> Stream
 
     return (bars.writeStream.outputMode("update").foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+BAR_STATE = ("open_price double, open_at long, open_seq long, high double, low double, "
+             "close double, close_at long, close_seq long, volume long, frequency long")
+EMITTED = ("kind string, symbol string, date date, at timestamp, open_price double, high double, "
+           "low double, close double, volume long, frequency long")
+DAY_MS = 86_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _DayKeeper(StatefulProcessor):
+    """One row of state per symbol and day, a timer that emits the bar, and ticks that come later.
+
+    The watermark trails the newest tick by ``keep_ms``; a day closes once it has passed the end of
+    the day by ``wait_ms - keep_ms``, that is, once a tick ``wait_ms`` beyond the day was seen.
+    """
+
+    def __init__(self, wait_ms: int, keep_ms: int):
+        self.closing = wait_ms - keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("bar", BAR_STATE)
+
+    def _closes(self, day: dt.date) -> int:
+        return ((day - dt.date(1970, 1, 1)).days + 1) * DAY_MS + self.closing
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        symbol, day = key
+        closes = self._closes(day)
+        if timerValues.getCurrentWatermarkInMs() >= closes:
+            for ticks in rows:
+                yield pd.DataFrame({
+                    "kind": "late", "symbol": symbol, "date": day, "at": ticks["at"],
+                    "open_price": ticks["price"], "high": ticks["price"], "low": ticks["price"],
+                    "close": ticks["price"], "volume": ticks["size"], "frequency": 1})
+            return
+        held = self.state.get()
+        if held is None:
+            self.handle.registerTimer(closes)
+        for ticks in rows:
+            held = _folded(held, ticks)
+        if held is not None:
+            self.state.update(held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        symbol, day = key
+        held = self.state.get()
+        if held is None:
+            return
+        self.state.clear()
+        yield pd.DataFrame([("bar", symbol, day, pd.NaT, held[0], held[3], held[4], held[5],
+                             held[8], held[9])], columns=[c.split()[0] for c in EMITTED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def _folded(held: tuple | None, ticks: pd.DataFrame) -> tuple:
+    """State with the ticks of a batch; first and last go by time, then by sequence number."""
+    order = ticks.sort_values(["at_us", "seq"], kind="stable")
+    first, last = order.iloc[0], order.iloc[-1]
+    fresh = (float(first["price"]), int(first["at_us"]), int(first["seq"]),
+             float(ticks["price"].max()), float(ticks["price"].min()),
+             float(last["price"]), int(last["at_us"]), int(last["seq"]),
+             int(ticks["size"].sum()), len(ticks))
+    if held is None:
+        return fresh
+    opened = min(held[:3], fresh[:3], key=lambda x: x[1:])
+    closed = max(held[5:8], fresh[5:8], key=lambda x: x[1:])
+    return (*opened, max(held[3], fresh[3]), min(held[4], fresh[4]), *closed,
+            held[8] + fresh[8], held[9] + fresh[9])
+
+
+def closing_bars(ticks: DataFrame, key: str, ts: str, price: str, size: str | None = None,
+                 seq: str | None = None, wait: dt.timedelta = dt.timedelta(hours=1),
+                 keep: dt.timedelta = dt.timedelta(days=7)) -> DataFrame:
+    """A stream of final daily bars, each emitted once, and of the ticks that came too late.
+
+    ``kind`` is ``bar`` or ``late``. A day closes when a tick ``wait`` beyond its end has been seen
+    in an earlier batch; all symbols' bars of the day then leave in one batch. Ticks for a closed
+    day come out as they are, as long as they are newer than the newest tick less ``keep``; Spark
+    drops and counts (``numRowsDroppedByWatermark``) those older still. Ticks without key, time or
+    price are left out. State is one row per open day and symbol.
+    """
+    src = ticks.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(price).isNotNull())
+    at = F.col(ts).cast("timestamp")
+    src = src.select(
+        F.col(key).cast("string").alias("symbol"), at.cast("date").alias("date"), at.alias("at"),
+        F.unix_micros(at).alias("at_us"), F.col(price).cast("double").alias("price"),
+        (F.col(size) if size else F.lit(1)).cast("long").alias("size"),
+        (F.col(seq) if seq else F.lit(0)).cast("long").alias("seq"))
+    wait_ms, keep_ms = (int(x.total_seconds() * 1000) for x in (wait, keep))
+    if wait_ms > keep_ms:
+        raise ValueError("keep ticks at least as long as days stay open")
+    return (src.withWatermark("at", f"{keep_ms} milliseconds").groupBy("symbol", "date")
+            .transformWithStateInPandas(_DayKeeper(wait_ms, keep_ms), EMITTED, "append",
+                                        "eventtime"))
+
+
+def store_closing_bars(emitted: DataFrame, target: str, late: str,
+                       checkpoint: str) -> StreamingQuery:
+    """Final bars into a folder per day, written once, and late ticks into a folder per batch.
+
+    A batch replayed after a failure writes the same folders again.
+    """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        (batch.where("kind = 'bar'").drop("kind", "at").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target))
+        batch.where("kind = 'late'").select(
+            "symbol", "date", "at", F.col("close").alias("price"), F.col("volume").alias("size")
+        ).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        batch.unpersist()
+
+    conf, name = emitted.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKS)  # timers need this store; a running query keeps what it started with
+    try:
+        return (emitted.writeStream.outputMode("append").foreachBatch(keep)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        conf.set(name, before)

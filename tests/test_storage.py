@@ -179,3 +179,23 @@ def test_model_versions_count_up(spark, make_bars, tmp_path):
 def test_jdbc_reader_is_lazy_about_drivers(spark):
     with pytest.raises(Exception):
         T.read_jdbc(spark, "jdbc:none://x", "SELECT 1").collect()
+
+
+def test_day_state_is_the_same_in_any_batches():
+    import random
+
+    import pandas as pd
+
+    from barsmith.streaming.ticks import _folded
+    rng = random.Random(2)
+    rows = [(rng.randrange(5), rng.randrange(50), float(rng.randrange(9)), 2) for _ in range(60)]
+    frame = pd.DataFrame(rows, columns=["at_us", "seq", "price", "size"]).drop_duplicates(
+        ["at_us", "seq"])
+    whole = _folded(None, frame)
+    held = None
+    for cut in range(0, len(frame), 7):
+        held = _folded(held, frame.iloc[cut:cut + 7])
+    assert held == whole
+    first, last = min(frame.itertuples(index=False)), max(frame.itertuples(index=False))
+    assert (whole[0], whole[5], whole[8], whole[9]) == (
+        first.price, last.price, 2 * len(frame), len(frame))
