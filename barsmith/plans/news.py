@@ -52,30 +52,35 @@ SENTIMENT = ARTICLES + scored_sql(TEST_POSITIVE, TEST_NEGATIVE) + """, senti AS
          count(*) FILTER (sentiment = 'Neutral') AS neutral_count
   FROM scored GROUP BY ticker, published, feed)"""
 
-SENTIMENT_PRICE = """, senti_in AS (
-  SELECT ticker AS symbol, date, avg_sentiment AS s, news_count AS n, positive_count AS p,
-         negative_count AS g, neutral_count AS u FROM senti
-  WHERE feed = 'A' AND date >= (SELECT d FROM anchor) - 90
+# Labels of moods (3 * sentiment + price, each -1, 0 or 1) and of strengths.
+MOODS = {4: "Positive Alignment", -4: "Negative Alignment",
+         2: "Sentiment-Price Divergence (Bearish)", -2: "Sentiment-Price Divergence (Bullish)"}
+STRENGTHS = ["Strong Sell Signal", "Sell Signal", "Hold/No Signal", "Buy Signal",
+             "Strong Buy Signal"]
+
+SENTIMENT_PRICE = f""", told AS (SELECT * FROM senti WHERE feed = 'A'),
+days AS (
+  SELECT symbol, date FROM metrics UNION SELECT ticker, date FROM told
+), met AS (
+  SELECT symbol, date, m.close, m.percent_change, t.avg_sentiment, t.news_count, t.positive_count,
+         t.negative_count, t.neutral_count, t.news_count >= 2 AS has_sufficient_data,
+         (avg_sentiment > 0.25)::INT - (avg_sentiment < -0.25)::INT AS mood,
+         (percent_change > 1)::INT - (percent_change < -1)::INT AS move,
+         (avg_sentiment > 0.2)::INT - (avg_sentiment < -0.2)::INT AS side,
+         (abs(avg_sentiment) > 0.4 AND news_count >= 3)::INT AS sure
+  FROM days LEFT JOIN metrics m USING (symbol, date)
+  LEFT JOIN (SELECT ticker AS symbol, * EXCLUDE ticker FROM told) t USING (symbol, date)
+  WHERE date >= (SELECT d FROM anchor) - 30
 ), senti_price AS (
-  SELECT coalesce(m.symbol, i.symbol) AS symbol, c.name, coalesce(m.date, i.date) AS date, m.close,
-         m.percent_change, s AS avg_sentiment, n AS news_count, p AS positive_count,
-         g AS negative_count, u AS neutral_count, p * 1e2 / n AS positive_percentage,
-         g * 1e2 / n AS negative_percentage, n >= 2 AS has_sufficient_data,
-         CASE WHEN n >= 2 AND percent_change IS NOT NULL THEN
-           CASE WHEN s > 0.25 AND percent_change > 1 THEN 'Positive Alignment'
-                WHEN s < -0.25 AND percent_change < -1 THEN 'Negative Alignment'
-                WHEN s > 0.25 AND percent_change < -1 THEN 'Sentiment-Price Divergence (Bearish)'
-                WHEN s < -0.25 AND percent_change > 1 THEN 'Sentiment-Price Divergence (Bullish)'
-                ELSE 'Neutral/No Strong Signal' END
-           ELSE 'Insufficient Data' END AS sentiment_price_signal,
-         CASE WHEN n IS NULL OR n < 2 THEN 'Insufficient Data'
-              WHEN s > 0.4 AND n >= 3 THEN 'Strong Buy Signal' WHEN s > 0.2 THEN 'Buy Signal'
-              WHEN s < -0.4 AND n >= 3 THEN 'Strong Sell Signal' WHEN s < -0.2 THEN 'Sell Signal'
-              ELSE 'Hold/No Signal' END AS trading_signal
-  FROM (SELECT * FROM metrics WHERE date >= (SELECT d FROM anchor) - 90) m
-  FULL JOIN senti_in i ON i.symbol = m.symbol AND i.date = m.date
-  LEFT JOIN dim c ON c.symbol = coalesce(m.symbol, i.symbol)
-  WHERE coalesce(m.date, i.date) >= (SELECT d FROM anchor) - 30)"""
+  SELECT symbol, name, date, close, percent_change, avg_sentiment, news_count, positive_count,
+         negative_count, neutral_count, positive_count * 1e2 / news_count AS positive_percentage,
+         negative_count * 1e2 / news_count AS negative_percentage, has_sufficient_data,
+         CASE WHEN has_sufficient_data AND percent_change IS NOT NULL
+              THEN coalesce(MAP {MOODS}[3 * mood + move], 'Neutral/No Strong Signal')
+              ELSE 'Insufficient Data' END AS sentiment_price_signal,
+         CASE WHEN has_sufficient_data THEN {STRENGTHS}[3 + side * (1 + sure)]
+              ELSE 'Insufficient Data' END AS trading_signal
+  FROM met LEFT JOIN dim USING (symbol))"""
 
 DIM = """, dim AS (SELECT symbol, last(name ORDER BY date) AS name FROM bars GROUP BY symbol)"""
 
