@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.functions.frames import by_symbol, whole_symbol, lag, last_n, lead
+from barsmith.functions.frames import by_symbol, lag, lead, whole_symbol
 from barsmith.functions.scalar import first_match, next_business_day
 from barsmith.operators.ranking import latest_per
 from barsmith.operators.relational import error_metrics, guarded_ratio
@@ -175,53 +175,62 @@ def train_win_classifier(features: DataFrame, trees: int = 100, depth: int = 5,
     return model, report
 
 
-def fit_close_model(sequences: DataFrame, length: int = 10) -> tuple[PipelineModel, DataFrame]:
-    """One linear model of the next close over all symbols' sequences, with hold-out errors.
+def close_model_inputs(length: int = 10) -> dict[str, Column]:
+    """Inputs of the next-close model: past closes, MACD, RSI and change relative to the close, so
+    that symbols of any price level share it."""
+    now = F.nullif(F.col("close_0"), F.lit(0.0))
+    out = {f"r{k}": F.col(f"close_{k}") / now - 1 for k in range(1, length)}
+    return out | {"m": F.col("macd_line_0") / now, "i": F.col("rsi_0") / 100,
+                  "p": F.col("percent_change_0") / 100}
 
-    Features and target are relative to the current close, so symbols of any
-    price level share the model.
+
+def fit_close_model(sequences: DataFrame, length: int = 10,
+                    ridge: float = 0.01) -> dict[str, float] | None:
+    """Ridge regression of the next close's change on :func:`close_model_inputs`, in closed form.
+
+    One aggregation gives the sums of products of all training rows, a matrix whose size depends on
+    the inputs alone; its solution is the model: a coefficient per input and ``intercept``. The
+    penalty of an input is ``ridge`` times its variance for each row; the intercept has none.
+    Rows without a complete sequence do not count; without rows there is no model.
     """
-    rel = [F.col(f"close_{k}") / F.col("close_0") - 1 for k in range(1, length)]
-    base = sequences.withColumns({
-        **{f"_r{k}": c for k, c in enumerate(rel, 1)},
-        "_m": F.col("macd_line_0") / F.col("close_0"), "_rsi": F.col("rsi_0") / 100,
-        "_pct": F.col("percent_change_0") / 100,
-        "label": F.col("target") / F.col("close_0") - 1})
-    inputs = [*[f"_r{k}" for k in range(1, length)], "_m", "_rsi", "_pct"]
-    model = Pipeline(stages=[
-        VectorAssembler(inputCols=inputs, outputCol="features"),
-        LinearRegression(regParam=0.01, maxIter=50)]).fit(base.filter("split = 'train'"))
-    scored = model.transform(base)
-    out = scored.select("symbol", "date", "split", "target", "close_0",
-                        ((F.col("prediction") + 1) * F.col("close_0")).alias("predicted_close"))
-    return model, out
+    inputs = close_model_inputs(length)
+    now = F.nullif(F.col("close_0"), F.lit(0.0))
+    rows = sequences.filter("split = 'train'").select(
+        F.lit(1.0).alias("intercept"), *[c.alias(f) for f, c in inputs.items()],
+        (F.col("target") / now - 1).alias("y")).dropna()
+    names = ["intercept", *inputs]
+    pairs = [(a, b) for k, a in enumerate(names) for b in [*names[k:], "y"]]
+    sums = rows.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs]).first()
+    n = sums["intercept*intercept"]
+    if not n:
+        return None
+    gram = np.array([[sums[f"{a}*{b}" if names.index(a) <= names.index(b) else f"{b}*{a}"]
+                      for b in names] for a in names])
+    mean = gram[0] / n
+    gram[np.diag_indices(len(names))] += ridge * n * (np.diag(gram) / n - mean ** 2)
+    found = np.linalg.solve(gram, np.array([sums[f"{a}*y"] for a in names]))
+    return dict(zip(names, map(float, found), strict=True))
 
 
-def hold_out_errors(scored: DataFrame) -> dict[str, float]:
-    held = scored.filter("split = 'test'")
-    ev = RegressionEvaluator(labelCol="target", predictionCol="predicted_close")
-    return {m: float(ev.evaluate(held, {ev.metricName: m})) for m in ("rmse", "mae")}
+def predict_close(model: dict[str, float], length: int = 10) -> Column:
+    """The close that follows a sequence."""
+    change = F.lit(model["intercept"])
+    for f, c in close_model_inputs(length).items():
+        change = change + F.lit(model[f]) * c
+    return (change + 1) * F.col("close_0")
 
 
 def next_close_forecast(df: DataFrame, length: int = 10) -> DataFrame:
-    """Next business day's close per symbol from its newest complete sequence."""
-    model, _ = fit_close_model(sequence_features(df, length), length)
+    """Next business day's close per symbol from its newest complete sequence; none without one."""
+    model = fit_close_model(sequence_features(df, length), length)
     cols = {f"close_{k}": (F.col("close") if k == 0 else lag("close", k)) for k in range(length)}
-    newest = df.dropna(subset=list(SEQUENCE_FEATURES)).withColumns(cols)
-    newest = latest_per(newest.select("symbol", "date", *cols, "macd_line", "rsi",
-                                      "percent_change"))
-    rel = {f"_r{k}": F.col(f"close_{k}") / F.col("close_0") - 1 for k in range(1, length)}
-    ready = newest.dropna(subset=list(cols)).withColumns({
-        **rel, "_m": F.col("macd_line") / F.col("close_0"), "_rsi": F.col("rsi") / 100,
-        "_pct": F.col("percent_change") / 100})
-    return model.transform(ready).select(
-        "symbol", next_business_day("date").alias("prediction_date"),
-        ((F.col("prediction") + 1) * F.col("close_0")).alias("predicted_close"))
-
-
-def sequence_arrays(df: DataFrame, column: str, length: int = 10) -> DataFrame:
-    """The last values of a column as one array, bounded by the frame."""
-    return df.withColumn(f"{column}_seq", F.collect_list(column).over(last_n(length)))
+    newest = df.dropna(subset=list(SEQUENCE_FEATURES)).withColumns(cols).withColumns({
+        f"{c}_0": F.col(c) for c in ("macd_line", "rsi", "percent_change")})
+    newest = latest_per(newest.select("symbol", "date", *cols, "macd_line_0", "rsi_0",
+                                      "percent_change_0")).dropna(subset=list(cols))
+    close = predict_close(model, length) if model else F.lit(None).cast("double")
+    return newest.select("symbol", next_business_day("date").alias("prediction_date"),
+                         close.alias("predicted_close")).where("predicted_close is not null")
 
 
 def save_model_version(spark: SparkSession, model: PipelineModel, path: str) -> int:

@@ -264,8 +264,11 @@ def _(spark, sf):
     every = b.select("symbol", "date", F.col("frequency").alias("buy_score"),
                      F.lit(0.5).alias("winning_probability"))
     res = B.backtest(every, b, DAILY, latest_date(spark, sf), min_score=0)
-    found = P.train_win_classifier(P.win_features(every, res, b, _indicator_rows(b)), trees=20)
-    return found[1]
+    # Read by the count, every pass of the fit and both evaluations.
+    path = work_dir(spark, "win-features")
+    P.win_features(every, res, b, _indicator_rows(b)).write.parquet(path)
+    found = P.train_win_classifier(spark.read.parquet(path))
+    return found[1] if found else spark.createDataFrame([], "metric string, value double")
 
 
 @query("minmax_normalize", bars_sql("""
@@ -279,30 +282,59 @@ def _(spark, sf):
     return P.minmax_normalize(b, ["close", "volume"]).drop("close", "volume")
 
 
-def _sequence_base(b):
-    out = I.with_macd_sma(I.with_rsi(M.daily_metrics(b)))
-    return out.select("symbol", "date", "close", "volume", "percent_change", "macd_line", "rsi")
-
-
-@query("sequence_features", bars_sql("""
-, x AS (SELECT m.symbol, m.date, m.close, CAST(m.volume AS DOUBLE) AS volume, m.percent_change, d.macd_line, r.rsi
+SEQUENCES = """
+, x AS (SELECT m.symbol, m.date, m.close, CAST(m.volume AS DOUBLE) AS volume, m.percent_change,
+               d.macd_line, r.rsi
         FROM metrics m JOIN macd_tab d USING (symbol, date) JOIN rsi_tab r USING (symbol, date)
         WHERE m.percent_change IS NOT NULL),
 y AS (SELECT symbol, date, """ + ", ".join(
-    f"lag({c}, {k}) OVER w AS {c}_{k}" for c in P.SEQUENCE_FEATURES for k in (0, 4, 9))
-    + """, lead(close) OVER w AS target, row_number() OVER w AS rn,
+    f"lag({c}, {k}) OVER w AS {c}_{k}" for c in P.SEQUENCE_FEATURES for k in range(10)) + """,
+        lead(close) OVER w AS target, row_number() OVER w AS rn,
         count(*) OVER (PARTITION BY symbol) AS n
-      FROM x WINDOW w AS (PARTITION BY symbol ORDER BY date))
-SELECT * EXCLUDE (rn, n), CASE WHEN rn - 10 < floor((n - 10) * 0.8e0) THEN 'train' ELSE 'test' END
-         AS split FROM y WHERE rn >= 10 AND target IS NOT NULL""", METRICS, RSI, MACD),
-       " ".join(f"{c}_{k}" for c in ("percent_change", "macd_line", "rsi") for k in (0, 4, 9)))
-def _(spark, sf):
-    out = P.sequence_features(_sequence_base(bars(spark, sf)))
-    return out.select("symbol", "date", *[f"{c}_{k}" for c in P.SEQUENCE_FEATURES
-                                          for k in (0, 4, 9)], "target", "split")
+      FROM x WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+sequences AS (SELECT * EXCLUDE (rn, n), CASE WHEN rn - 10 < floor((n - 10) * 0.8e0) THEN 'train'
+                ELSE 'test' END AS split FROM y WHERE rn >= 10 AND target IS NOT NULL)"""
 
 
-@query("next_close_forecast")
+def _sequence_base(b):
+    out = I.with_macd_sma(I.with_rsi(M.daily_metrics(b)))
+    return out.select("symbol", "date", "close", "volume", "percent_change", "macd_line", "rsi")
+
+
+@query("sequence_features", bars_sql("SELECT * FROM sequences", METRICS, RSI, MACD, SEQUENCES),
+       " ".join(f"{c}_{k}" for c in ("percent_change", "macd_line", "rsi") for k in range(10)))
+def _(spark, sf):
+    return P.sequence_features(_sequence_base(bars(spark, sf)))
+
+
+# The normal equations as a list of rows, solved by elimination one column a step.
+_INPUTS = ["1e0", *[f"close_{k} / close_0 - 1" for k in range(1, 10)], "macd_line_0 / close_0",
+           "rsi_0 / 100", "percent_change_0 / 100"]
+_K = len(_INPUTS)
+CLOSE_MODEL = f"""
+, z AS (SELECT [{", ".join(_INPUTS)}, target / close_0 - 1] AS v FROM sequences
+        WHERE split = 'train'),
+cells AS (SELECT i, j, sum(v[i] * v[j]) AS s FROM z, range(1, {_K + 1}) a(i), range(1, {_K + 2}) b(j)
+          GROUP BY i, j),
+damped AS (SELECT c.i, c.j, c.s + CASE WHEN c.i = c.j
+             THEN 0.01e0 * n.s * (c.s / n.s - (m.s / n.s) ** 2) ELSE 0 END AS s
+           FROM cells c JOIN cells n ON n.i = 1 AND n.j = 1
+           JOIN cells m ON m.i = 1 AND m.j = least(c.j, {_K})),
+solved(p, a) AS (
+  SELECT 1, (SELECT list(r ORDER BY i) FROM (SELECT i, list(s ORDER BY j) AS r FROM damped GROUP BY i))
+  UNION ALL
+  SELECT p + 1, [[CASE WHEN i = p THEN a[p][j] / a[p][p] ELSE a[i][j] - a[i][p] * a[p][j] / a[p][p] END
+                  FOR j IN range(1, {_K + 2})] FOR i IN range(1, {_K + 1})]
+  FROM solved WHERE p <= {_K})
+"""
+
+
+@query("next_close_forecast", bars_sql(f"""
+SELECT symbol, date + CASE isodow(date) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS prediction_date,
+       close_0 * (1 + list_dot_product([{", ".join(_INPUTS)}],
+         (SELECT [row[{_K + 1}] FOR row IN a] FROM solved WHERE p = {_K + 1}))) AS predicted_close
+FROM y WHERE close_9 IS NOT NULL AND rn = n""", METRICS, RSI, MACD, SEQUENCES, CLOSE_MODEL),
+       "predicted_close:5")
 def _(spark, sf):
     return P.next_close_forecast(_sequence_base(bars(spark, sf)))
 

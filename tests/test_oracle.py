@@ -44,7 +44,7 @@ def test_registry_is_complete():
     assert len(ENTRIES) >= 230
     assert {HOME[n].rsplit(".", 1)[-1] for n in ENTRIES} >= {"storage", "streams", "quality"}
     unchecked = {n for n, e in ENTRIES.items() if e.sql is None}
-    assert unchecked == {"train_win_classifier", "next_close_forecast"}
+    assert unchecked == {"train_win_classifier"}
 
 
 def test_entry_point(spark):
