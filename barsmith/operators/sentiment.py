@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,13 +145,20 @@ def combined_sentiment(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def latest_headlines(first: DataFrame, second: DataFrame, per_feed: int = 3, k: int = 5,
-                     published: str = "published") -> DataFrame:
-    """Newest few of each feed, newest k of the union."""
-    cols = ["ticker", "title", "url", published, "sentiment", "feed"]
+                     published: str = "published",
+                     score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Newest few of each feed, newest k of the union.
+
+    ``score`` adds ``sentiment`` to articles that have none yet: only the k that are shown are
+    scored.
+    """
+    cols = ["ticker", "title", "url", published, "content" if score else "sentiment", "feed"]
     newest = [F.col(published).desc()]
     both = top_k(first.select(*cols), newest, per_feed, "url").unionByName(
         top_k(second.select(*cols), newest, per_feed, "url"))
-    return top_k(both, newest, k, "url")
+    shown = top_k(both, newest, k, "url")
+    shown = score(shown) if score else shown
+    return shown.select("ticker", "title", "url", published, "sentiment", "feed")
 
 
 def latest_day_headlines(articles: DataFrame, k: int = 5, published: str = "published") -> DataFrame:

@@ -10,24 +10,28 @@ from barsmith.operators import indicators as I
 from barsmith.operators import market as M
 from barsmith.operators import signals as G
 from barsmith.operators.relational import win_rates
-from barsmith.params import DAILY, MACD_GRID, RSI_GRID
+from barsmith.params import DAILY, MACD_GRID, MONTHLY, RSI_GRID, WEEKLY
 from barsmith.plans.inputs import bars, forecasts, latest_date
 from barsmith.plans.market import FORECASTS
 from barsmith.plans.registry import query
-from barsmith.plans.signals import history_sql
+from barsmith.plans.signals import history_sql, last_signals, last_sql
 from barsmith.plans.sqlbase import MACD, METRICS, RSI, bars_sql
 from barsmith.plans.storage import work_dir
 
 D = "(SELECT d FROM anchor)"
 
 # Scores of 5 and more are rare on these tables, so the queries take 3 and more.
-RESULTS = history_sql(DAILY) + f""", res AS (
+def results_sql(tf):
+    return history_sql(tf) + f""", res AS (
   SELECT s.symbol, s.date AS signal_date, s.buy_score, s.winning_probability,
     e.close AS entry_price, x.close AS exit_price, (x.close - e.close) / e.close * 100
-      AS percent_change, (x.close - e.close) / e.close * 100 > 2 AS is_win
+      AS percent_change, (x.close - e.close) / e.close * 100 > {tf.win_pct} AS is_win
   FROM sig s JOIN bars e ON e.symbol = s.symbol AND e.date = s.date
-  JOIN bars x ON x.symbol = s.symbol AND x.date = s.date + 5
-  WHERE s.date BETWEEN {D} - 180 AND {D} - 5)"""
+  JOIN bars x ON x.symbol = s.symbol AND x.date = s.date + {tf.hold_days}
+  WHERE s.date BETWEEN {D} - {tf.backtest_days} AND {D} - {tf.hold_days} AND s.buy_score >= 3)"""
+
+
+RESULTS = results_sql(DAILY)
 
 RATES = """, rates AS (
   SELECT buy_score, count(*) AS total_signals, count(*) FILTER (is_win) AS win_count,
@@ -35,18 +39,37 @@ RATES = """, rates AS (
   FROM res GROUP BY buy_score)"""
 
 
-def _signals(spark, sf, b):
-    return G.signal_history(b, DAILY)
+def _signals(spark, sf, b, tf=DAILY):
+    return G.signal_history(b, tf)
+
+
+def _results(spark, sf, b, signals=None, tf=DAILY):
+    signals = signals if signals is not None else _signals(spark, sf, b, tf)
+    return B.backtest(signals, b, tf, latest_date(spark, sf), min_score=3)
+
+
+def _named(name, tf):
+    return name if tf is DAILY else f"{name}_{tf.name.lower()}"
 
 
-def _results(spark, sf, b, signals=None):
-    signals = signals if signals is not None else _signals(spark, sf, b)
-    return B.backtest(signals, b, DAILY, latest_date(spark, sf), min_score=3)
+for _tf in (DAILY, WEEKLY, MONTHLY):
+    @query(_named("backtest", _tf), bars_sql("SELECT * FROM res", results_sql(_tf)),
+           "winning_probability percent_change")
+    def _(spark, sf, _tf=_tf):
+        return _results(spark, sf, bars(spark, sf), tf=_tf)
 
 
-@query("backtest", bars_sql("SELECT * FROM res", RESULTS), "winning_probability percent_change")
+@query("buy_score_observed", bars_sql("""
+SELECT o.symbol, o.date, o.buy_score,
+       coalesce(r.win_rate / 100, o.winning_probability) AS winning_probability
+FROM one o LEFT JOIN rates r ON r.buy_score = o.buy_score""", RESULTS, RATES,
+                                      last_sql(DAILY, "one")), "winning_probability")
 def _(spark, sf):
-    return _results(spark, sf, bars(spark, sf))
+    """Signals of the last bars; their probability is the win rate that the back-test observed."""
+    b = bars(spark, sf)
+    rates = win_rates(_results(spark, sf, b))
+    return last_signals(spark, sf, DAILY, b, rates).select("symbol", "date", "buy_score",
+                                                          "winning_probability")
 
 
 @query("win_rates", bars_sql("SELECT * FROM rates", RESULTS, RATES), "win_rate avg_return")
@@ -67,19 +90,21 @@ def _(spark, sf):
                                                      "winning_probability")
 
 
-@query("recent_performance", bars_sql(f"""
+for _tf in (DAILY, WEEKLY, MONTHLY):
+    @query(_named("recent_performance", _tf), bars_sql(f"""
 SELECT s.symbol, s.date AS signal_date, s.buy_score, s.winning_probability, e.close AS entry_price,
   x.close AS exit_price, (x.close - e.close) / e.close * 100 AS percent_change,
   (x.close - e.close) / e.close * 100 > 2 AS is_win, e.name
 FROM sig s JOIN bars e ON e.symbol = s.symbol AND e.date = s.date
-JOIN bars x ON x.symbol = s.symbol AND x.date = s.date + 5
-WHERE s.date BETWEEN {D} - 60 AND {D} - 5 AND s.winning_probability >= 0.6
-ORDER BY signal_date DESC, percent_change DESC, s.symbol LIMIT 10""", history_sql(DAILY)),
-       "winning_probability percent_change")
-def _(spark, sf):
-    b = bars(spark, sf)
-    return B.recent_performance(_signals(spark, sf, b), b, DAILY, latest_date(spark, sf),
-                                min_probability=0.6)
+JOIN bars x ON x.symbol = s.symbol AND x.date = s.date + {_tf.report_hold_days}
+WHERE s.date BETWEEN {D} - {_tf.performance_days} AND {D} - {_tf.report_hold_days}
+  AND s.winning_probability >= 0.6
+ORDER BY signal_date DESC, percent_change DESC, s.symbol LIMIT 10""", history_sql(_tf)),
+           "winning_probability percent_change")
+    def _(spark, sf, _tf=_tf):
+        b = bars(spark, sf)
+        return B.recent_performance(_signals(spark, sf, b, _tf), b, _tf, latest_date(spark, sf),
+                                    min_probability=0.6)
 
 
 @query("performance_by_score", bars_sql(f"""
@@ -167,19 +192,27 @@ def _(spark, sf):
     return B.evaluate_macd_grid(bars(spark, sf), as_of=latest_date(spark, sf))
 
 
-@query("best_parameters", bars_sql("""
-, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC NULLS LAST,
-          period, oversold, overbought) AS r FROM rsi_grid)
-SELECT 'RSI' AS indicator, symbol, '{"period":' || period || ',"oversold":' || oversold
-  || ',"overbought":' || overbought || '}' AS parameters, signal_count
-FROM b WHERE r = 1""", _rsi_grid_cte()))
+def _best_sql(indicator, table, names):
+    """The best row of each symbol; JSON texts are compared by their fields."""
+    pairs = " || ',".join(f"\"{n}\":' || {n}" for n in names)
+    return f"""(SELECT '{indicator}' AS indicator, symbol, '{{{pairs} || '}}' AS parameters,
+  win_rate_5d, avg_return_5d, signal_count FROM {table}
+  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC NULLS LAST,
+                             {', '.join(names)}) = 1)"""
+
+
+@query("best_parameters", bars_sql(
+    f"SELECT * FROM {_best_sql('RSI', 'rsi_grid', list(RSI_GRID))} UNION ALL "
+    f"SELECT * FROM {_best_sql('MACD', 'macd_grid', list(MACD_GRID))}",
+    _rsi_grid_cte(), _macd_grid_cte().removeprefix(FORWARD)), "win_rate_5d avg_return_5d")
 def _(spark, sf):
-    grid = B.evaluate_rsi_grid(bars(spark, sf), as_of=latest_date(spark, sf))
-    grid = grid.withColumn("score", F.round("score", 9))
-    best = B.best_parameters({"RSI": grid}, {"RSI": list(RSI_GRID)})
-    return best.select("indicator", "symbol", "parameters",
-                       F.get_json_object("performance", "$.signal_count").cast("long")
-                       .alias("signal_count"))
+    """Both indicators; the performance document is taken apart to compare its numbers."""
+    b, as_of = bars(spark, sf), latest_date(spark, sf)
+    found = {"RSI": B.evaluate_rsi_grid(b, as_of=as_of), "MACD": B.evaluate_macd_grid(b, as_of=as_of)}
+    best = B.best_parameters({k: v.withColumn("score", F.round("score", 9)) for k, v in found.items()},
+                             {"RSI": list(RSI_GRID), "MACD": list(MACD_GRID)})
+    told = F.from_json("performance", "win_rate_5d double, avg_return_5d double, signal_count long")
+    return best.withColumn("p", told).select("indicator", "symbol", "parameters", "p.*")
 
 
 # --- forecasts -------------------------------------------------------------------

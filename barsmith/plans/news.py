@@ -238,8 +238,9 @@ SELECT ticker, title, url, published, sentiment, feed FROM (
   (SELECT * FROM scored WHERE feed = 'B' ORDER BY published DESC, url LIMIT 3))
 ORDER BY published DESC, url LIMIT 5""", ARTICLES, scored_sql(TEST_POSITIVE, TEST_NEGATIVE)))
 def _(spark, sf):
-    s = scored_articles(spark, sf)
-    return N.latest_headlines(s.filter("feed = 'A'"), s.filter("feed = 'B'"))
+    a = articles(spark, sf)
+    return N.latest_headlines(a.filter("feed = 'A'"), a.filter("feed = 'B'"), score=lambda shown: (
+        N.lexicon_sentiment(shown, "content", TEST_POSITIVE, TEST_NEGATIVE)))
 
 
 @query("latest_day_headlines", bars_sql("""

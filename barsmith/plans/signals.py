@@ -118,14 +118,15 @@ def _(spark, sf):
     return flat(G.signal_history(bars(spark, sf), DAILY))
 
 
-def last_signals(spark, sf, tf, b=None):
+def last_signals(spark, sf, tf, b=None, win_rates=None):
     """The timeframe's score of each symbol's last bar, from its own indicator tables.
 
     Scores from 1 on: high scores are rare on these tables.
     """
     b, as_of = b or bars(spark, sf), latest_date(spark, sf)
     return G.buy_score(b, I.rsi(b, tf=tf, as_of=as_of), I.macd_ewm(b, tf=tf, as_of=as_of),
-                       I.bollinger(b, tf=tf, as_of=as_of), tf=tf, as_of=as_of, min_score=1)
+                       I.bollinger(b, tf=tf, as_of=as_of), win_rates, tf=tf, as_of=as_of,
+                       min_score=1)
 
 
 def last_sql(tf, name):
@@ -183,6 +184,10 @@ def last_sql(tf, name):
   WHERE buy_score >= 1)"""
 
 
+def _named(name, tf):
+    return name if tf is DAILY else f"{name}_{tf.name.lower()}"
+
+
 for _tf in (DAILY, WEEKLY, MONTHLY):
     @query("buy_score" if _tf is DAILY else f"buy_score_{_tf.name.lower()}", bars_sql(
         "SELECT symbol, date, buy_score, 0 AS selling_score, winning_probability, signal_strength, "
@@ -194,31 +199,39 @@ for _tf in (DAILY, WEEKLY, MONTHLY):
             "trigger_count", F.size("indicators_triggered")).drop("indicators_triggered")
 
 
-@query("volatility_liquidity_filter", bars_sql(f"""
+#: Ranges a few symbols of these tables fall into; the defaults are narrower than all of them.
+RANGES = {"DAILY": (1, 24), "WEEKLY": (1, 70), "MONTHLY": (1, 90)}
+for _tf in (DAILY, WEEKLY, MONTHLY):
+    _lo, _hi = RANGES[_tf.name]
+
+    @query(_named("volatility_liquidity_filter", _tf), bars_sql(f"""
 SELECT symbol, (max(high) - min(low)) / min(low) * 100 AS volatility_pct,
        avg(volume) AS avg_volume, stddev_samp(close) / avg(close) * 100 AS price_volatility,
        max(date) AS last_date, min(date) AS first_date, max(date) - min(date) AS days_range
-FROM bars WHERE date >= {LATEST} - 30 GROUP BY symbol
-HAVING avg(volume) >= 1000000 AND (max(high) - min(low)) / min(low) * 100 BETWEEN 1 AND 24"""),
-       "volatility_pct avg_volume:4 price_volatility")
-def _(spark, sf):
-    # The default range of 1..4 % is narrower than any symbol of these tables.
-    return G.volatility_liquidity_filter(bars(spark, sf), DAILY,
-                                         latest_date(spark, sf), (1.0, 24.0))
+FROM bars WHERE date >= {LATEST} - {_tf.volatility_days} GROUP BY symbol
+HAVING avg(volume) >= {_tf.volume_min}
+   AND (max(high) - min(low)) / min(low) * 100 BETWEEN {_lo} AND {_hi}"""),
+           "volatility_pct avg_volume:4 price_volatility")
+    def _(spark, sf, _tf=_tf):
+        lo, hi = RANGES[_tf.name]
+        return G.volatility_liquidity_filter(bars(spark, sf), _tf, latest_date(spark, sf),
+                                             (float(lo), float(hi)))
 
 
-@query("high_probability", bars_sql(f"""
+for _tf in (DAILY, WEEKLY, MONTHLY):
+    @query(_named("high_probability", _tf), bars_sql(f"""
 SELECT s.symbol, s.date, s.buy_score, s.signal_strength, s.winning_probability, s.name, s.close,
-       s.volume, r.rsi, m.macd_signal, s.close * 1.05e0 AS tp1, s.close * 1.1e0 AS tp2,
-       s.close * 0.97e0 AS stop_loss
+       s.volume, r.rsi, m.macd_signal, s.close * {_tf.take_profit_1}::DOUBLE AS tp1,
+       s.close * {_tf.take_profit_2}::DOUBLE AS tp2, s.close * {_tf.stop_loss}::DOUBLE AS stop_loss
 FROM one s LEFT JOIN rsi_tab r USING (symbol, date) LEFT JOIN macd_tab m USING (symbol, date)
 WHERE s.date = {LATEST} AND winning_probability >= 0.55 AND buy_score >= 1
-ORDER BY buy_score DESC, winning_probability DESC, symbol LIMIT 10""", last_sql(DAILY, "one"), RSI,
-                                    MACD), "winning_probability rsi tp1 tp2 stop_loss")
-def _(spark, sf):
-    b = bars(spark, sf)
-    return G.high_probability(last_signals(spark, sf, DAILY, b), b, I.rsi_sql(b), I.macd_sma(b),
-                              DAILY, latest_date(spark, sf), min_score=1, min_probability=0.55)
+ORDER BY buy_score DESC, winning_probability DESC, symbol LIMIT 10""", last_sql(_tf, "one"), RSI,
+                                                     MACD),
+           "winning_probability rsi tp1 tp2 stop_loss")
+    def _(spark, sf, _tf=_tf):
+        b = bars(spark, sf)
+        return G.high_probability(last_signals(spark, sf, _tf, b), b, I.rsi_sql(b), I.macd_sma(b),
+                                  _tf, latest_date(spark, sf), min_score=1, min_probability=0.55)
 
 
 def _best_sql(name, tag):
