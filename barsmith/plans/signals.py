@@ -200,7 +200,7 @@ for _tf in (DAILY, WEEKLY, MONTHLY):
 
 
 #: Ranges a few symbols of these tables fall into; the defaults are narrower than all of them.
-RANGES = {"DAILY": (1, 24), "WEEKLY": (1, 70), "MONTHLY": (1, 90)}
+RANGES = {"DAILY": (1, 24), "WEEKLY": (1, 100), "MONTHLY": (1, 200)}
 for _tf in (DAILY, WEEKLY, MONTHLY):
     _lo, _hi = RANGES[_tf.name]
 
@@ -209,13 +209,14 @@ SELECT symbol, (max(high) - min(low)) / min(low) * 100 AS volatility_pct,
        avg(volume) AS avg_volume, stddev_samp(close) / avg(close) * 100 AS price_volatility,
        max(date) AS last_date, min(date) AS first_date, max(date) - min(date) AS days_range
 FROM bars WHERE date >= {LATEST} - {_tf.volatility_days} GROUP BY symbol
-HAVING avg(volume) >= {_tf.volume_min}
+HAVING avg(volume) >= {min(_tf.volume_min, 5_000_000)}
    AND (max(high) - min(low)) / min(low) * 100 BETWEEN {_lo} AND {_hi}"""),
            "volatility_pct avg_volume:4 price_volatility")
     def _(spark, sf, _tf=_tf):
         lo, hi = RANGES[_tf.name]
         return G.volatility_liquidity_filter(bars(spark, sf), _tf, latest_date(spark, sf),
-                                             (float(lo), float(hi)))
+                                             (float(lo), float(hi)),
+                                             min(_tf.volume_min, 5_000_000))
 
 
 for _tf in (DAILY, WEEKLY, MONTHLY):
