@@ -68,12 +68,11 @@ BILINGUAL_NEGATIVE = DEFAULT_NEGATIVE + NEGATIVE_EN
 
 
 def hits(text: Column, entries: Sequence[str]) -> Column:
-    ""
+    """Number of list entries found in the text.
 
-
-
-
-    "Number of list entries found in the text.  The list is one array literal: the expression stays small however long the list, where a sum of a few hundred conditions would outgrow a generated method. """
+    The list is one array literal: the expression stays small however long the
+    list, where a sum of a few hundred conditions would outgrow a generated method.
+    """
     return F.size(F.filter(F.lit(list(entries)), lambda w: F.contains(text, w)))
 
 
@@ -88,11 +87,11 @@ def sentiment_columns(pos: ColumnLike, neg: ColumnLike) -> dict[str, Column]:
 
 
 def parse_published(text: ColumnLike) -> Column:
-    ""
-
-
+    """Timestamp of an Indonesian news date, NULL when no known form fits.
 
-    "Timestamp of an Indonesian news date, NULL when no known form fits.  Forms: 'Weekday, d Month yyyy HH:mm WIB', the same without weekday or zone, with seconds, date only, and ISO. """
+    Forms: 'Weekday, d Month yyyy HH:mm WIB', the same without weekday or zone,
+    with seconds, date only, and ISO.
+    """
     t = F.trim(col(text))
     for local, english in MONTHS_ID.items():
         t = F.replace(t, F.lit(local), F.lit(english))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.functions.frames import full, lead, since
@@ -103,21 +103,31 @@ def _with_forward_returns(bars: DataFrame) -> DataFrame:
 METRICS = ["avg_return_1d", "avg_return_5d", "win_rate_1d", "win_rate_5d", "signal_count", "score"]
 
 
-def _evaluate(signals: DataFrame, all_cells: DataFrame, cell: Sequence[str]) -> DataFrame:
+SUMS = ["_n", "_sum_1d", "_known_1d", "_wins_1d", "_sum_5d", "_known_5d", "_wins_5d"]
+
+
+def _tally(signals: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Sums and counts of forward returns per cell: they add up over cells, means do not."""
+    sums = [F.count("*").alias("_n")]
+    for d in ("1d", "5d"):
+        r = F.col(f"return_{d}")
+        sums += [F.sum(r).alias(f"_sum_{d}"), F.count(r).alias(f"_known_{d}"),
+                 F.count_if(r > 0).alias(f"_wins_{d}")]
+    return signals.groupBy(*cell).agg(*sums)
+
+
+def _evaluate(tally: DataFrame, all_cells: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Forward-return metrics per grid cell; zeros where a cell never signalled.
 
     A signal without a known return counts as no win, but not in the mean.
     """
-    n = F.count("*")
-    stats = signals.groupBy(*cell).agg(
-        (F.avg("return_1d") * 100).alias("avg_return_1d"),
-        (F.avg("return_5d") * 100).alias("avg_return_5d"),
-        (ratio(F.count_if(F.col("return_1d") > 0), n) * 100).alias("win_rate_1d"),
-        (ratio(F.count_if(F.col("return_5d") > 0), n) * 100).alias("win_rate_5d"),
-        n.alias("signal_count"))
-    out = all_cells.join(stats, list(cell), "left")
-    none = F.col("signal_count").isNull()
-    out = out.withColumns({m: F.when(none, F.lit(0)).otherwise(F.col(m)) for m in METRICS[:-1]})
+    out = all_cells.join(tally, list(cell), "left")
+    none = F.coalesce(F.col("_n"), F.lit(0)) == 0
+    found = {"signal_count": F.col("_n")}
+    for d in ("1d", "5d"):
+        found[f"avg_return_{d}"] = F.col(f"_sum_{d}") / F.nullif(F.col(f"_known_{d}"), F.lit(0)) * 100
+        found[f"win_rate_{d}"] = ratio(F.col(f"_wins_{d}"), F.col("_n")) * 100
+    out = out.withColumns({m: F.when(none, F.lit(0)).otherwise(found[m]) for m in METRICS[:-1]})
     return out.withColumn("score", F.col("win_rate_5d") * 0.5 + F.col("avg_return_5d") * 0.5)
 
 
@@ -125,10 +135,10 @@ def evaluate_rsi_grid(bars: DataFrame, grid: dict[str, list[int]] | None = None,
                       days: int = 365) -> DataFrame:
     """Metrics of buying when oversold, per symbol and parameter set.
 
-    RSI is computed once per period; a bar is repeated only for the
-    thresholds it falls below, and cells are pre-aggregated before the
-    shuffle. The upper threshold does not enter the metrics, so it is
-    attached afterwards.
+    RSI is computed once per period. A bar counts once per period, in the bin
+    between two neighbouring thresholds; running sums over the bins then give
+    every threshold, so finer thresholds add no rows before the shuffle. The
+    upper threshold does not enter the metrics, so it is attached afterwards.
     """
     grid = grid or RSI_GRID
     src = _with_forward_returns(I.with_gain_loss(since(bars.select("symbol", "date", "close"), days,
@@ -143,12 +153,19 @@ def evaluate_rsi_grid(bars: DataFrame, grid: dict[str, list[int]] | None = None,
     rows = F.array(*[F.struct(F.lit(p).alias("period"), F.col(f"_rsi_{p}").alias("rsi"))
                      for p, _ in by_period])
     long = wide.select("symbol", "return_1d", "return_5d", F.inline(rows))
-    limits = F.array(*[F.lit(t) for t in grid["oversold"]])
-    hits = long.select("symbol", "return_1d", "return_5d", "period", F.explode(
-        F.filter(limits, lambda t: F.col("rsi") <= t)).alias("oversold"))
-    symbols = src.select("symbol").distinct()
-    cells = param_grid(symbols, {k: grid[k] for k in ("period", "oversold")})
-    out = _evaluate(hits, cells, ["symbol", "period", "oversold"])
+    # Bin i holds the bars that threshold i finds and threshold i - 1 does not.
+    limits = sorted(set(grid["oversold"]))
+    above = F.size(F.filter(F.lit([float(t) for t in limits]), lambda t: t < F.col("rsi")))
+    binned = long.filter(F.col("rsi") <= limits[-1]).withColumn(
+        "oversold", F.element_at(F.lit(limits), above + 1))
+    cells = param_grid(src.select("symbol").distinct(), {"period": grid["period"],
+                                                         "oversold": limits})
+    cell = ["symbol", "period", "oversold"]
+    upto = Window.partitionBy("symbol", "period").orderBy("oversold").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    tally = cells.join(_tally(binned, cell), cell, "left").select(
+        *cell, *[F.sum(c).over(upto).alias(c) for c in SUMS])
+    out = _evaluate(tally, cells, cell)
     out = param_grid(out, {"overbought": grid["overbought"]})
     return out.select("symbol", "period", "oversold", "overbought", *METRICS)
 
@@ -165,7 +182,7 @@ def evaluate_macd_grid(bars: DataFrame, grid: dict[str, list[int]] | None = None
     hits = hits.withColumns({c: F.nanvl(c, F.lit(None).cast("double"))
                              for c in ("return_1d", "return_5d")})
     every = param_grid(src.select("symbol").distinct(), {n: grid[n] for n in names})
-    return _evaluate(hits, every, ["symbol", *names]).select("symbol", *names, *METRICS)
+    return _evaluate(_tally(hits, ["symbol", *names]), every, ["symbol", *names]).select("symbol", *names, *METRICS)
 
 
 def best_parameters(results: dict[str, DataFrame], params: dict[str, Sequence[str]]) -> DataFrame:

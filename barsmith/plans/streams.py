@@ -78,6 +78,34 @@ def _(spark, sf):
     return spark.read.parquet(sink).drop("batch")
 
 
+@query("rejected_messages", bars_sql("""
+SELECT topic, value, n AS batch_decoded FROM (
+  SELECT CASE WHEN close > 7000 THEN 'high' ELSE 'low' END AS topic,
+         left('{"symbol":"' || symbol || '","signal_type":"DAILY"', 30) AS value, day(date) AS d
+  FROM moves) CROSS JOIN (SELECT count(*) AS n FROM moves WHERE day(date) <> 13)
+WHERE d = 13""", METRICS, MOVES))
+def _(spark, sf):
+    """Cut messages of two topics as the consumer's own log keeps them; the stream is replayed."""
+    source, log = work_dir(spark, "messages"), work_dir(spark, "log")
+    sent = messages.encode(_moves(spark, sf).withColumn(
+        "topic", F.when(F.col("close") > 7000, "high").otherwise("low")), "DAILY",
+        F.col("date").cast("timestamp"), ["close", "topic"])
+    high = F.col("value").contains('"topic":"high"')
+    cut = F.when(F.col("value").contains("-13T00"), F.expr("left(value, 30)")).otherwise(
+        F.col("value"))
+    sent.select("key", cut.alias("value"), F.when(high, "high").otherwise("low").alias(
+        "topic")).write.parquet(source)
+    stream = spark.readStream.schema("key string, value string, topic string").parquet(source)
+    for _ in range(2):  # a new checkpoint sends batch 0 again
+        done = messages.signals_from_kafka(stream, lambda batch, batch_id: None,
+                                           work_dir(spark, "ckpt"), log)
+        done.processAllAvailable()
+        done.stop()
+    counts = spark.read.parquet(f"{log}/batches").agg(F.sum("decoded").alias("batch_decoded"))
+    return spark.read.parquet(f"{log}/rejected").select("topic", "value").crossJoin(
+        F.broadcast(counts))
+
+
 @query("watch_bar_files", bars_sql("""
 SELECT symbol, date, CASE WHEN date >= DATE '2000-06-20' AND date < DATE '2000-07-01'
   THEN close + 1 ELSE close END AS close, volume FROM bars"""))

@@ -16,12 +16,28 @@ from pyspark.sql import types as T
 from barsmith.session import shared_dir
 
 
-def last_write(updates: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
-    """One update per key: the one with the greatest ``order`` value."""
-    if order is None:
-        return updates.dropDuplicates(list(keys))
+def _ranked(rest: Sequence[str], df: DataFrame) -> Column:
+    """The row itself as an order; columns that have none of their own compare as JSON."""
+    row = F.struct(*rest)
+    plain = not any(isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) for c in rest)
+    return row if plain else F.to_json(row)
+
+
+def last_write(updates: DataFrame, keys: Sequence[str], order: str | Column | None,
+               first: bool = False) -> DataFrame:
+    """One update per key: the one with the greatest (``first``: least) ``order`` value.
+
+    Without an order, and among updates of the same order, the rows themselves
+    are compared, so a replay keeps the same one.
+    """
     rest = [c for c in updates.columns if c not in keys]
-    packed = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    if not rest:
+        return updates.distinct()
+    by = _ranked(rest, updates)
+    if order is not None:
+        by = F.struct((F.col(order) if isinstance(order, str) else order).alias("o"), by.alias("r"))
+    pick = F.min_by if first else F.max_by
+    packed = updates.groupBy(*keys).agg(pick(F.struct(*rest), by).alias("_r"))
     return packed.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(
         *updates.columns)
 
@@ -49,9 +65,11 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str],
     return both.select(*keys, *cols).select(*target.columns)
 
 
-def insert_ignore(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Append only rows whose key is new; the first of equal keys wins."""
-    fresh = updates.join(target.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))
+def insert_ignore(target: DataFrame, updates: DataFrame, keys: Sequence[str],
+                  order: str | Column | None = None) -> DataFrame:
+    """Append only rows whose key is new; the first of equal keys in ``order`` wins."""
+    new = updates.join(target.select(*keys), list(keys), "left_anti")
+    fresh = last_write(new, keys, order, first=True)
     return target.unionByName(fresh.select(*target.columns))
 
 

@@ -6,13 +6,15 @@ and sink functions below need it. Encoding and decoding are plain columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from barsmith.sources.tables import folder_exists
+
 # Fields of a message.
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -49,9 +51,13 @@ def rejected(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.filter(bad)
 
 
-def kafka_source(spark: SparkSession, servers: str, topic: str,
+def kafka_source(spark: SparkSession, servers: str, topics: str | Sequence[str],
                  starting: str = "latest", fail_on_data_loss: bool = True) -> DataFrame:
-    """Messages of a topic. Offsets that are gone stop the stream unless told otherwise."""
+    """Messages of one or several topics, each row with its ``topic``.
+
+    Offsets that are gone stop the stream unless told otherwise.
+    """
+    topic = topics if isinstance(topics, str) else ",".join(topics)
     return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
             .option("subscribe", topic).option("startingOffsets", starting)
             .option("failOnDataLoss", str(fail_on_data_loss).lower()).load())
@@ -69,10 +75,34 @@ def signals_to_kafka(encoded: DataFrame, servers: str, topic: str,
 
 
 def signals_from_kafka(messages: DataFrame, handle: Callable[[DataFrame, int], None],
-                       checkpoint: str) -> StreamingQuery:
-    """Hand every micro-batch of decoded messages to ``handle``."""
+                       checkpoint: str, log: str | None = None) -> StreamingQuery:
+    """Hand every micro-batch of decoded messages to ``handle``.
+
+    With ``log`` the messages that do not decode are kept whole, with topic and
+    offset where the source has them, in ``<log>/rejected/batch_id=<n>``, and
+    ``<log>/batches/batch_id=<n>`` counts what the batch received, decoded and
+    rejected. The count is written last: a batch replayed after a failure is
+    done again until it is there, replaces its own folders, and is skipped
+    from then on. Batch ids belong to ``checkpoint``; keep one log for each.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
-        handle(decode(batch), batch_id)
+        if log is None:
+            handle(decode(batch), batch_id)
+            return
+        counted = f"{log}/batches/batch_id={batch_id}"
+        if folder_exists(batch.sparkSession, f"{counted}/_SUCCESS"):
+            return
+        batch = batch.persist()
+        try:
+            handle(decode(batch), batch_id)
+            rejected(batch).write.mode("overwrite").parquet(f"{log}/rejected/batch_id={batch_id}")
+            good = decode(batch).agg(F.count("*").alias("decoded"))
+            received = batch.agg(F.count("*").alias("received"))
+            (received.crossJoin(good).select("received", "decoded", (
+                F.col("received") - F.col("decoded")).alias("rejected"))
+             .coalesce(1).write.mode("overwrite").parquet(counted))
+        finally:
+            batch.unpersist()
 
     return (messages.writeStream.foreachBatch(step)
             .option("checkpointLocation", checkpoint).start())

@@ -150,6 +150,77 @@ def test_messages_round_trip(spark):
     assert messages.rejected(mixed).count() == 3
 
 
+def test_consumer_keeps_bad_messages_and_skips_a_replayed_batch(spark, tmp_path):
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    rows = [('{"symbol":"A","signal_type":"DAILY","probability":0.5}', "one", 0),
+            ('{"symbol":"B"}', "one", 1), ("{bad", "two", 0), (None, "two", 1)]
+    schema = "value string, topic string, offset long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    handled = []
+    for ckpt in ("c1", "c2"):  # the second sends batch 0 once more
+        q = messages.signals_from_kafka(
+            spark.readStream.schema(schema).parquet(source),
+            lambda df, n: handled.append((n, [r.symbol for r in df.collect()])),
+            str(tmp_path / ckpt), log)
+        q.processAllAvailable()
+        q.stop()
+    assert handled == [(0, ["A"])]
+    kept = spark.read.parquet(f"{log}/rejected").collect()
+    assert sorted((r.topic, r.offset, r.value or "") for r in kept) == [
+        ("one", 1, '{"symbol":"B"}'), ("two", 0, "{bad"), ("two", 1, "")]
+    counts = spark.read.parquet(f"{log}/batches").collect()
+    assert [(r.batch_id, r.received, r.decoded, r.rejected) for r in counts] == [(0, 4, 1, 3)]
+
+
+def test_consumer_does_a_batch_again_that_failed_half_way(spark, tmp_path):
+    source, log, ckpt = (str(tmp_path / n) for n in ("in", "log", "c"))
+    spark.createDataFrame([("{bad",)], "value string").write.parquet(source)
+    tries = []
+
+    def handle(df, n):
+        tries.append(n)
+        if len(tries) == 1:
+            raise RuntimeError("sink is away")
+
+    def run():
+        q = messages.signals_from_kafka(spark.readStream.schema("value string").parquet(source),
+                                        handle, ckpt, log)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    with pytest.raises(Exception, match="sink is away"):
+        run()
+    run()
+    assert tries == [0, 0]
+    assert spark.read.parquet(f"{log}/rejected").count() == 1
+
+
+def test_one_key_twice_keeps_the_last_file_and_row(spark, make_bars, tmp_path):
+    folder = str(tmp_path / "in")
+    cols = ["symbol", "date", "close"]
+    day = make_bars(closes([1])).select(*cols)
+    twice = day.unionByName(day.withColumn("close", F.lit(9.0))).unionByName(
+        day.withColumn("close", F.lit(5.0)))
+    twice.coalesce(1).write.parquet(folder)
+    for name in ("a", "b"):  # a second target and checkpoint stand for a replay
+        files.watch_bar_files(spark, folder, day.schema, str(tmp_path / name),
+                              str(tmp_path / f"{name}-ckpt")).awaitTermination()
+        assert [r.close for r in spark.read.parquet(str(tmp_path / name)).collect()] == [5.0]
+
+
+def test_unordered_updates_keep_the_same_row_in_any_partitions(spark):
+    rows = [("A", 1, {"k": "x"}), ("A", 3, {"k": "y"}), ("A", 2, None), ("B", None, None)]
+    new = spark.createDataFrame(rows, "s string, v int, m map<string,string>")
+    old = spark.createDataFrame([("B", 7, None)], new.schema)
+    for n in (1, 3):
+        assert {r.s: r.v for r in T.last_write(new.repartition(n), ["s"], None).collect()} == {
+            "A": 3, "B": None}
+        got = T.insert_ignore(old, new.repartition(n), ["s"]).collect()
+        assert {r.s: r.v for r in got} == {"A": 1, "B": 7}
+
+
 def test_watched_folder(spark, make_bars, tmp_path):
     folder, target, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
     cols = ["symbol", "date", "close"]
