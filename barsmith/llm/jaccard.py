@@ -408,22 +408,49 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str
         F.when(named, F.coalesce("links", F.lit(0))).alias("group_links"))
 
 
+def _with_key(docs: DataFrame, key: str) -> DataFrame:
+    """Add a key: the doc_id, unless several texts share it.
+
+    Then the text of the smallest hash keeps the id and each other one gets a number of 62 hash
+    bits above 2^62, so m such texts meet by chance in about m^2 / 2^63 of all runs.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    shared = (docs.where("doc_id is not null").groupBy("doc_id")
+              .agg(F.min(text).alias("_first"), F.max(text).alias("_last"))
+              .where("_first <> _last").select(F.col("doc_id").alias("_shared"), "_first"))
+    shared = stored(shared, "shared-ids")
+    if shared.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))),
+                                  F.lit(1 << 62))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                        F.col("doc_id").cast("long").alias("_id"), text.alias("_text"),
+                        own.alias("_own"))
+    joined = named.join(shared, F.col("_id") == F.col("_shared"), "left")
+    same = F.col("_first").isNull() | (F.col("_text") == F.col("_first"))
+    return joined.select("_row.*", F.when(same, F.col("_id")).otherwise(F.col("_own")).alias(key))
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """Documents without near duplicates: one of each component stays, that with the smallest id.
 
-    Repeated rows of that id: one row stays. Documents without words, and rows without doc_id,
-    all stay.
+    Repeated rows of that id: one row stays. Different texts under one doc_id are documents of
+    their own, all but one ranked behind every plain id. Documents without words, and rows without
+    doc_id, all stay.
     """
-    spark = docs.sparkSession
-    joined = jaccard_join(docs, size, percent)
-    gone = joined.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = (joined.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
-             .agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = _with_key(docs, key)
+    joined = jaccard_join(keyed, size, percent, doc_id=key).withColumnRenamed("doc_id", key)
+    gone = joined.where(f"n_shingles > 0 and {key} <> component_id").select(key).distinct()
+    kept = keyed.join(gone, key, "left_anti")
+    again = (joined.where(f"n_shingles > 0 and {key} is not null").groupBy(key)
+             .agg(F.count("*").alias("n")).where("n > 1").select(key))
     if not again.isEmpty():
-        repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(repeated)
-    return kept.select(*docs.columns)
+        repeated = kept.join(again, key, "left_semi").dropDuplicates([key])
+        kept = kept.join(again, key, "left_anti").unionByName(repeated)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,21 @@ def test_copy_without_id_comes_first(spark):
     assert {r.doc_id for r in jaccard.keep_one(frame).collect()} == {None, 1}
 
 
+def test_keep_one_takes_texts_under_one_id_apart(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    near = one.replace("a39", "z")
+    rows = [(1, one, "x"), (1, two, "x"), (1, two, "y"), (1, None, "x"), (2, near, "x"), (3, three, "x"),
+            (4, two, "x"), (None, one, "x")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, `_key` string")
+    for n in (1, 3):
+        kept = jaccard.keep_one(frame.repartition(n))
+        assert kept.columns == frame.columns
+        got = collections.Counter(r.text for r in kept.collect())
+        # The two copies without words or id stay; of each other text one document does.
+        assert got[None] == 1 and got[three] == 1 and got[two] == 1
+        assert got[one] + got[near] == 2 and got[one] >= 1
+
+
 def test_keep_one_leaves_one_of_each(odd_docs):
     kept = collections.Counter(r.doc_id for r in jaccard.keep_one(odd_docs).collect())
     assert kept[1] == 1 and kept[2] == 0 and kept[11] == 0 and kept[None] == 1 and kept[3] == 1
