@@ -21,10 +21,11 @@ from barsmith.llm import textscan as ts
 from barsmith.llm.store import documents
 
 
-def _matches(p: P.Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length, score and id of every piece in ``data``; byte 0 ends a unit."""
-    at = np.flatnonzero((data & 0xC0) != 0x80)
-    at = at[data[at] != 0]
+def _matches(p: P.Pieces, data: np.ndarray, inside: np.ndarray
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length, score and id of every piece in ``data``; ``inside`` marks bytes of units."""
+    leads = ((data & 0xC0) != 0x80) & inside
+    at = np.flatnonzero(leads)
     state = np.zeros(len(at), dtype=np.int64)
     starts, lengths, scores, ids = [], [], [], []
     single = np.zeros(len(data), dtype=bool)
@@ -42,9 +43,9 @@ def _matches(p: P.Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         ids.append(p.id[state[ends]])
         whole = at[ends][(data[at[ends] + k + 1] & 0xC0) != 0x80]
         single[whole[_char_length(data[whole]) == k + 1]] = True
-        go = data[at + k + 1] != 0
+        go = inside[at + k + 1]
         at, state = at[go], state[go]
-    alone = np.flatnonzero(((data & 0xC0) != 0x80) & (data != 0) & ~single)
+    alone = np.flatnonzero(leads & ~single)
     starts.append(alone)
     lengths.append(_char_length(data[alone]))
     scores.append(p.unknown - lengths[-1])
@@ -65,7 +66,10 @@ def best_paths(p: P.Pieces, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     data = np.frombuffer(b"\0".join(units) + b"\0" * (p.longest + 2), dtype=np.uint8)
     sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
     first = np.cumsum(sizes + 1) - (sizes + 1)
-    start, length, score, ids = _matches(p, data)
+    inside = np.ones(len(data), dtype=bool)
+    inside[first + sizes] = False
+    inside[int(first[-1] + sizes[-1]) if units else 0:] = False
+    start, length, score, ids = _matches(p, data, inside)
     offset = start - first[np.searchsorted(first, start, "right") - 1]
     order = np.lexsort((length, offset))
     start, length, score, ids, offset = (x[order] for x in (start, length, score, ids, offset))
@@ -121,21 +125,31 @@ def gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 #: Units a task remembers; when it holds more, it forgets all and goes on.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 UNITS_AT_ONCE = 1 << 15
 
 
+class Numbers(dict):
+    """Numbers its keys in the order they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class Encoder:
-    """Encodes texts and remembers the pieces of units met before."""
+    """Encodes texts and remembers the pieces of units met before, and which decode to themselves."""
 
     def __init__(self, p: P.Pieces):
         self.p = p
+        self.piece_bytes = _piece_bytes(p)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat = np.zeros(0, dtype=np.int32)
         self.ends = np.zeros(1, dtype=np.int64)
+        self.lossy = np.zeros(0, dtype=bool)
 
     def learn(self) -> None:
         """Pieces of the units numbered since the last call."""
@@ -143,30 +157,45 @@ class Encoder:
         if len(self.known) == have:
             return
         new = [u.encode() for u in islice(reversed(self.known), len(self.known) - have)][::-1]
-        flats, ends, total = [self.flat], [self.ends], len(self.flat)
+        flats, ends, total, lossy = [self.flat], [self.ends], len(self.flat), [self.lossy]
         for at in range(0, len(new), UNITS_AT_ONCE):
-            flat, end = best_paths(self.p, new[at:at + UNITS_AT_ONCE])
+            units = new[at:at + UNITS_AT_ONCE]
+            flat, end = best_paths(self.p, units)
             flats.append(flat)
             ends.append(end[1:] + total)
+            lossy.append(self.decoded_otherwise(units, flat, end))
             total += len(flat)
         self.flat, self.ends = np.concatenate(flats), np.concatenate(ends)
+        self.lossy = np.concatenate(lossy)
+
+    def decoded_otherwise(self, units: list[bytes], flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which units their pieces do not decode to."""
+        data, at = self.piece_bytes
+        back = gather(data, at, flat).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(np.diff(at)[flat])])[ends].tolist()
+        return np.fromiter((back[a:b] != u for u, a, b in
+                            zip(units, cuts[:-1], cuts[1:], strict=True)), bool, len(units))
+
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids of all texts, their numbers, and which texts decode to something else.
 
-    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of all texts and their numbers; an empty text has none."""
+        An empty text has no pieces. A decoded text is its decoded units one after another.
+        """
         if len(self.known) > REMEMBERED:
             self.forget()
         rows, counts = [], []
-        number = self.known.setdefault
+        number = self.known.__getitem__
         for text in texts:
             cut = P.units(text) if text else []
-            rows.append(np.fromiter((number(u, len(self.known)) for u in cut), dtype=np.int64,
-                                    count=len(cut)))
+            rows.append(np.fromiter(map(number, cut), dtype=np.int64, count=len(cut)))
             counts.append(len(cut))
         self.learn()
         which = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        borders = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         sums = np.concatenate([[0], np.cumsum(np.diff(self.ends)[which])])
-        return (gather(self.flat, self.ends, which),
-                np.diff(sums[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]))
+        lossy = np.concatenate([[0], np.cumsum(self.lossy[which])])
+        return (gather(self.flat, self.ends, which), np.diff(sums[borders]),
+                np.diff(lossy[borders]) > 0)
 
 
 _encoders: dict[int, Encoder] = {}
@@ -180,18 +209,27 @@ def encoder(p: P.Pieces) -> Encoder:
     return _encoders[id(p)]
 
 
-def encode_batch(p: P.Pieces, column: pa.Array) -> pa.ListArray:
+def encode_batch(p: P.Pieces, column: pa.Array) -> pa.StructArray:
+    """``piece_ids`` of each text, and ``lossless``: whether they decode to the text."""
     data, offsets, nulls = ts.buffers(column)
     own = encoder(p)
     parts, lengths = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+    lossless = np.ones(len(column), dtype=bool)
     for a, b in ts.groups(offsets):
-        flat, n = own.rows([data[offsets[r]:offsets[r + 1]].tobytes().decode("utf-8", "replace")
-                            for r in range(a, b)])
+        texts = []
+        for r in range(a, b):
+            raw = data[offsets[r]:offsets[r + 1]].tobytes()
+            texts.append(raw.decode("utf-8", "replace"))
+            lossless[r] = "\ufffd" not in texts[-1] or texts[-1].encode() == raw
+        flat, n, lossy = own.rows(texts)
         parts.append(flat)
         lengths.append(n)
+        lossless[a:b] &= ~lossy
     at = np.cumsum(np.concatenate(lengths)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts)),
-                                    mask=pa.array(nulls) if nulls.any() else None)
+    mask = pa.array(nulls) if nulls.any() else None
+    ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts)), mask=mask)
+    return pa.StructArray.from_arrays([ids, pa.array(lossless, mask=nulls)],
+                                      names=["piece_ids", "lossless"])
 
 
 PIECES_AT_ONCE = 1 << 18
@@ -224,9 +262,9 @@ def vocabulary(spark: SparkSession, model: str = P.MODEL):
 
 
 def encode(pieces, text: F.Column) -> F.Column:
-    """Piece ids of a text column: null for null, empty for empty text."""
+    """Piece ids of a text column, and whether they decode to it: nulls for null."""
     return F.arrow_udf(lambda column: encode_batch(pieces.value, column),
-                       returnType="array<int>")(text)
+                       returnType="piece_ids array<int>, lossless boolean")(text)
 
 
 def decode(pieces, ids: F.Column) -> F.Column:
@@ -241,16 +279,21 @@ def decode(pieces, ids: F.Column) -> F.Column:
 def tokenize(docs: DataFrame, model: str = P.MODEL) -> DataFrame:
     """All columns of ``docs`` but the text, with ``piece_ids``, ``n_pieces`` and ``lossless``.
 
-    ``lossless`` is whether decoding gives the text back. A null text has null in all three.
-    Columns of these names are replaced.
+    ``lossless`` is whether decoding gives the text back; a task decodes each distinct unit once
+    and compares there. A null text has null in all three. Columns of these names are replaced.
     """
     pieces = vocabulary(docs.sparkSession, model)
     new = {"piece_ids", "n_pieces", "lossless"}
-    return (docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new),
-                        encode(pieces, F.col("text")).alias("piece_ids"))
-            .withColumn("n_pieces", F.when(F.col("piece_ids").isNotNull(), F.size("piece_ids")))
-            .withColumn("lossless", decode(pieces, F.col("piece_ids")) == F.col("text"))
-            .drop("text"))
+    keep = [c for c in docs.columns if c.lower() not in new | {"text"}]
+    free = "_encoded"
+    while free in {c.lower() for c in keep}:
+        free += "_"
+    found = docs.select(*(F.col(f"`{c}`") for c in keep),
+                        encode(pieces, F.col("text")).alias(free))
+    ids = F.col(f"{free}.piece_ids")
+    return found.select(*(F.col(f"`{c}`") for c in keep), ids.alias("piece_ids"),
+                        F.when(ids.isNotNull(), F.size(ids)).alias("n_pieces"),
+                        F.col(f"{free}.lossless").alias("lossless"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,20 @@ def test_counts_and_pieces(odd_docs, docs):
         assert all(r.piece_ids is None for r in out if r.raw is None)
 
 
+def test_lossless_is_the_decoded_text(spark, odd_docs):
+    pieces = encode.vocabulary(spark)
+    frame = odd_docs.select("text").union(spark.createDataFrame(
+        [("a \u2581 mark",), ("\ufffd in the text",), ("\U0001f9ea  \u00f1 \x00 \n",)], "text string"))
+    broken = frame.limit(1).select(F.expr("cast(X'61FF20C3' as string)").alias("text"))
+    out = (frame.union(broken).withColumn("raw", F.col("text"))
+           .transform(encode.tokenize)
+           .withColumn("back", encode.decode(pieces, F.col("piece_ids"))))
+    right = F.col("lossless").eqNullSafe(F.col("back") == F.col("raw"))
+    rows = out.select("raw", "lossless", right.alias("right")).collect()
+    assert all(r.right for r in rows)
+    assert [r.lossless for r in rows].count(False) == 1
+
+
 def test_encoder_finds_the_best_path():
     p = encode.P.load()
     score = {int(i): int(s) for i, s in zip(p.id, p.score) if i >= 0}
