@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.functions.frames import since
-from barsmith.functions.lexicon import DEFAULT_NEGATIVE, DEFAULT_POSITIVE, hits, sentiment_columns
+from barsmith.functions.lexicon import (DEFAULT_NEGATIVE, DEFAULT_POSITIVE, entries_found, hits,
+                                        sentiment_columns)
 from barsmith.functions.scalar import first_match, ratio
 from barsmith.operators.ranking import top_k
 
@@ -18,12 +19,12 @@ SNIPPET_LENGTH = 300
 def lexicon_sentiment(articles: DataFrame, text: str = "content",
                       positive: Sequence[str] = DEFAULT_POSITIVE,
                       negative: Sequence[str] = DEFAULT_NEGATIVE) -> DataFrame:
-    """Score the whole text against two word lists; a narrow, JVM-side projection."""
+    """Score the whole text against two word lists; one pass a text, JVM-side."""
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    out = articles.withColumn("_body", body)
-    out = out.withColumns({"positive_count": hits(F.col("_body"), positive),
-                           "negative_count": hits(F.col("_body"), negative)})
-    return out.withColumns(sentiment_columns("positive_count", "negative_count")).drop("_body")
+    out = articles.withColumn("_found", entries_found(body, [*positive, *negative]))
+    out = out.withColumns({"positive_count": hits(F.col("_found"), positive),
+                           "negative_count": hits(F.col("_found"), negative)})
+    return out.withColumns(sentiment_columns("positive_count", "negative_count")).drop("_found")
 
 
 def relevance_filter(articles: DataFrame, text: str = "content", ticker: str = "ticker",

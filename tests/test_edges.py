@@ -1,11 +1,13 @@
 """Edge rules on hand-made bars."""
 
 import math
+import random
 
 import pytest
 from helpers import closes
 from pyspark.sql import functions as F
 
+from barsmith.functions import lexicon
 from barsmith.functions import scalar as S
 from barsmith.functions.lexicon import parse_published
 from barsmith.operators import accumulation as A
@@ -191,3 +193,20 @@ def test_business_days(spark):
     df = spark.sql("SELECT explode(sequence(DATE '2025-01-02', DATE '2025-01-06')) AS d")
     got = [r[0].isoformat() for r in df.select(S.next_business_day("d")).collect()]
     assert got == ["2025-01-03", "2025-01-06", "2025-01-06", "2025-01-06", "2025-01-07"]
+
+
+def test_one_pass_finds_every_entry_of_the_lists(spark):
+    """Entries inside, across and at the start of others, regex signs, one and no characters."""
+    lists = [lexicon.BILINGUAL_POSITIVE, lexicon.BILINGUAL_NEGATIVE, ["a.b", "a", "ab", "b(", "ab", ""], [], [""],
+             ["rugi", "merugi", "rugi besar", "gi be"]]
+    rng = random.Random(5)
+    parts = [e for entries in lists for e in entries] + [" ", "x", "\n", "ñ", "🧪"]
+    texts = ["".join(rng.choice(parts)[rng.randrange(2):] for _ in range(rng.randrange(25)))
+             for _ in range(400)] + ["", "rugi besar " * 20_000 + "naik"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for k in range(0, len(lists), 2):
+        found = lexicon.entries_found(F.col("text"), lists[k] + lists[k + 1])
+        got = df.select("id", lexicon.hits(found, lists[k]).alias("p"),
+                        lexicon.hits(found, lists[k + 1]).alias("n")).collect()
+        assert [(r.p, r.n) for r in sorted(got)] == [
+            tuple(sum(e in t for e in entries) for entries in lists[k:k + 2]) for t in texts]
