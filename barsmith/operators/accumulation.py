@@ -30,8 +30,13 @@ def with_accumulation_indicators(bars: DataFrame) -> DataFrame:
 
 def accumulation_score(bars: DataFrame, splits: list[float] | None = None) -> DataFrame:
     """0..100 score from volume, price action, institutional activity and strength."""
-    out = with_pct_rank_avg(with_accumulation_indicators(bars), "percent_change",
-                            "relative_strength", by=["date"], splits=splits)
+    return scored(with_accumulation_indicators(bars), splits)
+
+
+def scored(indicators: DataFrame, splits: list[float] | None = None) -> DataFrame:
+    """The score of rows that have their indicators; strength is ranked inside each date."""
+    out = with_pct_rank_avg(indicators, "percent_change", "relative_strength", by=["date"],
+                            splits=splits)
 
     def unit(c: Column) -> Column:
         return F.coalesce(clamp(c, 0.0, 1.0), F.lit(0.0))
@@ -54,7 +59,8 @@ def accumulation_screen(bars: DataFrame, as_of=None, days: int = 60, min_value:
                         universe: dict | None = None) -> DataFrame:
     """Candidates of the date inside the liquid universe."""
     src = liquid_universe(bars, as_of, days, **(universe or {}))
-    day = on_date(accumulation_score(src), as_of)
+    # Strength is ranked inside a date, so only the rows of this one go through the ranks.
+    day = scored(on_date(with_accumulation_indicators(src), as_of))
     hit = day.filter((F.col("value") >= min_value) & (F.col("accumulation_score") >= min_score)
                      & (F.col("foreign_net") > 0) & (F.col("relative_volume") > min_volume))
     return hit.withColumns({"analysis_date": F.col("date"), "close_price": F.col("close")}).select(
