@@ -146,3 +146,37 @@ def test_tick_order_holds_for_order_keys_beyond_38_bits(spark, tmp_path):
     assert [(r.open_price, r.close) for r in out.collect()] == [(5020.0, 5050.0)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_buckets_and_splits_follow_the_size_of_the_ticks(spark, monkeypatch):
+    """What a task folds and a bucket holds stays the same on larger tables."""
+    from barsmith.plans import inputs
+
+    before = spark.conf.get(inputs.SPLIT_CONF)
+    want = {tuple(r) for r in inputs.derive_bars(spark, SF_DIR).select(
+        "symbol", "date", "name", "bid", "listed_shares", "upload_file").collect()}
+    monkeypatch.setattr(inputs, "fingerprint", lambda *args: (400 << 20, 1, 1, 1))
+    bars = inputs.bars(spark, SF_DIR)
+    assert "25 buckets" in spark.sql(
+        f"describe extended {inputs._STORED[(spark.sparkContext.applicationId, SF_DIR, 400 << 20, 1, 1, 1)]}"
+    ).where("col_name = 'Num Buckets'").selectExpr("concat(data_type, ' buckets')").first()[0]
+    assert {tuple(r) for r in bars.select("symbol", "date", "name", "bid", "listed_shares",
+                                          "upload_file").collect()} == want
+    assert spark.conf.get(inputs.SPLIT_CONF) == before
+
+
+def test_bars_are_joined_to_names_where_they_lie(spark, tmp_path):
+    """Two exchanges of bars, no more: the fold's and the one into the buckets."""
+    from barsmith.plans import inputs
+    from barsmith.sources import bars as SB
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = SB.bars_from_ticks(inputs.ticks(spark, SF_DIR)).repartition(5, "symbol")
+        out = inputs.described(SB.with_prev_close(spread), inputs.names(spark, SF_DIR, 5))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning(symbol#") == 3  # the third moves the names
+    assert len(re.findall(r"Sort \[symbol#\d+ ASC NULLS FIRST, date#", plan)) == 1
