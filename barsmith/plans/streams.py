@@ -192,7 +192,7 @@ def _(spark, sf):
                          F.date_add("newest", 9).cast("timestamp").alias("ts"),
                          F.lit(-1).cast("long").alias("user_id"), F.lit(0.0).alias("value"))
     for part in (*_thirds(plain), stragglers, last):
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.repartition(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = ticks.closing_bars(stream, "user_id", "ts", "value", seq="event_id",
                              wait=dt.timedelta(days=2), keep=dt.timedelta(days=60))

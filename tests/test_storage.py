@@ -1,5 +1,6 @@
 """Files: ingest, keyed maintenance, streams and models."""
 
+import datetime as dt
 import json
 import uuid
 
@@ -270,3 +271,79 @@ def test_day_state_is_the_same_in_any_batches():
     first, last = min(frame.itertuples(index=False)), max(frame.itertuples(index=False))
     assert (whole[0], whole[5], whole[8], whole[9]) == (
         first.price, last.price, 2 * len(frame), len(frame))
+
+
+class _Kept:
+    """A state variable in memory."""
+
+    def __init__(self):
+        self.held = []
+
+    def get(self):
+        return iter(self.held) if self.many else (self.held or [None])[0]
+
+    def exists(self):
+        return bool(self.held)
+
+    def update(self, value):
+        self.held = [value]
+
+    def put(self, values):
+        self.held = list(values)
+
+    def appendValue(self, value):
+        self.held.append(value)
+
+    def clear(self):
+        self.held = []
+
+
+def test_one_call_keeps_the_days_of_many_symbols():
+    """A key is a part of the symbols: one call and one block a batch, merged after some batches."""
+    import random
+
+    import pandas as pd
+
+    from barsmith.streaming import ticks as K
+    states, timers = {}, []
+
+    def state(name, schema):
+        kept = states[name] = _Kept()
+        kept.many = name == "blocks"
+        return kept
+
+    class Handle:
+        getListState = getValueState = staticmethod(state)
+        registerTimer = staticmethod(timers.append)
+
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    keeper, clock, rng = K._DayKeeper(3_600_000, 3_600_000), Clock(), random.Random(5)
+    keeper.init(Handle())
+    day = dt.date(1970, 1, 2)
+    frame = pd.DataFrame([(f"S{rng.randrange(300)}", rng.randrange(40), rng.randrange(30),
+                           float(rng.randrange(9)), 2) for _ in range(5000)],
+                         columns=["symbol", "at_us", "seq", "price", "size"])
+    frame["at"] = pd.Timestamp(day)
+    cuts = [frame.iloc[k:k + 130] for k in range(0, len(frame), 130)]
+    for cut in cuts:
+        assert not list(keeper.handleInputRows((day, 3), iter([cut[:60], cut[60:]]), clock))
+        assert len(states["blocks"].held) < K.MOST_BLOCKS
+    assert timers == [2 * K.DAY_MS]
+    bars = pd.concat(keeper.handleExpiredTimer((day, 3), clock, None))
+    assert not states["blocks"].exists() and not states["count"].exists()
+    want = {}
+    for cut in cuts:
+        for symbol, part in cut.groupby("symbol"):
+            want[symbol] = K._folded(want.get(symbol), part)
+    assert {r.symbol: (r.open_price, r.high, r.low, r.close, r.volume, r.frequency)
+            for r in bars.itertuples()} == {
+        s: (w[0], w[3], w[4], w[5], w[8], w[9]) for s, w in want.items()}
+    assert set(bars.kind) == {"bar"} and set(bars.date) == {day}
+    clock.now = 2 * K.DAY_MS
+    late = pd.concat(keeper.handleInputRows((day, 3), iter([frame[:200]]), clock))
+    assert list(late.symbol) == list(frame.symbol[:200]) and set(late.kind) == {"late"}
