@@ -180,3 +180,21 @@ def test_bars_are_joined_to_names_where_they_lie(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.count("Exchange hashpartitioning(symbol#") == 3  # the third moves the names
     assert len(re.findall(r"Sort \[symbol#\d+ ASC NULLS FIRST, date#", plan)) == 1
+
+
+def test_fold_partitions_follow_the_size_of_the_ticks(spark, monkeypatch):
+    """A session of few shuffle partitions folds a large table in as many as it has buckets."""
+    from barsmith.plans import inputs
+
+    plans, store = [], inputs.store_bucketed
+
+    def spy(folded, *args):
+        plans.append(folded._jdf.queryExecution().executedPlan().toString())
+        return store(folded, *args)
+
+    monkeypatch.setattr(inputs, "store_bucketed", spy)
+    monkeypatch.setattr(inputs, "fingerprint", lambda *args: (480 << 20, 2, 2, 2))
+    before = spark.conf.get(inputs.FOLD_CONF)
+    inputs.bars(spark, SF_DIR)
+    assert re.search(r"Exchange hashpartitioning\(symbol#\d+, date#\d+, 30\)", plans[0]), plans[0]
+    assert spark.conf.get(inputs.FOLD_CONF) == before != "30"
