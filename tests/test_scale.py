@@ -198,3 +198,29 @@ def test_fold_partitions_follow_the_size_of_the_ticks(spark, monkeypatch):
     inputs.bars(spark, SF_DIR)
     assert re.search(r"Exchange hashpartitioning\(symbol#\d+, date#\d+, 30\)", plans[0]), plans[0]
     assert spark.conf.get(inputs.FOLD_CONF) == before != "30"
+
+
+def test_crossings_equal_pandas_over_batches_and_missing_closes(spark):
+    """A missing close lowers the weight of the past, also over the border of a batch."""
+    rng = np.random.default_rng(11)
+    rows = [(s, d, None if rng.random() < 0.3 else float(rng.integers(90, 110)))
+            for s, n in [("A", 150), ("B", 3), ("C", 80), (None, 60), ("D", 1)] for d in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, d int, close double").select(
+        "symbol", F.date_add(F.lit("2000-01-01").cast("date"), F.col("d")).alias("date"), "close", "d")
+    grid = [(2, 5, 3), (3, 6, 4), (2, 6, 4)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = E.bullish_crossings(df, grid, keep=["d"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = sorted((r.symbol or "", r.d, r.fast_period, r.slow_period, r.signal_period) for r in found)
+    pdf = pd.DataFrame(rows, columns=["s", "d", "close"]).fillna({"s": ""}).astype({"close": float})
+    want = []
+    for s, part in pdf.groupby("s"):
+        for f, w, g in grid:
+            mean = {n: part.close.ewm(span=n, adjust=False).mean() for n in (f, w)}
+            line = mean[f] - mean[w]
+            hist = (line - line.ewm(span=g, adjust=False).mean()).to_numpy()
+            want += [(s, int(d), f, w, g) for d in range(1, len(hist)) if hist[d] > 0 >= hist[d - 1]]
+    assert got == sorted(want) and len(want) > 30
