@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barsmith.operators import relational as R
 from barsmith.operators.ranking import latest_per
-from barsmith.plans.inputs import articles, bars, fingerprint, forecasts
+from barsmith.plans.inputs import articles, bars, fingerprint, forecasts, pieces
 from barsmith.plans.market import FORECASTS
 from barsmith.plans.news import ARTICLES
 from barsmith.plans.registry import query
@@ -56,7 +56,8 @@ def summary_folder(spark, sf):
     more holds bytes that are no text. Spark writes a folder a date; the files are then moved out
     under their names, through the file system that holds the folder.
     """
-    key = (spark.sparkContext.applicationId, fingerprint(spark, sf, "lineitem", "supplier"))
+    marks = fingerprint(spark, sf, "lineitem", "supplier")
+    key = (spark.sparkContext.applicationId, marks)
     if key in _FOLDERS:
         return _FOLDERS[key]
     written, folder = work_dir(spark, "written"), work_dir(spark, "summaries")
@@ -69,7 +70,8 @@ def summary_folder(spark, sf):
     for odd in (0, 1):
         headers = list(RAW.values())[::-1 if odd else 1]
         part = raw.where(F.col("_odd") == odd).select(*headers, "_day")
-        part.repartition("_day").write.option("header", True).partitionBy("_day").csv(
+        # A task sorts its dates: with more bars it gets fewer of them.
+        part.repartition(pieces(spark, marks[0]), "_day").write.option("header", True).partitionBy("_day").csv(
             f"{written}/{odd}")
         for day in fs.listStatus(path(f"{written}/{odd}")):
             if not day.isDirectory():

@@ -224,3 +224,20 @@ def test_crossings_equal_pandas_over_batches_and_missing_closes(spark):
             hist = (line - line.ewm(span=g, adjust=False).mean()).to_numpy()
             want += [(s, int(d), f, w, g) for d in range(1, len(hist)) if hist[d] > 0 >= hist[d - 1]]
     assert got == sorted(want) and len(want) > 30
+
+
+def test_partitions_of_the_summary_files_follow_the_size(spark, monkeypatch):
+    """Each task sorts the dates it writes, so more bars go to more tasks, a date to one."""
+    from barsmith.plans import inputs, storage
+
+    for module in (inputs, storage):
+        monkeypatch.setattr(module, "fingerprint", lambda *args: (480 << 20, 3, 3, 3))
+    inputs.bars(spark, SF_DIR)
+    frame, dealt = type(spark.range(0)), []
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *args: dealt.append(args) or repartition(
+        self, *args))
+    folder = storage.summary_folder(spark, SF_DIR)
+    assert dealt == [(30, "_day")] * 2
+    files = spark.read.format("binaryFile").load(folder).count()
+    assert files == 1 + inputs.bars(spark, SF_DIR).select("date").distinct().count()
