@@ -10,12 +10,17 @@ one group; only groups are joined, and members are expanded from the verified gr
    only steers the order: any list gives the same links.
 2. *Groups.* A row per document: size, set hash and, for those with an id, a parity sketch of two
    to four bits a shingle, and its prefix unless the task has sent the same set before.
-3. *Group pairs.* Prefix shingles are dealt out by hash and sorted; runs of one shingle give the
-   pairs whose sizes are compatible. Each set difference flips one sketch bit, so more differing
-   bits than the threshold allows rules a pair out, and never a true link.
+3. *Star.* Prefix shingles are dealt out by hash and sorted; a run holds the groups that send one
+   shingle. Each is paired with the first group of its run only, so a run of k groups gives k - 1
+   pairs; sizes, places and sketches rule pairs out. Each set difference flips one sketch bit, so
+   more differing bits than the threshold allows rules a pair out, and never a true link.
 4. *Verification* reads the documents of the remaining pairs again, sends each set to its pairs and
-   intersects the two whole sets, as 48-bit hashes.
-5. *Expansion*: components over groups, joined back to the members.
+   intersects the two whole sets, as 48-bit hashes. The links give first components.
+5. *Crossing pairs.* Of a run of more than two groups only pairs across components are made (long
+   runs in pairs of blocks), and verified like those of the stars. So no link that could join two
+   components stays untried, and near copies in one component are not paired one by one.
+6. *Expansion*: components over groups, joined back to the members. The links of a group lie inside
+   its component; there they are counted in pairs of blocks of sets, a row per group and block.
 """
 
 from __future__ import annotations
@@ -43,6 +48,12 @@ PICK_BITS = 20
 #: Least bits of a parity sketch; a larger set has two to four bits a shingle.
 SKETCH_BITS = 256
 PAIRS_AT_ONCE = 1 << 18
+#: Groups of one run that a task pairs with each other; longer runs are cut into blocks.
+BLOCK = 2048
+#: Sets, and shingles of them, in a block of a component whose links are counted.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 21
+#: Shingles by which a task multiplies two blocks at once.
+COLUMNS = 4096
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -181,85 +192,191 @@ def _group_task(batches: Iterator[pa.RecordBatch], size: int, percent: int,
              pa.array(sketches, pa.binary())], names=["doc_id", "n", "hash", "prefix", "sketch"])
 
 
-def _run_pairs(token, n, h, pos, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of one shingle that can reach the threshold by size and position.
+PAIR_SCHEMA = "hash_a long, n_a int, hash_b long, n_b int"
+
+
+def _possible(n_a, pos_a, n_b, pos_b, percent: int) -> np.ndarray:
+    """Which pairs of rows of one shingle can reach the threshold by size and position.
 
     At the first shingle two sets share, what follows in each must hold the whole overlap.
     """
-    run = np.concatenate([[0], np.cumsum(token[1:] != token[:-1])]).astype(np.int64)
+    least = -(-percent * (n_a.astype(np.int64) + n_b) // (100 + percent))
+    return ((100 * np.minimum(n_a, n_b).astype(np.int64) >= percent * np.maximum(n_a, n_b).astype(
+        np.int64)) & (np.minimum(n_a - pos_a, n_b - pos_b) >= least))
+
+
+class _Pairs:
+    """Pairs of groups, each once in about :data:`PAIRS_AT_ONCE`."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, h_a, n_a, h_b, n_b) -> None:
+        swap = (h_a > h_b) | ((h_a == h_b) & (n_a > n_b))
+        a, b = np.stack([h_a, n_a.astype(np.int64)]), np.stack([h_b, n_b.astype(np.int64)])
+        self.held.append(np.concatenate([np.where(swap, b, a), np.where(swap, a, b)]).T)
+        self.n += len(h_a)
+
+    def taken(self, least: int = 0) -> np.ndarray | None:
+        """The pairs, if there are more than ``least``."""
+        if self.n <= least:
+            return None
+        rows = np.unique(np.concatenate(self.held), axis=0)
+        self.held, self.n = [], 0
+        return rows
+
+
+RUN_SCHEMA = "token long, hash long, n int, pos int, at int, hash_b long, n_b int"
+
+
+def _run_rows(token, h, n, pos, at) -> pa.RecordBatch:
+    none = pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(token), pa.array(h), pa.array(n), pa.array(pos), pa.array(at.astype(np.int32)), *none],
+        names=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
+
+
+def _star_rows(rows: np.ndarray) -> pa.RecordBatch:
+    k = len(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(k, pa.int64()), pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)),
+         pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(rows[:, 2]),
+         pa.array(rows[:, 3].astype(np.int32))], names=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
+
+
+def _star_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by ``token, hash, n``: pairs of a run's groups with its first, without
+    ``token``; and the groups of runs of three or more, ``at`` their place in it.
+
+    Runs pass through: held are two groups at most, and the first and last of an unfinished run.
+    """
+    rest = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
+    begun: tuple | None = None  # first group, number of groups and last group of such a run
+    pairs = _Pairs()
+
+    def work(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal rest, begun
+        token, h, n, pos = cols
+        new = np.ones(len(token), dtype=bool)  # a set may have been sent by several tasks
+        new[1:] = (token[1:] != token[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])
+        if begun and len(token):
+            new[0] = (token[0], h[0], n[0]) != begun[5:]
+        token, h, n, pos = (c[new] for c in cols)
+        if not len(token):
+            rest = [token, h, n, pos]
+            return
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(token))))
+        h_1, n_1, pos_1, before = h[starts], n[starts], pos[starts], np.zeros(len(starts), dtype=int)
+        if begun and begun[0] == token[0]:
+            h_1[0], n_1[0], pos_1[0], before[0] = begun[1:5]
+        size = np.diff(np.append(starts, len(token))) + before
+        at = np.arange(len(token)) - starts[run] + before[run]
+        stop = len(token)
+        if last or size[-1] > 2:
+            begun = (token[-1], h_1[-1], n_1[-1], pos_1[-1], size[-1], token[-1], h[-1], n[-1])
+        else:
+            stop, begun = starts[-1], None
+        rest = [c[stop:] for c in (token, h, n, pos)]
+        many = size[run[:stop]] > 2
+        yield _run_rows(*(c[:stop][many] for c in (token, h, n, pos, at)))
+        k = run[:stop]
+        other = np.flatnonzero((at[:stop] > 0) & _possible(
+            n_1[k], pos_1[k], n[:stop], pos[:stop], percent))
+        if len(other):
+            pairs.add(h_1[k[other]], n_1[k[other]], h[other], n[other])
+
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        yield from work([np.concatenate([a, b]) for a, b in zip(rest, new, strict=True)], False)
+        rows = pairs.taken(PAIRS_AT_ONCE)
+        if rows is not None:
+            yield _star_rows(rows)
+    yield from work(rest, True)
+    rows = pairs.taken()
+    if rows is not None:
+        yield _star_rows(rows)
+
+
+def _crossing(run, n, pos, label, part, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of one run, sorted by run and size, with different labels and, in a pair
+    of blocks, from both; rows of a run's most frequent label wait for the others to ask."""
+    order = np.lexsort((label, run))
+    new = np.flatnonzero(np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (
+        label[order][1:] != label[order][:-1])]))
+    count = np.diff(np.append(new, len(run)))
+    by = np.lexsort((-count, run[order][new]))
+    firsts = by[np.concatenate([[True], np.diff(run[order][new][by]) != 0])]
+    most = np.empty(int(run[-1]) + 1, dtype=np.int64)
+    most[run[order][new][firsts]] = label[order][new][firsts]
+    asks = np.flatnonzero(label != most[run])
+    asked = np.zeros(len(run), dtype=bool)
+    asked[asks] = True
     place = (run << 32) + n
-    # n_j <= 100 n_i / percent, and sizes rise within a run
-    top = np.searchsorted(place, (run << 32) + (100 * n.astype(np.int64)) // percent, "right")
-    first = np.arange(len(n)) + 1
-    count = np.maximum(top - first, 0)
-    done = np.concatenate([[0], np.cumsum(count)])
+    own, sizes = run[asks] << 32, n[asks].astype(np.int64)
+    low = np.searchsorted(place, own + -(-percent * sizes // 100))
+    top = np.searchsorted(place, own + 100 * sizes // percent, "right")
+    done = np.concatenate([[0], np.cumsum(top - low)])
     lo = 0
-    while lo < len(n):
+    while lo < len(asks):
         hi = max(lo + 1, int(np.searchsorted(done, done[lo] + PAIRS_AT_ONCE, "right")) - 1)
-        c = count[lo:hi]
-        if c.sum():
-            i = np.repeat(np.arange(lo, hi), c)
-            j = np.arange(int(c.sum())) - np.repeat(done[lo:hi] - done[lo], c) + np.repeat(
-                first[lo:hi], c)
-            least = -(-percent * (n[i].astype(np.int64) + n[j]) // (100 + percent))
-            keep = ((h[i] != h[j]) | (n[i] != n[j])) & (
-                np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
-            yield i[keep], j[keep]
+        c = (top - low)[lo:hi]
+        i = np.repeat(asks[lo:hi], c)
+        j = np.arange(int(c.sum())) - np.repeat(done[lo:hi] - done[lo], c) + np.repeat(low[lo:hi], c)
+        keep = (label[i] != label[j]) & (~asked[j] | (i < j)) & ((part[i] != part[j]) | (part[i] < 0))
+        i, j = i[keep], j[keep]
+        keep = _possible(n[i], pos[i], n[j], pos[j], percent)
+        yield i[keep], j[keep]
         lo = hi
 
 
-PAIR_SCHEMA = "hash_a long, n_a int, hash_b long, n_b int"
-
+def _cross_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs across components from rows sorted by ``token, first, second, n``: runs and pairs of
+    their blocks. Held are the rows of a batch and of an unfinished run, at most two blocks."""
+    pairs = _Pairs()
+    rest: list[np.ndarray] | None = None
 
-def _pair_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    token = np.zeros(0, dtype=np.int64)
-    n = np.zeros(0, dtype=np.int32)
-    h = np.zeros(0, dtype=np.int64)
-    pos = np.zeros(0, dtype=np.int32)
-    held: list[np.ndarray] = []
-    n_held = 0
-
-    def report() -> pa.RecordBatch:
-        rows = np.unique(np.concatenate(held), axis=0)
+    def report(rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)),
-             pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32))],
-            names=["hash_a", "n_a", "hash_b", "n_b"])
-
-    def work(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal token, n, h, pos, held, n_held
-        if not len(token):
+            [pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2]),
+             pa.array(rows[:, 3].astype(np.int32))], names=["hash_a", "n_a", "hash_b", "n_b"])
+
+    def work(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal rest
+        new = np.ones(len(cols[0]), dtype=bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])
+        starts = np.flatnonzero(new)
+        stop = len(new) if last or not len(starts) else int(starts[-1])
+        rest = [c[stop:] for c in cols]
+        starts = starts[starts < stop]
+        if not len(starts):
             return
-        stop = len(token) if last else int(np.searchsorted(token, token[-1]))
-        for i, j in _run_pairs(token[:stop], n[:stop], h[:stop], pos[:stop],
-                               percent) if stop else ():
-            swap = (h[i] > h[j]) | ((h[i] == h[j]) & (n[i] > n[j]))
-            a, b = np.where(swap, j, i), np.where(swap, i, j)
-            held.append(np.stack([h[a], n[a].astype(np.int64), h[b], n[b].astype(np.int64)], 1))
-            n_held += len(i)
-            if n_held >= PAIRS_AT_ONCE:
-                yield report()
-                held, n_held = [], 0
-        token, n, h, pos = token[stop:], n[stop:], h[stop:], pos[stop:]
+        label = cols[6][:stop]
+        closed = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
+        opened = np.repeat(~closed, np.diff(np.append(starts, stop)))
+        if not opened.any():
+            return
+        run = np.cumsum(new[:stop]) - 1
+        run = np.unique(run[opened], return_inverse=True)[1].astype(np.int64)
+        _, first, second, n, h, pos, label, part = (c[:stop][opened] for c in cols)
+        part = np.where(first == second, -1, part)
+        for i, j in _crossing(run, n, pos, label, part, percent):
+            if len(i):
+                pairs.add(h[i], n[i], h[j], n[j])
+            rows = pairs.taken(PAIRS_AT_ONCE)
+            if rows is not None:
+                yield report(rows)
 
-    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        waiting.append(batch)
-        if sum(b.num_rows for b in waiting) >= max(50_000, len(token)):
-            token = np.concatenate([token, *(b.column(0).to_numpy() for b in waiting)])
-            n = np.concatenate([n, *(b.column(1).to_numpy() for b in waiting)])
-            h = np.concatenate([h, *(b.column(2).to_numpy() for b in waiting)])
-            pos = np.concatenate([pos, *(b.column(3).to_numpy() for b in waiting)])
-            waiting = []
-            yield from work(False)
-    if waiting:
-        token = np.concatenate([token, *(b.column(0).to_numpy() for b in waiting)])
-        n = np.concatenate([n, *(b.column(1).to_numpy() for b in waiting)])
-        h = np.concatenate([h, *(b.column(2).to_numpy() for b in waiting)])
-        pos = np.concatenate([pos, *(b.column(3).to_numpy() for b in waiting)])
-    yield from work(True)
-    if held:
-        yield report()
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        yield from work(new if rest is None else [
+            np.concatenate([a, b]) for a, b in zip(rest, new, strict=True)], False)
+    if rest is not None:
+        yield from work(rest, True)
+    rows = pairs.taken()
+    if rows is not None:
+        yield report(rows)
 
 
 NEAR_SCHEMA = "hash_a long, n_a int, doc_a long, hash_b long, n_b int, doc_b long"
@@ -340,6 +457,86 @@ def _verify_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             [pa.array(keep_u, pa.int64()), pa.array(keep_v, pa.int64())], names=["u", "v"])
 
 
+def _shared_sizes(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``split`` sets with the others (or themselves)."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    ids, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle of one set only is in no intersection.
+    number = np.cumsum(often > 1) - 1
+    kept = often[column] > 1
+    of, column = of[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    rest = len(sets) - split
+    out = np.zeros((split, rest or split), dtype=np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        table = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        table[of[a:b], column[a:b] - lo] = 1
+        out += (table[:split] @ (table[split:] if rest else table).T).astype(np.int64)
+    return out
+
+
+def _degree_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``root, first, second, part, hash, n, members`` sorted by the first four: links of each
+    set with those of the other block, or of its own in the pair of a block with itself."""
+    held: list[tuple] = []
+
+    def report() -> pa.RecordBatch:
+        sets = [_unpacked(x) for *_, x in held]
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        split = sum(row[3] == row[1] for row in held)
+        links = np.zeros(len(held), dtype=np.int64)
+        if 0 < split and (split < len(held) or held[0][1] == held[0][2]):
+            own = split == len(held)
+            both = _shared_sizes(sets, split)
+            other = sizes if own else sizes[split:]
+            near = 100 * both >= percent * (sizes[:split, None] + other - both)
+            if own:
+                np.fill_diagonal(near, False)
+            links[:split] = near.sum(axis=1)
+            if not own:
+                links[split:] = near.sum(axis=0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([row[4] for row in held], pa.int64()),
+             pa.array([row[5] for row in held], pa.int32()), pa.array(links)],
+            names=["hash", "n", "links"])
+
+    for batch in batches:
+        cols = [batch.column(k).to_pylist() for k in range(6)]
+        members = batch.column(6)
+        for r, row in enumerate(zip(*cols, strict=True)):
+            if held and held[0][:3] != row[:3]:
+                yield report()
+                held = []
+            held.append((*row, members[r].as_buffer()))
+    if held:
+        yield report()
+
+
+def _degrees(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``hash, n, links`` of the groups of ``hash, n, group_id, root``: how many others each links
+    to."""
+    many = groups.groupBy("root").agg(
+        F.count("*").alias("k"), (F.min("group_id") < F.max("group_id")).alias("ids"), F.greatest(
+            F.ceil(F.count("*") / BLOCK_SETS),
+            F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    inside = groups.join(many.where("k > 1"), "root")
+    # Two with different ids are in one component by their link alone.
+    two = inside.where("k = 2 and ids").select("hash", "n", F.lit(1).cast("long").alias("links"))
+    own = F.pmod(F.xxhash64("hash", "n"), F.col("blocks")).cast("int")
+    dealt = (inside.where("k > 2 or not ids").withColumn("part", own)
+             .join(sets, ["hash", "n"])
+             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+             .select("root", F.least("part", "other").alias("first"),
+                     F.greatest("part", "other").alias("second"), "part", "hash", "n", "members"))
+    counted = (dealt.repartition("root", "first", "second")
+               .sortWithinPartitions("root", "first", "second", "part")
+               .mapInArrow(partial(_degree_task, percent=percent), "hash long, n int, links long")
+               .groupBy("hash", "n").agg(F.sum("links").alias("links")))
+    return two.union(counted)
+
+
 def _picked(ends: DataFrame) -> np.ndarray:
     """Marks of the documents to scan again: a fixed 2^20 flags however many documents there are."""
     def marks(batches):
@@ -352,6 +549,58 @@ def _picked(ends: DataFrame) -> np.ndarray:
     return wanted
 
 
+def _near_pairs(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule out a link, with the ids of both groups."""
+    side = {x: groups.select(F.col("hash").alias(f"hash_{x}"), F.col("n").alias(f"n_{x}"),
+                             F.col("doc_id").alias(f"doc_{x}"),
+                             F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
+    return (pairs.join(side["a"], ["hash_a", "n_a"]).join(side["b"], ["hash_b", "n_b"])
+            .select("hash_a", "n_a", "doc_a", "hash_b", "n_b", "doc_b", "sketch_a", "sketch_b")
+            .mapInArrow(partial(_near_task, percent=percent), NEAR_SCHEMA))
+
+
+def _near_sets(frame: DataFrame, near: DataFrame, size: int) -> DataFrame:
+    """``hash, n, members`` of the groups of ``near``, read again from their first documents."""
+    ends = near.select(F.col("doc_a").alias("doc_id")).union(near.select("doc_b"))
+    picked = frame.sparkSession.sparkContext.broadcast(_picked(ends))
+    wanted = near.select(F.col("hash_a").alias("hash"), F.col("n_a").alias("n")).union(
+        near.select("hash_b", "n_b")).distinct()
+    return stored(frame.mapInArrow(partial(_set_task, size=size, picked=picked),
+                                   "hash long, n int, members binary")
+                  .join(wanted, ["hash", "n"], "left_semi").dropDuplicates(["hash", "n"]), "sets")
+
+
+def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: ids of the groups whose whole sets reach the threshold."""
+    sides = [near.select(F.col(f"hash_{x}").alias("hash"), F.col(f"n_{x}").alias("n"),
+                         F.xxhash64("hash_a", "n_a", "hash_b", "n_b").alias("pair"),
+                         F.col("doc_a").alias("u"), F.col("doc_b").alias("v"),
+                         F.lit(x == "b").alias("second")) for x in "ab"]
+    return (sets.join(sides[0].union(sides[1]), ["hash", "n"])
+            .select("u", "v", "second", "members", "pair").repartition("u", "v")
+            .sortWithinPartitions("u", "v", "pair", "second").drop("pair")
+            .mapInArrow(partial(_verify_task, percent=percent), "u long, v long").distinct())
+
+
+def _crossing_pairs(runs: DataFrame, groups: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups that are in one run but not in one component."""
+    label = (groups.select("hash", "n", "doc_id").join(roots.withColumnRenamed("node", "doc_id"),
+                                                       "doc_id", "left")
+             .select("hash", "n", F.coalesce("root", "doc_id").alias("label")))
+    # Blocks of the runs that are longer than one.
+    long = (runs.where(F.col("at") >= BLOCK).groupBy("token")
+            .agg((F.floor(F.max("at") / BLOCK) + 1).cast("int").alias("blocks")))
+    blocks = (runs.join(long, "token", "left").join(label, ["hash", "n"])
+              .withColumn("part", F.floor(F.col("at") / BLOCK).cast("int"))
+              .withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)"))))
+    return (blocks.select("token", F.least("part", "other").alias("first"),
+                          F.greatest("part", "other").alias("second"), "n", "hash", "pos", "label",
+                          "part")
+            .repartition("token", "first", "second")
+            .sortWithinPartitions("token", "first", "second", "n")
+            .mapInArrow(partial(_cross_task, percent=percent), PAIR_SCHEMA).distinct())
+
+
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """Link documents whose shingle sets have ``100 |A and B| >= percent |A or B|``.
@@ -372,33 +621,28 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str
     groups = stored(rows.where("n > 0 and doc_id is not null").groupBy("hash", "n").agg(
         F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "group-keys")
     postings = (rows.where("doc_id is not null and size(prefix) > 0")
-                .select(F.posexplode("prefix").alias("pos", "token"), "n", "hash")
-                .select("token", "n", "hash", "pos"))
-    pairs = (postings.repartition("token").sortWithinPartitions("token", "n", "hash")
-             .mapInArrow(partial(_pair_task, percent=percent), PAIR_SCHEMA).distinct())
-    side = {x: groups.select(F.col("hash").alias(f"hash_{x}"), F.col("n").alias(f"n_{x}"),
-                             F.col("doc_id").alias(f"doc_{x}"),
-                             F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
-    near = stored(pairs.join(side["a"], ["hash_a", "n_a"]).join(side["b"], ["hash_b", "n_b"])
-                  .select("hash_a", "n_a", "doc_a", "hash_b", "n_b", "doc_b", "sketch_a", "sketch_b")
-                  .mapInArrow(partial(_near_task, percent=percent), NEAR_SCHEMA), "near-pairs")
-    ends = near.select(F.col("doc_a").alias("doc_id")).union(near.select("doc_b"))
-    picked = spark.sparkContext.broadcast(_picked(ends))
-    sides = [near.select(F.col(f"hash_{x}").alias("hash"), F.col(f"n_{x}").alias("n"),
-                         F.col("doc_a").alias("u"), F.col("doc_b").alias("v"),
-                         F.lit(x == "b").alias("second")) for x in "ab"]
-    links = stored(
-        frame.mapInArrow(partial(_set_task, size=size, picked=picked),
-                         "hash long, n int, members binary")
-        .join(sides[0].union(sides[1]), ["hash", "n"])
-        .select("u", "v", "second", "members").repartition("u", "v")
-        .sortWithinPartitions("u", "v", "second")
-        .mapInArrow(partial(_verify_task, percent=percent), "u long, v long").distinct(), "links")
-    roots = components(links)
-    degree = links.union(links.select("v", "u")).groupBy("u").agg(F.count("*").alias("links"))
-    found = (groups.select("hash", "n", F.col("doc_id").alias("group_id"))
-             .join(roots.select(F.col("node").alias("group_id"), "root"), "group_id", "left")
-             .join(degree.select(F.col("u").alias("group_id"), "links"), "group_id", "left"))
+                .select(F.posexplode("prefix").alias("pos", "token"), "hash", "n")
+                .select("token", "hash", "n", "pos"))
+    runs = stored(postings.repartition("token").sortWithinPartitions("token", "hash", "n")
+                  .mapInArrow(partial(_star_task, percent=percent), RUN_SCHEMA), "runs")
+    star = runs.where("token is null").select(
+        F.col("hash").alias("hash_a"), F.col("n").alias("n_a"), "hash_b", "n_b").distinct()
+    near = stored(_near_pairs(star, groups, percent), "near-pairs")
+    sets = _near_sets(frame, near, size)
+    links = stored(_verified(near, sets, percent), "links")
+
+    crossing = stored(_crossing_pairs(runs.where("token is not null"), groups, components(links), percent)
+                      .join(star, ["hash_a", "n_a", "hash_b", "n_b"], "left_anti"), "crossing")
+    near = stored(_near_pairs(crossing, groups, percent), "near-pairs")
+    if not near.isEmpty():
+        more = _near_sets(frame, near, size)
+        links = stored(links.union(_verified(near, more, percent)).distinct(), "links")
+        sets = sets.union(more.join(sets, ["hash", "n"], "left_anti"))
+    roots = components(links).select(F.col("node").alias("group_id"), "root")
+    linked = stored(groups.select("hash", "n", F.col("doc_id").alias("group_id"))
+                    .join(roots, "group_id", "left"), "linked-groups")
+    degree = _degrees(linked.withColumn("root", F.coalesce("root", "group_id")), sets, percent)
+    found = linked.join(degree, ["hash", "n"], "left")
     out = rows.select("doc_id", "n", "hash").join(found, ["hash", "n"], "left")
     named = F.col("doc_id").isNotNull()
     return out.select(

@@ -63,6 +63,62 @@ def test_jaccard_equals_brute_force(docs, odd_docs):
         assert all(r.component_id == want.get(r.doc_id) for r in got)
 
 
+def brute_links(rows):
+    """How many other sets each row's own links to."""
+    sets = {s for i, t in rows if i is not None and (s := shingles(t))}
+    return {i: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in sets) if a else 0
+            for i, a in ((i, shingles(t)) for i, t in rows) if i is not None}
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_links_of_near_copies_are_counted_not_paired(spark, monkeypatch, block):
+    """Groups of near copies, around the threshold too: all their links count, in blocks or whole,
+    and the rows of pairs follow the rows of the runs, not their squares."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    pairs, near = [], jaccard._near_pairs
+
+    def spy(found, *args):
+        pairs.append(found.count())
+        return near(found, *args)
+
+    monkeypatch.setattr(jaccard, "_near_pairs", spy)
+    rng = random.Random(3)
+    rows = []
+    for group, edits in enumerate(([0, 1], [0, 1, 2, 3, 4, 5], [1], [6, 7, 8, 9])):
+        base = [f"b{group}x{rng.randrange(400)}" for _ in range(rng.choice([120, 200]))]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.choice(edits)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + k, rows[k][1]) for k in range(0, 160, 9)]
+    rng.shuffle(rows)
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+    assert {r.doc_id: r.group_links for r in got} == brute_links(rows)
+    assert len(pairs) == 2 and pairs[0] < 15 * len(rows)
+
+
+def test_run_is_paired_with_its_first_over_batch_borders():
+    """However a run is cut into batches, its groups meet the first once and long runs come whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = sorted((t, h, 8, 0) for t, k in ((1, 1), (2, 2), (3, 7), (4, 3)) for h in range(k)
+                  for _ in range(1 + (h == 1)))
+    for cut in (1, 2, 3, 100):
+        batches = [pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(
+                np.array(rows[at:at + cut]).T)], names=["token", "hash", "n", "pos"])
+            for at in range(0, len(rows), cut)]
+        out = [r for b in jaccard._star_task(iter(batches), 75) for r in b.to_pylist()]
+        assert sorted((r["hash"], r["hash_b"]) for r in out if r["token"] is None) == [
+            (0, h) for h in range(1, 7)]
+        assert sorted((r["token"], r["hash"], r["at"]) for r in out if r["token"] is not None) == [
+            (t, h, h) for t, k in ((3, 7), (4, 3)) for h in range(k)]
+
+
 def test_copy_without_id_comes_first(spark):
     base = "the quick brown fox jumps over the lazy dog and runs far away home"
     rows = [(None, base), (1, base), (2, base + " indeed")]
