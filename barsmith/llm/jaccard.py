@@ -11,14 +11,16 @@ one group; only groups are joined, and members are expanded from the verified gr
 2. *Groups.* A row per document: size, set hash and, for those with an id, a parity sketch of two
    to four bits a shingle, and its prefix unless the task has sent the same set before.
 3. *Star.* Prefix shingles are dealt out by hash and sorted; a run holds the groups that send one
-   shingle. Each is paired with the first group of its run only, so a run of k groups gives k - 1
-   pairs; sizes, places and sketches rule pairs out. Each set difference flips one sketch bit, so
+   shingle. Each is paired with the first group of its run only, that with the fewest rarer
+   shingles, which most near copies are close to; so a run of k groups gives k - 1 pairs. Sizes,
+   places and sketches rule pairs out. Each set difference flips one sketch bit, so
    more differing bits than the threshold allows rules a pair out, and never a true link.
 4. *Verification* reads the documents of the remaining pairs again, sends each set to its pairs and
    intersects the two whole sets, as 48-bit hashes. The links give first components.
-5. *Crossing pairs.* Of a run of more than two groups only pairs across components are made (long
-   runs in pairs of blocks), and verified like those of the stars. So no link that could join two
-   components stays untried, and near copies in one component are not paired one by one.
+5. *Crossing pairs.* Of a run of more than two groups the pairs across components are compared by
+   size and place inside a task (long runs in pairs of blocks), and where they are many by sketch
+   too; only survivors become rows and are verified like those of the stars. So no link that could join two components stays
+   untried, and near copies in one component are not paired one by one.
 6. *Expansion*: components over groups, joined back to the members. The links of a group lie inside
    its component; there they are counted in pairs of blocks of sets, a row per group and block.
 """
@@ -50,6 +52,8 @@ SKETCH_BITS = 256
 PAIRS_AT_ONCE = 1 << 18
 #: Groups of one run that a task pairs with each other; longer runs are cut into blocks.
 BLOCK = 2048
+#: Pairs a row that runs may give before their sketches are compared; those of fuller ones after.
+PAIRS_PER_ROW = 4
 #: Sets, and shingles of them, in a block of a component whose links are counted.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 21
 #: Shingles by which a task multiplies two blocks at once.
@@ -246,7 +250,7 @@ def _star_rows(rows: np.ndarray) -> pa.RecordBatch:
 
 
 def _star_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by ``token, hash, n``: pairs of a run's groups with its first, without
+    """From rows sorted by ``token, pos, hash, n``: pairs of a run's groups with its first, without
     ``token``; and the groups of runs of three or more, ``at`` their place in it.
 
     Runs pass through: held are two groups at most, and the first and last of an unfinished run.
@@ -299,9 +303,9 @@ def _star_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield _star_rows(rows)
 
 
-def _crossing(run, n, pos, label, part, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of one run, sorted by run and size, with different labels and, in a pair
-    of blocks, from both; rows of a run's most frequent label wait for the others to ask."""
+def _asking(run, n, label, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that ask those of their run, and where the ones of compatible size begin and end;
+    rows of a run's most frequent label wait for the others to ask."""
     order = np.lexsort((label, run))
     new = np.flatnonzero(np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (
         label[order][1:] != label[order][:-1])]))
@@ -311,12 +315,18 @@ def _crossing(run, n, pos, label, part, percent: int) -> Iterator[tuple[np.ndarr
     most = np.empty(int(run[-1]) + 1, dtype=np.int64)
     most[run[order][new][firsts]] = label[order][new][firsts]
     asks = np.flatnonzero(label != most[run])
-    asked = np.zeros(len(run), dtype=bool)
-    asked[asks] = True
     place = (run << 32) + n
     own, sizes = run[asks] << 32, n[asks].astype(np.int64)
     low = np.searchsorted(place, own + -(-percent * sizes // 100))
-    top = np.searchsorted(place, own + 100 * sizes // percent, "right")
+    return asks, low, np.searchsorted(place, own + 100 * sizes // percent, "right")
+
+
+def _crossing(run, n, pos, label, part, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of one run, sorted by run and size, with different labels and, in a pair
+    of blocks, from both."""
+    asks, low, top = _asking(run, n, label, percent)
+    asked = np.zeros(len(run), dtype=bool)
+    asked[asks] = True
     done = np.concatenate([[0], np.cumsum(top - low)])
     lo = 0
     while lo < len(asks):
@@ -331,16 +341,59 @@ def _crossing(run, n, pos, label, part, percent: int) -> Iterator[tuple[np.ndarr
         lo = hi
 
 
-def _cross_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs across components from rows sorted by ``token, first, second, n``: runs and pairs of
-    their blocks. Held are the rows of a batch and of an unfinished run, at most two blocks."""
+class _Sketches:
+    """Sketches of several widths, compared pair by pair as a whole."""
+
+    def __init__(self, sketches):
+        self.sketches = [np.frombuffer(x, dtype=np.uint8) for x in sketches]
+        self.width = np.array([len(x) for x in sketches], dtype=np.int64)
+        self.tables: dict[int, np.ndarray] = {}
+
+    def folded(self, width: int) -> np.ndarray:
+        """All sketches of at least this width, folded to it; zeros for the others."""
+        if width not in self.tables:
+            table = np.zeros((len(self.sketches), width), dtype=np.uint8)
+            for k, x in enumerate(self.sketches):
+                while len(x) > width:
+                    x = x[:len(x) // 2] ^ x[len(x) // 2:]
+                if len(x) == width:
+                    table[k] = x
+            self.tables[width] = table
+        return self.tables[width]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of each pair, the longer sketch folded to the length of the shorter."""
+        out = np.zeros(len(i), dtype=np.int64)
+        width = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            table = self.folded(int(w))
+            step = max(1, (1 << 24) // int(w))
+            for lo in range(0, len(at), step):
+                k = at[lo:lo + step]
+                out[k] = np.bitwise_count(table[i[k]] ^ table[j[k]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+CROSS_SCHEMA = ("token long, first int, second int, n int, hash long, pos int, label long, part int, "
+                "hash_b long, n_b int")
+
+
+def _cross_task(batches: Iterator[pa.RecordBatch], percent: int,
+                sketched: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs across components, without ``token``, from rows sorted by ``token, first, second, n``:
+    runs and pairs of their blocks. Without sketches runs of many pairs come out as they are.
+    Held are a batch and an unfinished run, at most two blocks."""
     pairs = _Pairs()
     rest: list[np.ndarray] | None = None
+    names = [c.split()[0] for c in CROSS_SCHEMA.split(", ")]
 
     def report(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2]),
-             pa.array(rows[:, 3].astype(np.int32))], names=["hash_a", "n_a", "hash_b", "n_b"])
+        none = {k: pa.nulls(len(rows), pa.int64() if k in (0, 6) else pa.int32())
+                for k in (0, 1, 2, 5, 6, 7)}
+        told = {3: pa.array(rows[:, 1].astype(np.int32)), 4: pa.array(rows[:, 0]),
+                8: pa.array(rows[:, 2]), 9: pa.array(rows[:, 3].astype(np.int32))}
+        return pa.RecordBatch.from_arrays([(none | told)[k] for k in range(10)], names=names)
 
     def work(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal rest
@@ -349,19 +402,34 @@ def _cross_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         starts = np.flatnonzero(new)
         stop = len(new) if last or not len(starts) else int(starts[-1])
         rest = [c[stop:] for c in cols]
-        starts = starts[starts < stop]
-        if not len(starts):
-            return
-        label = cols[6][:stop]
-        closed = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
-        opened = np.repeat(~closed, np.diff(np.append(starts, stop)))
-        if not opened.any():
+        if not stop:
             return
+        cols = [c[:stop] for c in cols]
         run = np.cumsum(new[:stop]) - 1
-        run = np.unique(run[opened], return_inverse=True)[1].astype(np.int64)
-        _, first, second, n, h, pos, label, part = (c[:stop][opened] for c in cols)
+        if not sketched:
+            asks, low, top = _asking(run, cols[3], cols[6], percent)
+            length = np.bincount(run)
+            most = np.bincount(run[asks], top - low, minlength=len(length))
+            full = (most > PAIRS_PER_ROW * length)[run]
+            if full.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[full]) for c in cols]
+                    + [pa.nulls(int(full.sum()), pa.int64()), pa.nulls(int(full.sum()), pa.int32())],
+                    names=names)
+            some = ~full & (most > 0)[run]
+            if not some.any():
+                return
+            cols = [c[some] for c in cols]
+            run = np.unique(run[some], return_inverse=True)[1].astype(np.int64)
+        _, first, second, n, h, pos, label, part = cols[:8]
         part = np.where(first == second, -1, part)
+        if sketched:
+            sketches = _Sketches(cols[8])
         for i, j in _crossing(run, n, pos, label, part, percent):
+            if sketched:
+                both = n[i].astype(np.int64) + n[j]
+                keep = sketches.apart(i, j) * (100 + percent) <= (100 - percent) * both
+                i, j = i[keep], j[keep]
             if len(i):
                 pairs.add(h[i], n[i], h[j], n[j])
             rows = pairs.taken(PAIRS_AT_ONCE)
@@ -583,22 +651,31 @@ def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossing_pairs(runs: DataFrame, groups: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups that are in one run but not in one component."""
+    """Pairs of groups in one run, not in one component, that may be linked."""
     label = (groups.select("hash", "n", "doc_id").join(roots.withColumnRenamed("node", "doc_id"),
                                                        "doc_id", "left")
              .select("hash", "n", F.coalesce("root", "doc_id").alias("label")))
     # Blocks of the runs that are longer than one.
     long = (runs.where(F.col("at") >= BLOCK).groupBy("token")
             .agg((F.floor(F.max("at") / BLOCK) + 1).cast("int").alias("blocks")))
-    blocks = (runs.join(long, "token", "left").join(label, ["hash", "n"])
+    blocks = (runs.join(label, ["hash", "n"]).join(long, "token", "left")
               .withColumn("part", F.floor(F.col("at") / BLOCK).cast("int"))
-              .withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)"))))
-    return (blocks.select("token", F.least("part", "other").alias("first"),
-                          F.greatest("part", "other").alias("second"), "n", "hash", "pos", "label",
-                          "part")
-            .repartition("token", "first", "second")
-            .sortWithinPartitions("token", "first", "second", "n")
-            .mapInArrow(partial(_cross_task, percent=percent), PAIR_SCHEMA).distinct())
+              .withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
+              .select("token", F.least("part", "other").alias("first"),
+                      F.greatest("part", "other").alias("second"), "n", "hash", "pos", "label",
+                      "part"))
+
+    def crossed(rows: DataFrame, sketched: bool) -> DataFrame:
+        return (rows.repartition("token", "first", "second")
+                .sortWithinPartitions("token", "first", "second", "n")
+                .mapInArrow(partial(_cross_task, percent=percent, sketched=sketched), CROSS_SCHEMA))
+
+    found = stored(crossed(blocks, False), "crossing-runs")
+    full = found.where("token is not null").drop("hash_b", "n_b").join(
+        groups.select("hash", "n", "sketch"), ["hash", "n"])
+    told = crossed(full.select(*blocks.columns, "sketch"), True)
+    return found.where("token is null").union(told).select(
+        F.col("hash").alias("hash_a"), F.col("n").alias("n_a"), "hash_b", "n_b").distinct()
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id",
@@ -623,7 +700,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str
     postings = (rows.where("doc_id is not null and size(prefix) > 0")
                 .select(F.posexplode("prefix").alias("pos", "token"), "hash", "n")
                 .select("token", "hash", "n", "pos"))
-    runs = stored(postings.repartition("token").sortWithinPartitions("token", "hash", "n")
+    runs = stored(postings.repartition("token").sortWithinPartitions("token", "pos", "hash", "n")
                   .mapInArrow(partial(_star_task, percent=percent), RUN_SCHEMA), "runs")
     star = runs.where("token is null").select(
         F.col("hash").alias("hash_a"), F.col("n").alias("n_a"), "hash_b", "n_b").distinct()
@@ -633,7 +710,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str
 
     crossing = stored(_crossing_pairs(runs.where("token is not null"), groups, components(links), percent)
                       .join(star, ["hash_a", "n_a", "hash_b", "n_b"], "left_anti"), "crossing")
-    near = stored(_near_pairs(crossing, groups, percent), "near-pairs")
+    near = stored(_near_pairs(crossing, groups, percent), "near-pairs")  # adds the ids
     if not near.isEmpty():
         more = _near_sets(frame, near, size)
         links = stored(links.union(_verified(near, more, percent)).distinct(), "links")

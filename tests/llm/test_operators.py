@@ -105,7 +105,7 @@ def test_run_is_paired_with_its_first_over_batch_borders():
     import numpy as np
     import pyarrow as pa
 
-    rows = sorted((t, h, 8, 0) for t, k in ((1, 1), (2, 2), (3, 7), (4, 3)) for h in range(k)
+    rows = sorted((t, h, 8, h // 6) for t, k in ((1, 1), (2, 2), (3, 7), (4, 3)) for h in range(k)
                   for _ in range(1 + (h == 1)))
     for cut in (1, 2, 3, 100):
         batches = [pa.RecordBatch.from_arrays(
