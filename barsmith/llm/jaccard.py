@@ -47,6 +47,10 @@ COUNTED_AT_ONCE = 1 << 22
 REMEMBERED = 1 << 16
 #: Bits of the filter that picks which documents are scanned again for verification.
 PICK_BITS = 20
+#: Bits of the filter that picks which groups are sent with their sketches.
+MARK_BITS = 24
+#: A narrow side of a join is broadcast up to so many rows, counted first; beyond it is shuffled.
+BROADCAST_ROWS = 200_000
 #: Least bits of a parity sketch; a larger set has two to four bits a shingle.
 SKETCH_BITS = 256
 PAIRS_AT_ONCE = 1 << 18
@@ -617,8 +621,45 @@ def _picked(ends: DataFrame) -> np.ndarray:
     return wanted
 
 
+def _small_side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _mark_task(batches: Iterator[pa.RecordBatch], marks, halve: bool) -> Iterator[pa.RecordBatch]:
+    """The rows ``doc_id, hash, n, sketch`` with a marked hash, their sketches folded once."""
+    bits = marks.value
+    for batch in batches:
+        at = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
+        shift = (7 - (at & np.uint64(7))).astype(np.uint8)
+        batch = batch.filter(pa.array((bits[at >> np.uint64(3)] >> shift & 1).astype(bool)))
+        if halve:
+            short = pa.array([_halved(x) for x in batch.column(3).to_pylist()], pa.binary())
+            batch = batch.set_column(3, "sketch", short)
+        yield batch
+
+
+def _halved(sketch: bytes) -> bytes:
+    if 8 * len(sketch) <= SKETCH_BITS:
+        return sketch
+    x = np.frombuffer(sketch, dtype=np.uint8)
+    return (x[:len(x) // 2] ^ x[len(x) // 2:]).tobytes()
+
+
+def _wanted(groups: DataFrame, hashes: DataFrame, halve: bool = False) -> DataFrame:
+    """``doc_id, hash, n, sketch`` of all groups whose hash is one of ``hashes``, and some others:
+    fixed marks pick them where they lie, so the sketches of most groups are not shuffled."""
+    rows = hashes.toDF("hash").select(
+        F.shiftrightunsigned("hash", 64 - MARK_BITS).alias("mark")).distinct().toPandas()
+    flags = np.zeros(1 << MARK_BITS, dtype=bool)
+    flags[rows["mark"].to_numpy(dtype=np.int64)] = True
+    marks = groups.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    return groups.select("doc_id", "hash", "n", "sketch").mapInArrow(
+        partial(_mark_task, marks=marks, halve=halve), "doc_id long, hash long, n int, sketch binary")
+
+
 def _near_pairs(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches do not rule out a link, with the ids of both groups."""
+    groups = _wanted(groups, pairs.select("hash_a").union(pairs.select("hash_b")))
     side = {x: groups.select(F.col("hash").alias(f"hash_{x}"), F.col("n").alias(f"n_{x}"),
                              F.col("doc_id").alias(f"doc_{x}"),
                              F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
@@ -644,7 +685,7 @@ def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                          F.xxhash64("hash_a", "n_a", "hash_b", "n_b").alias("pair"),
                          F.col("doc_a").alias("u"), F.col("doc_b").alias("v"),
                          F.lit(x == "b").alias("second")) for x in "ab"]
-    return (sets.join(sides[0].union(sides[1]), ["hash", "n"])
+    return (sets.join(_small_side(sides[0].union(sides[1])), ["hash", "n"])
             .select("u", "v", "second", "members", "pair").repartition("u", "v")
             .sortWithinPartitions("u", "v", "pair", "second").drop("pair")
             .mapInArrow(partial(_verify_task, percent=percent), "u long, v long").distinct())
@@ -652,13 +693,15 @@ def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _crossing_pairs(runs: DataFrame, groups: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups in one run, not in one component, that may be linked."""
-    label = (groups.select("hash", "n", "doc_id").join(roots.withColumnRenamed("node", "doc_id"),
-                                                       "doc_id", "left")
-             .select("hash", "n", F.coalesce("root", "doc_id").alias("label")))
+    # A group without links has its hash for a label.
+    linked = stored(groups.select("hash", "n", "doc_id").join(
+        roots.withColumnRenamed("node", "doc_id"), "doc_id").select("hash", "n", "root"), "labels")
     # Blocks of the runs that are longer than one.
-    long = (runs.where(F.col("at") >= BLOCK).groupBy("token")
-            .agg((F.floor(F.max("at") / BLOCK) + 1).cast("int").alias("blocks")))
-    blocks = (runs.join(label, ["hash", "n"]).join(long, "token", "left")
+    long = stored(runs.where(F.col("at") >= BLOCK).groupBy("token")
+                  .agg((F.floor(F.max("at") / BLOCK) + 1).cast("int").alias("blocks")), "long-runs")
+    blocks = (runs.join(_small_side(linked), ["hash", "n"], "left")
+              .withColumn("label", F.coalesce("root", "hash"))
+              .join(_small_side(long), "token", "left")
               .withColumn("part", F.floor(F.col("at") / BLOCK).cast("int"))
               .withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
               .select("token", F.least("part", "other").alias("first"),
@@ -671,8 +714,8 @@ def _crossing_pairs(runs: DataFrame, groups: DataFrame, roots: DataFrame, percen
                 .mapInArrow(partial(_cross_task, percent=percent, sketched=sketched), CROSS_SCHEMA))
 
     found = stored(crossed(blocks, False), "crossing-runs")
-    full = found.where("token is not null").drop("hash_b", "n_b").join(
-        groups.select("hash", "n", "sketch"), ["hash", "n"])
+    full = found.where("token is not null").drop("hash_b", "n_b")
+    full = full.join(_wanted(groups, full.select("hash"), halve=True).drop("doc_id"), ["hash", "n"])
     told = crossed(full.select(*blocks.columns, "sketch"), True)
     return found.where("token is null").union(told).select(
         F.col("hash").alias("hash_a"), F.col("n").alias("n_a"), "hash_b", "n_b").distinct()
@@ -702,8 +745,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str
                 .select("token", "hash", "n", "pos"))
     runs = stored(postings.repartition("token").sortWithinPartitions("token", "pos", "hash", "n")
                   .mapInArrow(partial(_star_task, percent=percent), RUN_SCHEMA), "runs")
-    star = runs.where("token is null").select(
-        F.col("hash").alias("hash_a"), F.col("n").alias("n_a"), "hash_b", "n_b").distinct()
+    star = stored(runs.where("token is null").select(
+        F.col("hash").alias("hash_a"), F.col("n").alias("n_a"), "hash_b", "n_b").distinct(), "stars")
     near = stored(_near_pairs(star, groups, percent), "near-pairs")
     sets = _near_sets(frame, near, size)
     links = stored(_verified(near, sets, percent), "links")

@@ -100,6 +100,22 @@ def test_links_of_near_copies_are_counted_not_paired(spark, monkeypatch, block):
     assert len(pairs) == 2 and pairs[0] < 15 * len(rows)
 
 
+def test_sketches_of_groups_in_no_pair_stay_where_they_are(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(-2 ** 63, 2 ** 63), 5, rng.randbytes(64)) for k in range(1000)]
+    groups = spark.createDataFrame(rows, "doc_id long, hash long, n int, sketch binary")
+    hashes = groups.where("doc_id < 8").select("hash")
+    for halve in (False, True):
+        got = {r.doc_id: (r.hash, r.n, bytes(r.sketch))
+               for r in jaccard._wanted(groups, hashes, halve).collect()}
+        assert set(range(8)) <= set(got) and len(got) < 50
+        assert all(got[k] == (h, n, jaccard._halved(x) if halve else x)
+                   for k, h, n, x in rows if k in got)
+    a, b = rows[0][3], rows[1][3]
+    assert jaccard.apart(jaccard._halved(a), jaccard._halved(b)) <= jaccard.apart(a, b)
+    assert jaccard._halved(a[:32]) == a[:32]
+
+
 def test_run_is_paired_with_its_first_over_batch_borders():
     """However a run is cut into batches, its groups meet the first once and long runs come whole."""
     import numpy as np
