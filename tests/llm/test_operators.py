@@ -276,6 +276,18 @@ def test_near_lines_equal_brute_force(spark):
     assert got == want and len(want) > 40
 
 
+def test_lines_are_normalised_once_for_features_and_edits(spark, monkeypatch):
+    texts = ["One, two\nthree  four - FIVE\n---", "one two!\n\u00c9t\u00e9 x", None, "", "one two"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.x for r in lines.line_words(frame).collect()) == [
+        "one two", "three four five", "\u00e9t\u00e9 x"]
+    seen = lines.distinct_lines(lines.occurrences(frame))
+    split, read = lines._lines, []
+    monkeypatch.setattr(lines, "_lines", lambda *a: read.append(a) or split(*a))
+    assert not lines.similar_pairs(frame, seen).collect()
+    assert len(read) == 1
+
+
 def test_decontamination(spark):
     item = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
     replaced = item.replace("four ", "zzz ").lower()
