@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,59 @@ def test_language_held_out_and_odd(spark, odd_docs):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_language_counts_every_gram(spark):
+    rows = [("ab cab " * 40_000 + "zqz", "u"), ("ba cba " * 9_000 + "xyx", "v"), ("ba", "v")]
+    model, orders = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert orders is None and model.languages == ["u", "v"]
+    for i, lang in enumerate("uv"):
+        level = collections.Counter()
+        for t in (t for t, x in rows if x == lang):
+            padded = "\x01" * 3 + t
+            level.update(padded[k:k + 4] for k in range(len(t)))
+        levels = [level]
+        while len(levels) < 4:
+            levels.insert(0, collections.Counter(g[1:] for g in levels[0]))
+        floor = np.exp(model.floor[i])
+
+        def chance(gram, levels=levels, floor=floor):
+            if not gram:
+                return floor
+            counts = levels[len(gram) - 1]
+            times = collections.Counter(counts.values())
+            less = min(0.95, max(0.1, times[1] / max(1, times[1] + 2 * times[2])))
+            beside = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+            lower = chance(gram[1:])
+            if not beside:
+                return lower
+            return (max(counts[gram] - less, 0) + less * len(beside) * lower) / sum(beside)
+
+        grams = [*levels[3], "zqzz", "q ab", "\x01\x01\x01b"]
+        keys = np.array([sum(ord(c) << 16 * (3 - k) for k, c in enumerate(g)) for g in grams], np.uint64)
+        got = np.exp(model.log_probabilities(keys)[i])
+        assert got == pytest.approx([chance(g) for g in grams], rel=1e-4)
+
+
+def test_language_model_held_in_part(spark, odd_docs, monkeypatch):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = frame.select("doc_id", "text", "lang").union(odd_docs.select("doc_id", "text", "lang"))
+    whole = language.learn(docs)
+    want = collections.Counter(map(tuple, language.identify(docs, whole).fillna(-1.0).collect()))
+    for cells in (0, 4_000):
+        monkeypatch.setattr(language, "HELD_CELLS", cells)
+        part = language.learn(docs)
+        assert part.orders and len(part.model.value.grams[0].hashes) * 4 <= cells
+        assert part.model.value.mean == pytest.approx(whole.model.value.mean)
+        got = language.identify(docs, part).fillna(-1.0).collect()
+        assert sorted((str(r.doc_id), r.lang_pred, r.rejected) for r in got) == sorted(
+            (str(r[0]), r[2], r[4]) for r in want.elements())
+        near = sorted((str(r.doc_id), r.held_out, round(r.nats, 4), round(r.score, 3)) for r in got)
+        assert [x[2:] for x in near] == [pytest.approx(x[2:], abs=2e-3) for x in sorted(
+            (str(r[0]), r[1], round(r[5], 4), round(r[3], 3)) for r in want.elements())]
+    assert sorted(map(str, language.keep_identified(docs).collect())) == sorted(map(str, [
+        r for r in docs.withColumn("g", language.guess(whole.model, docs.text))
+        .where("not g.rejected").drop("g").collect()]))
+
+
 def test_line_dedup(spark):
     line = "a rather long line of many words that is met in several places of the corpus today"
     rows = [(1, f"{line}\nother words here"), (2, f"start\n{line.upper()}!\nend"), (3, None), (4, ""),
