@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barsmith.llm import (decontaminate, encode, jaccard, language, lines, quality, secret_scan,
-                          shards, tokencount, urls)
+                          shards, store, tokencount, urls)
 from barsmith.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -330,6 +331,63 @@ def test_near_lines_equal_brute_force(spark):
     assert got == want and len(want) > 40
 
 
+def test_lines_with_typing_errors_are_found(spark):
+    """A letter is changed in two of five words of a line of 40."""
+    pick = random.Random(5)
+    rows = []
+    for i in range(20):
+        line = ["".join(pick.choice("etaoinshr") for _ in range(pick.randint(6, 9))) for _ in range(40)]
+        near = line.copy()
+        for at in pick.sample(range(40), 16):
+            near[at] = "x" + near[at][1:]
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(near))]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in out) == [(i, i % 2) for i in range(40)]
+
+
+def test_crowds_of_near_lines_are_tied_together(spark, monkeypatch):
+    words = [f"w{i}x{i * 7}" for i in range(300)]
+    rows = [(i, " ".join([*words[:i], f"new{i}", *words[i + 1:]])) for i in range(40)]
+    rows += [(40 + i, f"other{i} line{i * 3} here{i * 5}") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = lines.distinct_lines(lines.occurrences(frame)).cache()
+    monkeypatch.setattr(lines, "CROWD", 1000)
+    every = lines.similar_pairs(frame, seen).distinct().count()
+    monkeypatch.undo()
+    some = lines.similar_pairs(frame, seen)
+    assert every == 780 and some.distinct().count() < 200
+    assert components(some).groupBy("root").count().collect()[0][1] == 40
+    out = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame).collect()}
+    assert out == {i: int(0 < i < 40) for i in range(45)}
+
+
+def test_long_lines_have_the_same_simhash(spark):
+    """Up to 511 words the votes share longs; beyond that each bit is counted alone."""
+    text = " ".join(f"a{i % 90}" for i in range(500))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    packed = lines.occurrences(frame).first().sim
+    votes = frame.select(F.transform(lines.words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("v"))
+    assert votes.select(lines._long_sim(F.col("v"))).first()[0] == packed
+    twice = spark.createDataFrame([(1, text + " " + text)], "doc_id long, text string")
+    assert lines.occurrences(twice).first().sim == packed
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    def blocks():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.length())}
+
+    before = blocks()
+    out = store.stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(50):
+        left = {x for x in blocks() - before if x.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 7
+    assert spark.conf.get(store.SHUFFLE_CLEANUP, None) is None
+
+
 def test_lines_are_normalised_once_for_features_and_edits(spark, monkeypatch):
     texts = ["One, two\nthree  four - FIVE\n---", "one two!\n\u00c9t\u00e9 x", None, "", "one two"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
